@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom import config as C
 from factloom.functions import keys as K
 from factloom.operators.common import is_active, null_safe
+from factloom.session import checkpoint
 
 _INF = float("inf")
 
@@ -143,11 +144,16 @@ def apply_marks(facts: DataFrame, marks: DataFrame) -> DataFrame:
 
 def three_layers(facts: DataFrame, is_new: Column) -> tuple[DataFrame, DataFrame]:
     """Run within-document, cross-document and cross-type layers for the new
-    documents; returns the marks of all layers and the updated snapshot."""
-    inner = within_document(facts.filter(is_new)).withColumn("layer", F.lit("within_doc"))
+    documents; returns the marks of all layers and the updated snapshot.
+
+    Each layer reads the marks of the one before, so the (narrow, small) mark
+    tables are checkpointed: no layer is computed twice.
+    """
+    inner = checkpoint(within_document(facts.filter(is_new)).withColumn("layer", F.lit("within_doc")))
     after = apply_marks(facts, inner)
-    across = cross_document(after.filter(is_new), after.filter(~is_new)).withColumn("layer", F.lit("cross_doc"))
+    across = checkpoint(
+        cross_document(after.filter(is_new), after.filter(~is_new)).withColumn("layer", F.lit("cross_doc")))
     settled = apply_marks(after, across)
-    kinds = cross_type(settled.filter(is_new)).withColumn("layer", F.lit("cross_type"))
+    kinds = checkpoint(cross_type(settled.filter(is_new)).withColumn("layer", F.lit("cross_type")))
     marks = inner.unionByName(across).unionByName(kinds)
     return marks, apply_marks(settled, kinds)

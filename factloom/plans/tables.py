@@ -17,8 +17,8 @@ DOMAIN["t_fact"] = """
 SELECT
   concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
             CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING)) AS fact_id,
-  l_orderkey AS document_id,
-  concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey % 9 AS STRING)) AS evidence_id,
+  l_orderkey - l_orderkey % 20 AS document_id,
+  concat_ws('-', CAST(l_orderkey - l_orderkey % 20 AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey % 9 AS STRING)) AS evidence_id,
   CASE l_partkey % 9 WHEN 0 THEN 'FINANCIAL_METRIC' WHEN 1 THEN 'SALES_VOLUME' WHEN 2 THEN 'CAPACITY'
     WHEN 3 THEN 'INVESTMENT' WHEN 4 THEN 'EXPANSION' WHEN 5 THEN 'MARKET_SHARE'
     WHEN 6 THEN 'COMPETITIVE_RANKING' WHEN 7 THEN 'COOPERATION' ELSE 'PRICE_CHANGE' END AS fact_type,
