@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 THINKING = r"(?s)<think(?:ing)?>.*?</think(?:ing)?>"
 _FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
@@ -87,7 +88,7 @@ def _recover(text: str | None) -> str | None:
     return None if value is None else json.dumps(value, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _recover_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_recover, na_action="ignore")
 
