@@ -69,24 +69,23 @@ def role_union(facts: DataFrame, *columns: str) -> DataFrame:
 
 
 def contained_in(short: DataFrame, long: DataFrame, short_col: str, long_col: str, min_len: int = 2) -> DataFrame:
-    """Join names to the distinct longer texts that contain them.
+    """Join names to the texts that contain them (equality included).
 
-    Every substring of the longer text whose length some short name has becomes a
-    key of an equi-join, so only true results meet: no candidate blocks, hence no
-    hot block. ``short`` and ``long`` must hold distinct texts.
+    Every substring of the longer text, up to the longest name's length, becomes a
+    key of an equi-join. Only true results meet, so there are no candidate blocks
+    and no hot block. Pass distinct texts: rows multiply by substring count.
     """
-    bounds = short.agg(F.max(F.length(short_col)).alias("m"))
-    texts = long.withColumn("_max", F.coalesce(bounds.scalar(), F.lit(0)))
-    length = F.length(long_col)
+    names = short.filter(F.length(short_col) >= min_len)
+    texts = long.sparkSession.sql(
+        f"SELECT t.*, (SELECT coalesce(max(length({short_col})), 0) FROM {{names}}) AS _max FROM {{texts}} t",
+        names=names, texts=long.filter(F.length(long_col) >= min_len))
     pieces = texts.withColumn(
         "_piece",
         F.explode(F.expr(
-            f"array_distinct(flatten(transform(sequence(1, greatest(length({long_col}), 1)), p -> "
-            f"transform(filter(sequence({min_len}, greatest({min_len}, least(_max, length({long_col})))), "
-            f"n -> p + n - 1 <= length({long_col}) AND n <= _max AND n < length({long_col})), "
-            f"n -> substring({long_col}, p, n)))))")),
-    ).filter(length > min_len)
-    return pieces.drop("_max").join(short, F.col("_piece") == F.col(short_col)).drop("_piece")
+            f"array_distinct(flatten(transform(sequence(1, length({long_col}) - {min_len} + 1), p -> "
+            f"transform(sequence({min_len}, greatest({min_len}, least(_max, length({long_col}) - p + 1))), "
+            f"n -> substring({long_col}, p, n)))))")))
+    return pieces.drop("_max").join(names, F.col("_piece") == F.col(short_col)).drop("_piece")
 
 
 def fold_ascii(col: Column) -> Column:
