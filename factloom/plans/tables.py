@@ -225,7 +225,8 @@ def with_tables(sql: str) -> str:
         visit(name)
     ctes = [f"{n} AS ({_plain(DOMAIN[n])})" for n in wanted]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        ctes.append(body[5:].lstrip())
-        return "WITH " + ",\n".join(ctes)
+    head = re.match(r"(?i)WITH\s+(RECURSIVE\s+)?", body)
+    if head:
+        ctes.append(body[head.end():])
+        return ("WITH RECURSIVE " if head.group(1) else "WITH ") + ",\n".join(ctes)
     return (("WITH " + ",\n".join(ctes) + "\n") if ctes else "") + body
