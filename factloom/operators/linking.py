@@ -157,7 +157,7 @@ def link_facts(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> dic
         F.count("*").alias("processed"),
         sum((F.count_if(a & m) for a, m in asked), F.lit(0)).alias("matched"),
         sum((F.count_if(a & ~m) for a, m in asked), F.lit(0)).alias("unmatched"),
-    ).join(created.agg(F.count("*").alias("created")))
+    ).withColumn("created", created.agg(F.count("*")).scalar())
     done = linked.withColumns({
         "subject_entity_id": F.coalesce("_s", "subject_entity_id"),
         "object_entity_id": F.coalesce("_o", "object_entity_id"),

@@ -41,7 +41,7 @@ def s1(t):
 @query("S2_folder", "SELECT sum(length(text) + 1) AS n_chars, 0 AS n_bad FROM documents")
 def s2(t):
     good, bad = D.folder(t.spark, _text_folder(t), "*.txt")
-    return good.agg(F.sum(F.length("raw_text")).alias("n_chars")).join(bad.agg(F.count("*").alias("n_bad")))
+    return good.agg(F.sum(F.length("raw_text")).alias("n_chars")).withColumn("n_bad", bad.agg(F.count("*")).scalar())
 
 
 @query("S3_pasted", """
