@@ -76,10 +76,8 @@ def contained_in(short: DataFrame, long: DataFrame, short_col: str, long_col: st
     and no hot block. Pass distinct texts: rows multiply by substring count.
     """
     names = short.filter(F.length(short_col) >= min_len)
-    texts = long.sparkSession.sql(
-        f"SELECT t.*, (SELECT coalesce(max(length({short_col})), 0) FROM {{names}}) AS _max FROM {{texts}} t",
-        names=names, texts=long.filter(F.length(long_col) >= min_len))
-    pieces = texts.withColumn(
+    longest = names.agg(F.coalesce(F.max(F.length(short_col)), F.lit(0))).scalar()
+    pieces = long.filter(F.length(long_col) >= min_len).withColumn("_max", longest).withColumn(
         "_piece",
         F.explode(F.expr(
             f"array_distinct(flatten(transform(sequence(1, length({long_col}) - {min_len} + 1), p -> "
