@@ -6,10 +6,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from factloom.functions.keys import strip
+
 THINKING = r"(?s)<think(?:ing)?>.*?</think(?:ing)?>"
 _FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
 _CLOSER = {"{": "}", "[": "]"}
@@ -93,8 +95,15 @@ def _recover_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_recover, na_action="ignore")
 
 
-def answer_json(content: Column) -> tuple[Column, Column]:
-    """(thinking-free text, JSON or NULL). Only text Spark cannot parse goes to Python."""
-    bare = F.regexp_replace(F.regexp_replace(content, THINKING, ""), r"(?U)^\s+|\s+\z", "")
-    is_json = F.try_parse_json(bare).isNotNull() & bare.rlike(r"^[\[{]")
-    return bare, F.when(is_json, bare).otherwise(_recover_udf(F.when(is_json, None).otherwise(bare)))
+def with_answer_json(answers: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``json``: the JSON text of each answer, NULL if none can be found.
+
+    Thinking is dropped first. Only text Spark cannot parse goes to Python. Each step
+    is a column of its own, so no text is parsed twice.
+    """
+    text = F.col(content)
+    bare = strip(F.when(text.contains("<think"), F.regexp_replace(text, THINKING, "")).otherwise(text))
+    tried = answers.withColumn("_bare", bare).withColumn(
+        "_ok", F.col("_bare").rlike(r"^[\[{]") & F.try_parse_json("_bare").isNotNull())
+    sent = tried.withColumn("_found", _recover_udf(F.when(F.col("_ok"), None).otherwise(F.col("_bare"))))
+    return sent.withColumn("json", F.when(F.col("_ok"), F.col("_bare")).otherwise(F.col("_found"))).drop("_bare", "_ok", "_found")

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from factloom import config as C
 
 
+# every character Unicode calls white space, and the four ASCII separators
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
-    """Trim Unicode white space on both sides."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Trim Unicode white space on both sides (no regex: names and texts are trimmed a lot)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(col: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from factloom import config as C
 from factloom.config import ChunkRules, CleanRules
-from factloom.functions.keys import strip
+from factloom.functions.keys import WHITE_SPACE, strip
 
 # --- fixed values: patterns of advertisement and navigation lines ---------
 AD_LINE_PATTERNS = (
@@ -102,7 +104,7 @@ def cjk_chars(text: Column) -> Column:
 
 def effective_chars(text: Column) -> Column:
     """CJK characters plus one per five other visible characters."""
-    other = F.length(F.regexp_replace(text, rf"(?U)[{CJK}\s\x1c-\x1f]", ""))
+    other = F.length(F.regexp_replace(text, f"[{CJK}{WHITE_SPACE}]", ""))
     return cjk_chars(text) + F.floor(other / 5).cast("bigint")
 
 
@@ -170,39 +172,45 @@ def _pack(sizes, sentence_sizes, limit: int, overlap: int) -> list[list[int]]:
     return chunks
 
 
-def chunks(text: Column, rules: ChunkRules = ChunkRules()) -> Column:
-    """Array of (chunk_text, char_start, char_end); the position is the chunk index.
+def packer(rules: ChunkRules):
+    """UDF from (paragraph sizes, sentence sizes of oversize paragraphs) to a chunk plan.
 
-    Only paragraph and sentence sizes go to Python, the text itself stays in the JVM.
+    Only sizes go to Python, the text itself stays in the JVM.
     """
 
-    @F.pandas_udf("array<array<int>>")
     def pack(sizes: pd.Series, inner: pd.Series) -> pd.Series:
-        return pd.Series([_pack(a, b, rules.chunk_max, rules.overlap) if a is not None else None
-                          for a, b in zip(sizes, inner)])
+        return pd.Series([None if a is None else _pack(a, b, rules.chunk_max, rules.overlap) for a, b in zip(sizes, inner)])
 
-    body = F.col("_paras")
-    plan = pack(
-        F.transform(body, lambda p: p["size"]),
-        F.transform(body, lambda p: F.when(
-            p["size"] > rules.chunk_max, F.transform(sentences(p["body"]), lambda s: effective_chars(s).cast("int")))
-            .otherwise(F.array().cast("array<int>"))))
+    return F.pandas_udf(pack, ArrayType(ArrayType(IntegerType())))
+
+
+def with_chunks(docs: DataFrame, text: str, rules: ChunkRules = ChunkRules()) -> DataFrame:
+    """Add ``chunks``: an array of (chunk_text, char_start, char_end), NULL for blank text."""
+    body, sents = F.col("_paras"), F.col("_sents")
+    none = F.array().cast("array<string>")
+    size = lambda s: effective_chars(s).cast("int")
+    df = docs.withColumn("_size", F.when(strip(F.col(text)) != "", effective_chars(F.col(text))))
+    long = F.col("_size") > rules.short_text
+    df = df.withColumn("_paras", F.when(long, paragraphs(F.col(text))))
+    df = df.withColumn("_sents", F.transform(body, lambda p: F.when(p["size"] > rules.chunk_max, sentences(p["body"])).otherwise(none)))
+    df = df.withColumn("_plan", packer(rules)(
+        F.transform(body, lambda p: p["size"]), F.transform(sents, lambda s: F.transform(s, size))))
 
     def build(c: Column) -> Column:
-        a, b, s, e = c[0], c[1], c[2], c[3]
-        whole = F.array_join(F.transform(F.slice(body, a + 1, b - a + 1), lambda p: p["body"]), "\n\n")
-        part = F.array_join(F.slice(sentences(body[a]["body"]), s + 1, e - s + 1), " ")
+        first, last, s, e = c[0], c[1], c[2], c[3]
+        whole = F.array_join(F.transform(F.slice(body, first + 1, last - first + 1), lambda p: p["body"]), "\n\n")
+        part = F.array_join(F.slice(sents[first], s + 1, e - s + 1), " ")
         return F.struct(
             F.when(s < 0, whole).otherwise(part).alias("chunk_text"),
-            body[a]["char_start"].alias("char_start"), body[b]["char_end"].alias("char_end"))
+            body[first]["char_start"].alias("char_start"), body[last]["char_end"].alias("char_end"))
 
-    return plan, build
+    single = F.array(F.struct(F.col(text).alias("chunk_text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end")))
+    return df.withColumn("chunks", F.when(long, F.transform("_plan", build)).when(F.col("_size").isNotNull(), single)).drop(
+        "_size", "_paras", "_sents", "_plan")
 
 
 def gate(raw: Column, cleaned: Column, min_chars: int) -> Column:
     """Terminal status of a document that cannot be extracted from, else NULL."""
-    from factloom import config as C
-
     n = F.length(strip(cleaned))
     return (
         F.when(raw.isNull() | (strip(raw) == ""), C.DOC_EMPTY)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import keys as K
-from factloom.functions.jsontext import answer_json
+from factloom.functions.jsontext import with_answer_json
 from factloom.functions.predicates import extra_qualifiers, matches_root
 from factloom.operators.common import number_in_group, top_per_key
 
@@ -91,8 +91,7 @@ def completion_requests(facts: DataFrame, articles: DataFrame, per_request: int
 
 def parse_answers(responses: DataFrame) -> DataFrame:
     """Add ``json`` (NULL when nothing readable was found) to (request_id, content, ...)."""
-    _, parsed = answer_json(F.col("content"))
-    return responses.withColumn("json", parsed)
+    return with_answer_json(responses)
 
 
 def unparsed(answers: DataFrame) -> DataFrame:
@@ -101,70 +100,55 @@ def unparsed(answers: DataFrame) -> DataFrame:
 
 def _typed_items(answers: DataFrame) -> DataFrame:
     """Raw record texts of both answer forms with their order and forced type."""
-    as_map = F.from_json("json", "map<string,string>")
-    keyed = (
-        answers.filter(F.col("json").startswith("{"))
-        .select("request_id", "document_id", F.posexplode(as_map).alias("p1", "key", "group"))
-        .filter(F.col("group").startswith("["))
-        .select("request_id", "document_id", "p1", "key", F.posexplode(F.from_json("group", "array<string>")).alias("p2", "item"))
+    grouped = F.map_entries(F.from_json("json", "map<string,string>"))
+    bare = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("json").alias("value")))
+    groups = F.when(F.col("json").startswith("{"), grouped).otherwise(bare)
+    return (
+        # outer, so that no filter is derived that would parse the texts again
+        answers.select("request_id", "document_id", F.posexplode_outer(groups).alias("p1", "g"))
+        .filter(F.col("g.value").startswith("["))
+        .select("request_id", "document_id", "p1", "g.key", F.posexplode_outer(F.from_json("g.value", "array<string>")).alias("p2", "item"))
+        .filter(F.col("item").rlike(r"^[\[{]"))
     )
-    flat = (
-        answers.filter(F.col("json").startswith("["))
-        .select("request_id", "document_id", F.lit(0).alias("p1"), F.lit(None).cast("string").alias("key"),
-                F.posexplode(F.from_json("json", "array<string>")).alias("p2", "item"))
-    )
-    return keyed.unionByName(flat).filter(F.col("item").rlike(r"^[\[{]"))
+
+
+_NUMBER = r"^(?:TINYINT|SMALLINT|INT|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
 def shape_records(answers: DataFrame) -> DataFrame:
     """Model records as columns: 13 fields from objects or positional lists.
 
-    Lists shorter than 13 are dropped; the group name overrides an object's type.
+    Both forms become one array of 13 values first. Lists shorter than 13 are
+    dropped; the group name overrides an object's type.
     """
-    items = _typed_items(answers).withColumn("v", F.try_parse_json("item"))
     is_list = F.col("item").startswith("[")
-    longer = ~is_list | (F.size(F.from_json("item", "array<string>")) >= len(RECORD_FIELDS))
-
-    def field(name: str, kind: str = "string") -> Column:
-        pos = RECORD_FIELDS.index(name)
-        return F.when(is_list, F.try_variant_get("v", f"$[{pos}]", kind)).otherwise(
-            F.try_variant_get("v", f"$.{name}", kind))
-
-    def kind_of(name: str) -> Column:
-        pos = RECORD_FIELDS.index(name)
-        return F.when(is_list, F.schema_of_variant(F.try_variant_get("v", f"$[{pos}]", "variant"))).otherwise(
-            F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")))
-
-    def inner(name: str, key: str) -> Column:
-        pos = RECORD_FIELDS.index(name)
-        return F.when(is_list, F.try_variant_get("v", f"$[{pos}].{key}", "double")).otherwise(
-            F.try_variant_get("v", f"$.{name}.{key}", "double"))
-
-    def inner_kind(name: str, key: str) -> Column:
-        pos = RECORD_FIELDS.index(name)
-        return F.when(is_list, F.schema_of_variant(F.try_variant_get("v", f"$[{pos}].{key}", "variant"))).otherwise(
-            F.schema_of_variant(F.try_variant_get("v", f"$.{name}.{key}", "variant")))
-
-    number = r"^(?:TINYINT|SMALLINT|INT|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-    from_object = F.coalesce(*[
-        F.when(inner_kind("confidence", k).rlike(number), inner("confidence", k)) for k in ("score", "value", "confidence")])
-    conf_kind = kind_of("confidence")
-    confidence = (F.when(conf_kind.rlike(number), field("confidence", "double"))
-                  .when(conf_kind.startswith("OBJECT"), from_object))
-    own_type = F.when(is_list, field("fact_type")).otherwise(F.coalesce("key", field("fact_type")))
-    return items.filter(longer).select(
+    named = F.array(*[F.try_variant_get("v", f"$.{name}", "variant") for name in RECORD_FIELDS])
+    items = (
+        _typed_items(answers)
+        .filter(~is_list | (F.size(F.from_json("item", "array<string>")) >= len(RECORD_FIELDS)))
+        .withColumn("v", F.try_parse_json("item"))
+        .withColumn("f", F.when(is_list, F.col("v").try_cast("array<variant>")).otherwise(named))
+    )
+    at = {name: F.col("f")[i] for i, name in enumerate(RECORD_FIELDS)}
+    text = lambda name: at[name].try_cast("string")
+    kind_of = F.schema_of_variant(at["confidence"])
+    inner = [F.try_variant_get(at["confidence"], f"$.{k}", "variant") for k in ("score", "value", "confidence")]
+    from_object = F.coalesce(*[F.when(F.schema_of_variant(x).rlike(_NUMBER), x.try_cast("double")) for x in inner])
+    confidence = F.when(kind_of.rlike(_NUMBER), at["confidence"].try_cast("double")).when(kind_of.startswith("OBJECT"), from_object)
+    own_type = F.when(is_list, text("fact_type")).otherwise(F.coalesce("key", text("fact_type")))
+    return items.select(
         "request_id", "document_id",
         (F.col("p1").cast("bigint") * F.lit(2 ** 31) + F.col("p2")).alias("ord"),
         own_type.alias("fact_type"),
-        F.nullif(K.strip(field("subject")), F.lit("")).alias("subject_text"),
-        F.nullif(field("predicate"), F.lit("")).alias("predicate"),
-        field("object").alias("object_text"),
-        field("value_num").try_cast("double").alias("value_num"),
-        *[field(f).alias(f) for f in ("value_text", "unit", "currency", "time_expr")],
-        field("location").alias("location_text"),
-        F.when(kind_of("qualifiers").startswith("OBJECT"), field("qualifiers")).otherwise(F.lit("{}")).alias("qualifier_json"),
+        F.nullif(K.strip(text("subject")), F.lit("")).alias("subject_text"),
+        F.nullif(text("predicate"), F.lit("")).alias("predicate"),
+        text("object").alias("object_text"),
+        text("value_num").try_cast("double").alias("value_num"),
+        *[text(f).alias(f) for f in ("value_text", "unit", "currency", "time_expr")],
+        text("location").alias("location_text"),
+        F.when(F.schema_of_variant(at["qualifiers"]).startswith("OBJECT"), F.to_json(at["qualifiers"])).otherwise(F.lit("{}")).alias("qualifier_json"),
         F.coalesce(confidence, F.lit(0.0)).alias("confidence_score"),
-        F.coalesce(field("evidence_text"), F.lit("")).alias("evidence_text"))
+        F.coalesce(text("evidence_text"), F.lit("")).alias("evidence_text"))
 
 
 def _reject(df: DataFrame, rules: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +195,7 @@ def ingest_evidence(answers: DataFrame, existing: DataFrame) -> DataFrame:
     body = F.from_json("json", "has_fact boolean, candidates array<struct<evidence_text:string,fact_type:string,priority:string>>")
     rows = (
         answers.withColumn("_b", body).filter(F.col("_b.has_fact"))
-        .select("request_id", "document_id", "chunk_id", F.posexplode("_b.candidates").alias("ord", "c"))
+        .select("request_id", "document_id", "chunk_id", F.posexplode_outer("_b.candidates").alias("ord", "c"))
         .select("request_id", "document_id", "chunk_id", "ord", "c.evidence_text", "c.fact_type",
                 F.coalesce("c.priority", F.lit("medium")).alias("priority"))
         .filter((F.col("evidence_text") != "") & F.col("fact_type").isin(*C.FACT_TYPES))

@@ -157,7 +157,7 @@ def ingest_analysis(answers: DataFrame) -> DataFrame:
     item = "array<struct<target:string,suggestion_type:string,confidence:double,reason:string,relation_type:string>>"
     listed = F.when(F.col("json").startswith("["), F.from_json("json", item)).otherwise(
         F.from_json("json", f"suggestions {item}")["suggestions"])
-    rows = answers.select("entity_id", F.posexplode(listed).alias("pos", "s")).filter(F.coalesce("s.target", F.lit("")) != "")
+    rows = answers.select("entity_id", F.posexplode_outer(listed).alias("pos", "s")).filter(F.coalesce("s.target", F.lit("")) != "")
     last = top_per_key(rows.select("entity_id", "pos", "s.*"), ["entity_id", "target"], [F.desc("pos")])
     return last.select(
         "entity_id", F.col("target").alias("target_name"), F.coalesce("suggestion_type", F.lit("关系")).alias("suggestion_type"),

@@ -83,9 +83,9 @@ def verdicts(answers: DataFrame) -> DataFrame:
     Accepts one object, a list, or lists one level deep; the last verdict on a fact wins.
     """
     as_list = F.when(F.col("json").startswith("{"), F.array("json")).otherwise(F.from_json("json", "array<string>"))
-    top = answers.select("request_id", F.posexplode(as_list).alias("p1", "item"))
+    top = answers.select("request_id", F.posexplode_outer(as_list).alias("p1", "item"))
     nested = F.when(F.col("item").startswith("["), F.from_json("item", "array<string>")).otherwise(F.array("item"))
-    flat = top.select("request_id", "p1", F.posexplode(nested).alias("p2", "item")).filter(F.col("item").startswith("{"))
+    flat = top.select("request_id", "p1", F.posexplode_outer(nested).alias("p2", "item")).filter(F.col("item").startswith("{"))
     parsed = F.from_json("item", "fact_id string, id string, verdict string, score double, review_note string")
     rows = flat.withColumn("v", parsed).select(
         "request_id", "p1", "p2",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import text as T
-from factloom.functions.keys import strip
 
 
 def clean_documents(docs: DataFrame, rules: C.CleanRules = C.CleanRules(),
@@ -32,19 +31,12 @@ def whole_text_chunks(cleaned: DataFrame) -> DataFrame:
 
 def split_chunks(docs: DataFrame, text: str = "clean_text", rules: C.ChunkRules = C.ChunkRules()) -> DataFrame:
     """Chunk table: short texts whole, long ones packed from paragraphs and sentences."""
-    sized = docs.filter(strip(F.col(text)) != "").withColumn("_size", T.effective_chars(F.col(text)))
-    short = sized.filter(F.col("_size") <= rules.short_text).select(
-        "document_id", F.lit(0).alias("chunk_index"), F.col(text).alias("chunk_text"),
-        F.lit(0).alias("char_start"), F.length(text).alias("char_end"))
-    plan, build = T.chunks(F.col(text), rules)
-    long = (
-        sized.filter(F.col("_size") > rules.short_text)
-        .withColumn("_paras", T.paragraphs(F.col(text)))
-        .withColumn("_plan", plan)
-        .select("document_id", F.posexplode(F.transform("_plan", build)).alias("chunk_index", "_c"))
+    # the outer form keeps Spark from deriving a filter that would repeat all the text work
+    return (
+        T.with_chunks(docs.select("document_id", text), text, rules)
+        .select("document_id", F.posexplode_outer("chunks").alias("chunk_index", "_c")).filter("_c is not null")
         .select("document_id", "chunk_index", "_c.chunk_text", "_c.char_start", "_c.char_end")
     )
-    return short.unionByName(long)
 
 
 def sentence_rows(docs: DataFrame, text: str = "clean_text") -> DataFrame:

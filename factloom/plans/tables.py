@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.operators.common import spread
+
 DOMAIN: dict[str, str] = {}
 
 DOMAIN["t_fact"] = """
@@ -171,6 +173,8 @@ DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+# tables whose rows get CPU-heavy work right after the scan
+HEAVY_TABLES = ("lineitem", "documents", "pages")
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -187,7 +191,8 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in DRIVER_TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+                self._cache[name] = spread(table) if name in HEAVY_TABLES else table
             elif name in DOMAIN:
                 self._cache[name] = self.sql(DOMAIN[name])
             else:
