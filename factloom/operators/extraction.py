@@ -49,13 +49,14 @@ def fact_requests(evidence: DataFrame, docs: DataFrame, rules: DataFrame, base_p
         **_document_fields(), fact_type=F.col("fact_type"), evidence_text=F.col("evidence_text"))
 
 
-def full_text_prompt(base: str, rules: DataFrame, context: DataFrame) -> DataFrame:
-    """The one-row prompt: base text, rule texts sorted by type, known entities.
+def full_text_prompt(base: str, rules: DataFrame) -> DataFrame:
+    """The one-row prompt: base text, then the rule texts sorted by type.
 
-    ``rules`` holds one row per fact type, ``context`` blocks of text with their order.
+    ``rules`` holds one row per fact type. The known entities follow as the lines of
+    ``relations.known_entity_lines``: they stay a table, as they grow with the data.
     """
-    ruled = rules.agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("fact_type", "rule_text"))), lambda r: r["rule_text"]), "\n\n").alias("rules"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("fact_type", "rule_text"))), lambda r: r["rule_text"])
+    ruled = rules.agg(F.array_join(texts, "\n\n").alias("rules"))
     return ruled.select(F.concat_ws(
         "\n\n", F.lit(base),
         F.when(F.col("rules") != "", F.concat(F.lit("## Fact-type specific rules\n\n"), "rules"))).alias("prompt"))

@@ -12,7 +12,6 @@ def strip(x: str) -> str:
 def subject_key(x: str) -> str:
     out = f"regexp_replace({strip(f'coalesce({x}, {chr(39)}{chr(39)})')}, '[（(][^）)]*[）)]', '', 'g')"
     for suffix in ("股份有限公司", "有限责任公司", "有限公司", "集团公司", "集团", "控股"):
-        n = len(suffix)
         out = f"regexp_replace({out}, '(.){suffix}$', '\\1')"
     return f"lower({strip(out)})"
 
