@@ -97,7 +97,7 @@ def contained_in(short: DataFrame, long: DataFrame, short_col: str, long_col: st
 
 
 def fold_ascii(col: Column) -> Column:
-    """Lower-case A-Z only, as the reference database's LIKE does."""
+    """Lower-case A-Z only: LIKE ignores ASCII case and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
