@@ -6,18 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import simhash
+from factloom.llm import mixing, pieces, simhash, topk, vector_dedup
 from factloom.llm.tables import table
 
+#: The tokenizer that the queries use; operators take its path as a parameter.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), model)
+
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_copies=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash}
+    return {"op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op10_topk": op10_topk}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix": mixing.SQL, "op7_vectors": vector_dedup.SQL, "op10_topk": topk.SQL}

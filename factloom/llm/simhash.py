@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.grouping import spanning
 from factloom.operators.components import connected_components
 from factloom.session import checkpoint
 
@@ -80,8 +81,8 @@ def _over(counts: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def near_rows(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For every fingerprint with a neighbour: its position and all positions within the radius."""
+def near_rows(prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """For every fingerprint with a neighbour: all positions within the radius, its own included."""
     bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     planes = _vertical(bits)
     n, words = len(prints), planes.shape[1]
@@ -103,19 +104,7 @@ def near_rows(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray
             alive = ~gone
             several = np.flatnonzero(np.bitwise_count(alive).sum(axis=1) > 1)
             rows = np.unpackbits(np.ascontiguousarray(alive[several]).view(np.uint8), axis=1, bitorder="little")
-            for q, row in zip(several, rows):
-                yield start + int(q), np.flatnonzero(row)
-
-
-def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) positions that connect exactly what the links connect."""
-    root = np.arange(len(prints))
-    for q, near in near_rows(prints, radius):
-        found = np.unique(root[near])
-        if len(found) > 1:
-            root[np.isin(root, found)] = found[0]
-    member = np.flatnonzero(root != np.arange(len(prints)))
-    return member, root[member]
+            yield from map(np.flatnonzero, rows)
 
 
 def _tile_edges(radius: int):
@@ -123,7 +112,8 @@ def _tile_edges(radius: int):
         def flush(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if parts:
                 tile = pd.concat(parts).drop_duplicates("print")
-                member, root = forest(tile["print"].to_numpy().view(np.uint64), radius)
+                prints = tile["print"].to_numpy().view(np.uint64)
+                member, root = spanning(len(prints), near_rows(prints, radius))
                 ids = tile["first"].to_numpy()
                 yield pd.DataFrame({"a": ids[root], "b": ids[member]})
 
