@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, pieces, simhash, topk, vector_dedup
+from factloom.llm import mixing, pieces, pii, simhash, topk, vector_dedup
 from factloom.llm.tables import table
 
 #: The tokenizer that the queries use; operators take its path as a parameter.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model)
 
@@ -37,7 +41,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op10_topk": op10_topk}
+    return {"op1_pii": op1_pii, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op10_topk": op10_topk}
 
 
 def all_sql() -> dict[str, str]:
