@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, pieces, pii, simhash, topk, vector_dedup
+from factloom.llm import licenses, mixing, pieces, pii, simhash, topk, url_filters, vector_dedup
 from factloom.llm.tables import table
 
 #: The tokenizer that the queries use; operators take its path as a parameter.
@@ -17,6 +17,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(url_filters.sample_captures(pages), url_filters.sample_entries(pages))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model)
 
@@ -35,14 +40,18 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op10_topk": op10_topk}
+    return {"op1_pii": op1_pii, "op2_url_filters": op2_url_filters, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.SQL, "op7_vectors": vector_dedup.SQL, "op10_topk": topk.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op6_mix": mixing.SQL, "op7_vectors": vector_dedup.SQL, "op9_licenses": licenses.SQL, "op10_topk": topk.SQL}
