@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import licenses, mixing, pieces, pii, simhash, topk, url_filters, vector_dedup
+from factloom.llm import licenses, mixing, pieces, pii, quality_model, simhash, topk, url_filters, vector_dedup
 from factloom.llm.tables import table
 
 #: The tokenizer that the queries use; operators take its path as a parameter.
@@ -22,6 +22,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(url_filters.sample_captures(pages), url_filters.sample_entries(pages))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model)
 
@@ -50,7 +54,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_url_filters": op2_url_filters, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
+    return {"op1_pii": op1_pii, "op2_url_filters": op2_url_filters, "op3_quality": op3_quality, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
 
 
 def all_sql() -> dict[str, str]:
