@@ -40,6 +40,9 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
+Node = tuple[dict, int]  # children by character, id of the piece that ends here or -1
+
+
 @dataclass
 class Vocabulary:
     """Pieces, scores and special ids of a model, and the forward pass over marked words."""
@@ -50,16 +53,23 @@ class Vocabulary:
     byte_ids: list[int]
     raw: list[bytes]
     merges: bool
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
     words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that hold a space mark after other characters are not supported")
-        self.longest = max(map(len, self.ids), default=1)
         self.lowest = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        if self.merges:  # a piece that merging can't reach is never used
-            self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.text = {i: p for p, i in self.ids.items()}
+        self.pieces: Node = ({}, -1)
+        for piece, number in self.ids.items():
+            if len(piece) > 1 and self.merges and self.merge(piece) != [piece]:
+                continue  # a piece that merging can't reach is never used
+            node = self.pieces
+            for i, c in enumerate(piece):
+                found = node[0].get(c, ({}, -1))
+                node[0][c] = (found[0], number) if i == len(piece) - 1 else found
+                node = node[0][c]
 
     @classmethod
     def of(cls, model: bytes) -> Vocabulary:
@@ -93,31 +103,37 @@ class Vocabulary:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def _follows(self, before: str, piece: str) -> bool:
+    def _follows(self, before: int, piece: int) -> bool:
         known = self.pairs.get((before, piece))
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[before, piece] = self.merge(before + piece) == [before, piece]
+            a, b = self.text[before], self.text[piece]
+            known = self.pairs[before, piece] = self.merge(a + b) == [a, b]
         return known
 
-    def _forward(self, word: str, end: int, starts: list[int], totals: list[float]) -> None:
-        """Append the state of the prefix that ends at ``end``: where its last piece starts, and its score."""
-        best, at = None, end - 1
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece in self.ids:
-                if self.merges and start and not self._follows(word[starts[start]:start], piece):
-                    continue
-                score = totals[start] + self.scores[piece]
-            elif end - start == 1:
-                score = totals[start] + self.lowest
-            else:
-                continue
-            if best is None or score > best:
-                best, at = score, start
-        starts.append(at)
-        totals.append(best)
+    def _choose(self, live: list[tuple[int, Node]], end: int, starts: list[int], last: list[int], totals: list[float]) -> None:
+        """Append the state of the prefix up to ``end``: start and id of its last piece (-1: unknown), and its score.
+
+        ``live`` holds the starts from which characters up to here spell a piece or the beginning of one, the
+        earliest first.
+        """
+        if self.merges:
+            for start, (_, piece) in live:
+                if piece >= 0 and (not start or last[start] < 0 or self._follows(last[start], piece)):
+                    starts.append(start)
+                    last.append(piece)
+                    return
+            starts.append(end - 1)
+            last.append(-1)
+            return
+        best = (totals[end - 1] + self.lowest, end - 1, -1) if not live or live[-1][0] < end - 1 or live[-1][1][1] < 0 else None
+        for start, (_, piece) in live:
+            if piece >= 0 and (best is None or totals[start] + self.scores[self.text[piece]] > best[0]):
+                best = (totals[start] + self.scores[self.text[piece]], start, piece)
+        totals.append(best[0])
+        starts.append(best[1])
+        last.append(best[2])
 
     def learn(self, words: set[str]) -> None:
         """Encode words not yet known, depth first over their trie."""
@@ -125,21 +141,30 @@ class Vocabulary:
         if len(self.words) + len(new) > KEPT_WORDS:
             self.words.clear()
             new = sorted(words)
-        starts, totals, last = [0], [0.0], ""
+        roots = self.pieces[0]
+        starts, last, totals, lives, before = [0], [-1], [0.0], [[]], ""
         for word in new:
             shared = 0
-            for a, b in zip(last, word):
+            for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del starts[shared + 1:], totals[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                self._forward(word, end, starts, totals)
-            last, ids, end = word, [], len(word)
+            for states in (starts, last, totals, lives):
+                del states[shared + 1:]
+            live = lives[shared]
+            for end in range(shared, len(word)):
+                c = word[end]
+                live = [(start, grown) for start, node in live if (grown := node[0].get(c))]
+                if c in roots:
+                    live.append((end, roots[c]))
+                lives.append(live)
+                self._choose(live, end + 1, starts, last, totals)
+            before, ids, end = word, [], len(word)
             while end:
-                piece = word[starts[end]:end]
-                known = self.ids.get(piece)
-                ids += [known] if known is not None else [self.byte_ids[b] for b in reversed(piece.encode())] if self.byte_ids else [self.unknown]
+                if last[end] >= 0:
+                    ids.append(last[end])
+                else:
+                    ids += [self.byte_ids[b] for b in reversed(word[starts[end]:end].encode())] if self.byte_ids else [self.unknown]
                 end = starts[end]
             self.words[word] = tuple(reversed(ids))
 
