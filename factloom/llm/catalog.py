@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import licenses, mixing, pieces, pii, quality_model, simhash, topk, url_filters, vector_dedup
+from factloom.llm import langid, licenses, mixing, pieces, pii, quality_model, simhash, topk, url_filters, vector_dedup
 from factloom.llm.tables import table
 
 #: The tokenizer that the queries use; operators take its path as a parameter.
@@ -44,6 +44,10 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_url_filters": op2_url_filters, "op3_quality": op3_quality, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
+    return {"op1_pii": op1_pii, "op2_url_filters": op2_url_filters, "op3_quality": op3_quality, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
 
 
 def all_sql() -> dict[str, str]:
