@@ -1,13 +1,12 @@
 """Sources, snapshot upserts, exports and deletion."""
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from factloom.plans.registry import query
 from factloom.plans.snippets import APPROVED
+from factloom.session import shared_folder
 from factloom.sources import documents as D
 from factloom.sources import sinks
 from factloom.sources.html import extract_pages, with_title
@@ -15,12 +14,7 @@ from factloom.sources.html import extract_pages, with_title
 
 def scratch(spark) -> str:
     """A new folder all executors can write to."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/export-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "export")
+    return f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
 
 
 def _text_folder(t) -> str:
