@@ -26,6 +26,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     given = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType())).add("n_ids", "long").add("round_trip", "boolean")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker = _Worker.get(model.value)
@@ -231,7 +232,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     ids=[None if x else i for x, i in zip(null, ids)], n_ids=[len(i) for i in ids],
                     round_trip=[None if x else r for x, r in zip(null, back)])
 
-    return given.mapInPandas(run, f"{schema}, ids array<int>, n_ids long, round_trip boolean")
+    return given.mapInPandas(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -241,7 +242,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] =
     the vocabulary are an error.
     """
     model = rows.sparkSession.sparkContext.broadcast(model_bytes(path))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    schema = StructType([rows.schema[c] for c in keep]).add("text", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker = _Worker.get(model.value)
@@ -249,4 +250,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] =
             texts = [None if i is None else worker.vocabulary.decode(np.asarray(i, np.int32), worker.lead) for i in frame["_ids"]]
             yield frame.drop(columns="_ids").assign(text=texts)
 
-    return rows.select(*keep, F.col(ids).alias("_ids")).mapInPandas(run, f"{schema}, text string")
+    return rows.select(*keep, F.col(ids).alias("_ids")).mapInPandas(run, schema)

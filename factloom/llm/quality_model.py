@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
@@ -170,22 +170,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, pd.DataFrame
         "labeller": LABELLERS, "right_if_good": chance[0, :, 1], "right_if_bad": bad[:, 0], "share_good": share[0]})
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and ``score``, the probability that a text is good; texts without words score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+def score(text: Column, weights: np.ndarray) -> Column:
+    """Probability that a text is good; NaN or null for a text that is null or has no words."""
+    small = weights.astype(np.float32)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
-        for frame in frames:
-            scores = np.zeros(len(frame))
-            for i, t in enumerate(frame["_text"]):
-                if isinstance(t, str) and t.strip():
-                    slots, values = features(t)
-                    scores[i] = 1 / (1 + np.exp(-np.clip(float(values @ w[slots]) + float(w[SLOTS]), -30, 30)))
-            yield frame.drop(columns="_text").assign(score=scores)
+    @F.pandas_udf("double")
+    def judged(texts: pd.Series) -> pd.Series:
+        found = np.full(len(texts), np.nan)
+        for i, t in enumerate(texts):
+            if isinstance(t, str) and t.strip():
+                slots, values = features(t)
+                found[i] = 1 / (1 + np.exp(-np.clip(float(values @ small[slots]) + float(small[SLOTS]), -30, 30)))
+        return pd.Series(found)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInPandas(run, f"{schema}, score double")
+    return judged(text.cast("string"))
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,11 +193,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
     repeated rows get the same score. An empty table gives no rows.
     """
     weights, _ = fit(docs, sample)
-    return score(docs, weights).withColumn("keep", F.col("score") >= threshold)
+    scored = docs.select("doc_id", F.coalesce(F.nanvl(score(F.col("text"), weights), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return scored.withColumn("keep", F.col("score") >= threshold)
 
 
 def good_documents(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns stay as they are."""
     weights, _ = fit(docs, sample)
-    whole = docs.withColumn("_whole", F.struct(*docs.columns)).select("_whole", F.col("text").alias("_of"))
-    return score(whole, weights, keep=("_whole",), text="_of").filter(F.col("score") >= threshold).select("_whole.*")
+    return docs.filter(F.nanvl(score(F.col("text"), weights), F.lit(0.0)) >= threshold)

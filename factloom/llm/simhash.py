@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             marks = np.array([fingerprint(t, width) for t in frame["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "print": marks.view(np.int64)})
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     return kept.mapInPandas(run, "doc_id long, text_hash long, print long")
 
 
@@ -112,9 +112,8 @@ def _tile_edges(radius: int):
         def flush(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if parts:
                 tile = pd.concat(parts).drop_duplicates("print")
-                prints = tile["print"].to_numpy().view(np.uint64)
-                member, root = spanning(len(prints), near_rows(prints, radius))
-                ids = tile["first"].to_numpy()
+                ids = tile["print"].to_numpy()
+                member, root = spanning(len(ids), near_rows(ids.view(np.uint64), radius))
                 yield pd.DataFrame({"a": ids[root], "b": ids[member]})
 
         held, size, rest = [], 0, None
@@ -140,8 +139,8 @@ def _tile_edges(radius: int):
     return run
 
 
-def links(firsts: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between the ``first`` ids of fingerprints within ``radius`` bits, up to connection."""
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints within ``radius`` bits, up to connection."""
     blocks = radius + 2
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     block = [F.shiftrightunsigned("print", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(blocks)]
@@ -149,14 +148,14 @@ def links(firsts: DataFrame, radius: int) -> DataFrame:
     for band, (i, j) in enumerate(combinations(range(blocks), 2)):
         joined = F.shiftleft(block[i], cuts[j + 1] - cuts[j]).bitwiseOR(block[j])
         keys.append(F.struct(F.lit(band).alias("band"), joined.alias("bits")))
-    keyed = firsts.select("first", "print", F.inline(F.array(*keys)))
+    keyed = prints.select("print", F.inline(F.array(*keys)))
     large = keyed.groupBy("band", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
     chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / TILE).cast("int")
     chunk = F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.least(k, F.col("chunk")) * F.col("chunks") + F.greatest(k, F.col("chunk")))
     tiles = (
         keyed.join(large, ["band", "bits"], "left").withColumn("chunks", chunks).withColumn("chunk", chunk)
-        .select("band", "bits", F.explode(pair).alias("part"), "print", "first")
+        .select("band", "bits", F.explode(pair).alias("part"), "print")
     )
     dealt = tiles.repartition("band", "bits", "part").sortWithinPartitions("band", "bits", "part")
     return dealt.mapInPandas(_tile_edges(radius), "a long, b long")
@@ -166,21 +165,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     """Fingerprint and link component of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns doc_id, text_hash (to tell rows that repeat an id apart), fingerprint (16 hex
-    digits) and component_id, the smallest doc_id reachable over links, itself included.
+    digits), group (a number per component) and component_id, the smallest doc_id reachable over links, itself included.
     A null, empty or blank text has fingerprint zero and is linked like any other. Rows
-    that repeat a doc_id count as one document. A row without doc_id gets the component
-    of its fingerprint, or null if no row with an id has that fingerprint. No rows in,
-    no rows out.
+    that repeat a doc_id are documents of their own. Rows without doc_id link like others; a component has no
+    id if none of its rows has one. No rows in, no rows out.
     """
     prints = checkpoint(fingerprints(docs, width))
     firsts = checkpoint(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
-    found = connected_components(links(firsts.filter("first is not null"), radius))
-    classes = (
-        firsts.join(found, firsts["first"] == found["node"], "left")
-        .select("print", F.coalesce("component", "first").alias("component_id"))
-    )
+    found = connected_components(links(firsts, radius))
+    grouped = firsts.join(found, firsts["print"] == found["node"], "left").select("print", "first", F.coalesce("component", "print").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
+    classes = grouped.join(least, "group").select("print", "group", "component_id")
     return prints.join(classes, "print").select(
-        "doc_id", "text_hash", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "group", "component_id")
 
 
 def first_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -190,12 +187,11 @@ def first_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame
     repeat an id are told apart by a hash of their text. Rows that repeat both are one.
     """
     marked = near_duplicates(docs, width, radius)
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     chosen = (
-        marked.groupBy(group.alias("_group"))
+        marked.groupBy("group")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_row"))
         .select(F.col("_row.doc_id").alias("_id"), F.col("_row.text_hash").alias("_hash"))
     )
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    same = hashed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (hashed["_hash"] == chosen["_hash"])
-    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_of"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    same = rows["_of"].eqNullSafe(chosen["_id"]) & (rows["_text"] == chosen["_hash"])
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["_of", "_text"]).select("_row.*")
