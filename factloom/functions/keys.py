@@ -62,9 +62,9 @@ _DISCRIMINATOR_KEY = {
 def discriminator(fact_type: Column, quals: Column, predicate: Column, object_text: Column) -> Column:
     """What tells two facts of one type and subject apart."""
     key = F.create_map(*[F.lit(x) for kv in _DISCRIMINATOR_KEY.items() for x in kv])[fact_type]
-    own = F.when(fact_type.isin("INVESTMENT", "COOPERATION"), F.substring(object_text, 1, 30)) \
+    own = F.when(fact_type.isin("INVESTMENT", "COOPERATION"), object_text) \
         .otherwise(F.try_element_at(quals, key))
-    return F.lower(strip(F.coalesce(F.nullif(own, F.lit("")), F.substring(predicate, 1, 20), F.lit(""))))
+    return F.lower(strip(F.coalesce(F.nullif(own, F.lit("")), predicate, F.lit(""))))
 
 
 KEY_COLUMNS = ("k_type", "k_subject", "k_disc", "k_value", "k_time")

@@ -194,10 +194,10 @@ def backfill_links(facts: DataFrame, entities: DataFrame, aliases: DataFrame) ->
 
 
 def disambiguate(names: DataFrame, entities: DataFrame, facts: DataFrame, docs: DataFrame,
-                 context: str | None = None, sample: int = 20) -> DataFrame:
+                 context: str | None = None) -> DataFrame:
     """Candidate entities of each distinct ``text``, with confidence and hints.
 
-    At most ``sample`` facts per entity are looked at for hints, which is part of the feature.
+    Hints are the distinct qualifier values and titles of all facts of an entity.
     """
     probes = names.withColumn("norm", _normalized_probe()).select(
         "text", F.explode(F.array_distinct(F.array_compact(F.array("text", "norm")))).alias("canonical_name"))
@@ -205,12 +205,13 @@ def disambiguate(names: DataFrame, entities: DataFrame, facts: DataFrame, docs:
     wanted = hits.select("entity_id").distinct()
     seen = role_union(facts.filter(F.col("qualifier_json").isNotNull()), "document_id", "qualifier_json") \
         .join(wanted, "entity_id", "left_semi")
-    few = top_per_key(seen, ["entity_id"], [F.col("fact_id")], sample).join(
-        docs.select("document_id", "title"), "document_id")
+    titled = seen.join(docs.select("document_id", "title"), "document_id")
     values = F.filter(F.map_values(K.qualifiers(F.col("qualifier_json"))), lambda v: K.strip(v) != "")
-    hints = few.groupBy("entity_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(values, K.strip))))).alias("q"),
-        F.array_sort(F.collect_set(F.substring("title", 1, 50))).alias("t"))
+    told = F.concat(F.transform(values, lambda v: F.struct(F.lit("q").alias("kind"), K.strip(v).alias("v"))),
+                    F.array(F.struct(F.lit("t").alias("kind"), F.col("title").alias("v"))))
+    distinct = titled.select("entity_id", F.inline(told)).distinct()  # before anything is gathered
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("v"))))
+    hints = distinct.groupBy("entity_id").agg(of("q").alias("q"), of("t").alias("t"))
     counts = hits.groupBy("text").agg(F.count("*").alias("_n"))
     rows = hits.join(hints, "entity_id", "left").join(counts, "text")
     place, own = K.bracketed_place(F.col("canonical_name")), K.bracketed_place(F.col("text"))
@@ -224,7 +225,7 @@ def disambiguate(names: DataFrame, entities: DataFrame, facts: DataFrame, docs:
             .otherwise(F.concat(F.lit("存在"), F.col("_n").cast("string"), F.lit("个同名实体，需结合上下文判断")))))
     found = rows.select(
         "text", "entity_id", "canonical_name", "entity_type", place.alias("place"), confidence.alias("confidence"),
-        F.array_join(F.slice("q", 1, 10), ",").alias("qualifiers"), F.array_join(F.slice("t", 1, 5), ",").alias("titles"),
+        F.array_join("q", ",").alias("qualifiers"), F.array_join("t", ",").alias("titles"),
         note.alias("note"), F.lit("match_best" if context else "require_manual").alias("fallback"))
     none = names.join(hits.select("text").distinct(), "text", "left_anti").withColumn("fallback", F.lit("create_new"))
     return found.unionByName(none, allowMissingColumns=True)

@@ -70,11 +70,11 @@ def _pair_key(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("_lo"), F.greatest(a, b).alias("_hi")]
 
 
-def generate_tasks(candidates: DataFrame, tasks: DataFrame, verdicts: DataFrame, max_calls: int = 30) -> tuple[DataFrame, DataFrame]:
+def generate_tasks(candidates: DataFrame, tasks: DataFrame, verdicts: DataFrame, max_calls: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(new tasks, pairs to ask the model about).
 
     Pairs already tasked in any order are skipped. Near-certain pairs become tasks at
-    once; of the others the ``max_calls`` best are asked, and become tasks when
+    once; the others (the ``max_calls`` best, if a number is given) are asked, and become tasks when
     ``verdicts`` (primary_id, secondary_id, verdict, confidence, reason, model,
     primary_name) knows them. The model may name the secondary as primary.
     """
@@ -84,7 +84,9 @@ def generate_tasks(candidates: DataFrame, tasks: DataFrame, verdicts: DataFrame,
     sure = fresh.filter(F.col("score") >= AUTO_SCORE).withColumns({
         "model_verdict": F.lit("合并"), "model_confidence": F.lit(1.0), "model_reason": F.lit("名称归一化后完全相同"),
         "model": F.lit("rule-only")})
-    asked = fresh.filter(F.col("score") < AUTO_SCORE).orderBy(F.desc("score"), "primary_id", "secondary_id").limit(max_calls)
+    asked = fresh.filter(F.col("score") < AUTO_SCORE)
+    if max_calls is not None:
+        asked = asked.orderBy(F.desc("score"), "primary_id", "secondary_id").limit(max_calls)
     v = verdicts.select(
         "primary_id", "secondary_id", F.col("verdict").alias("model_verdict"), F.col("confidence").alias("model_confidence"),
         F.col("reason").alias("model_reason"), "model", F.col("primary_name").alias("_chosen"))
@@ -116,10 +118,10 @@ def sample_facts(facts: DataFrame, n: int, sep: str = " ", with_text: bool = Tru
         F.sort_array(F.collect_list(F.struct("fact_id", fact_summary(sep, with_text).alias("line")))), lambda s: s["line"]).alias("lines"))
 
 
-def pair_requests(pairs: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
-    """Request per pair with up to three sample facts of each side."""
+def pair_requests(pairs: DataFrame, entities: DataFrame, facts: DataFrame, samples: int) -> DataFrame:
+    """Request per pair with up to ``samples`` sample facts of each side."""
     none = F.array().cast("array<string>")
-    info = entities.join(sample_facts(facts, 3), "entity_id", "left").select(
+    info = entities.join(sample_facts(facts, samples), "entity_id", "left").select(
         "entity_id", "canonical_name", "entity_type", F.coalesce("lines", none).alias("lines"))
     side = lambda p: info.select(F.col("entity_id").alias(f"{p}_id"), F.struct(
         F.col("canonical_name").alias("name"), F.col("entity_type").alias("type"), F.col("lines").alias("facts")).alias(p))
@@ -282,8 +284,8 @@ def cluster_score(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(K.contain_score(a, b), S.lcs_share(a, b)))
 
 
-def cluster_items(facts: DataFrame, entities: DataFrame, top_subjects: int | None = 300) -> DataFrame:
-    """Texts to cluster: all entity names, and the most frequent approved subjects."""
+def cluster_items(facts: DataFrame, entities: DataFrame, top_subjects: int | None = None) -> DataFrame:
+    """Texts to cluster: all entity names and approved subjects, or the ``top_subjects`` most frequent of these."""
     live = approved(facts)
     linked = live.groupBy(F.col("subject_entity_id").alias("entity_id")).agg(F.count("*").alias("fact_count"))
     ents = entities.join(linked, "entity_id", "left").select(
@@ -335,24 +337,27 @@ def cluster_names(items: DataFrame) -> DataFrame:
 
 
 def search_for_merge(keyword: str, facts: DataFrame, entities: DataFrame, aliases: DataFrame,
-                     caps: tuple[int, int, int, int] = (20, 10, 50, 30)) -> DataFrame:
+                     caps: tuple[int | None, int | None, int | None, int | None] = (None, None, None, None)) -> DataFrame:
     """Entities, entities by alias, and unlinked subject/object texts matching a keyword.
 
-    The caps per source are part of the search; earlier sources win a repeated text.
+    Earlier sources win a repeated text. ``caps`` keeps so many of the most frequent per source.
     """
     live = approved(facts)
     like = lambda c: fold_ascii(F.col(c)).contains(fold_ascii(F.lit(keyword)))
     counts = live.groupBy(F.col("subject_entity_id").alias("entity_id")).agg(F.count("*").alias("n"))
     none = F.lit(None).cast("string")
 
-    def entity_rows(chosen: DataFrame, pos: int, cap: int) -> DataFrame:
-        return chosen.join(counts, "entity_id", "left").select(
+    def entity_rows(chosen: DataFrame, pos: int, cap: int | None) -> DataFrame:
+        rows = chosen.join(counts, "entity_id", "left").select(
             F.lit(pos).alias("pos"), F.col("canonical_name").alias("text"), F.coalesce("n", F.lit(0)).alias("fact_count"),
-            "entity_id", "entity_type", F.lit("entity").alias("source")).orderBy(F.desc("fact_count"), "entity_id").limit(cap)
-
-    def text_rows(text: str, link: str, pos: int, cap: int) -> DataFrame:
-        return live.filter(like(text) & F.col(link).isNull()).groupBy(F.col(text).alias("text")).agg(
-            F.count("*").alias("fact_count")).orderBy(F.desc("fact_count"), "text").limit(cap).select(
+            "entity_id", "entity_type", F.lit("entity").alias("source"))
+        return rows if cap is None else rows.orderBy(F.desc("fact_count"), "entity_id").limit(cap)
+
+    def text_rows(text: str, link: str, pos: int, cap: int | None) -> DataFrame:
+        rows = live.filter(like(text) & F.col(link).isNull()).groupBy(F.col(text).alias("text")).agg(
+            F.count("*").alias("fact_count"))
+        rows = rows if cap is None else rows.orderBy(F.desc("fact_count"), "text").limit(cap)
+        return rows.select(
             F.lit(pos).alias("pos"), "text", "fact_count", none.alias("entity_id"), none.alias("entity_type"), F.lit(text).alias("source"))
 
     by_alias = entities.join(aliases.filter(like("alias_name")).select("entity_id").distinct(), "entity_id", "left_semi")

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from factloom.functions import keys as K
 from factloom.operators.common import approved, top_per_key
 
-BENCHMARKS_SCANNED, CO_RANKED = 50, 20
-
 
 def profile_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations seen from each entity, with direction and detail."""
@@ -26,17 +24,15 @@ def profile_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def profile_benchmarks(facts: DataFrame) -> DataFrame:
-    """The latest numeric facts of each entity, one per (type, predicate, time)."""
+    """The numeric facts of each entity, one per (type, predicate, time)."""
     numeric = approved(facts).filter(F.col("subject_entity_id").isNotNull() & F.col("value_num").isNotNull())
-    order = [F.desc_nulls_last("time_expr"), F.col("fact_id")]
-    latest = top_per_key(numeric, ["subject_entity_id"], order, BENCHMARKS_SCANNED)
-    first = top_per_key(latest, ["subject_entity_id", "fact_type", "predicate", "time_expr"], [F.col("fact_id")])
+    first = top_per_key(numeric, ["subject_entity_id", "fact_type", "predicate", "time_expr"], [F.col("fact_id")])
     return first.select(F.col("subject_entity_id").alias("entity_id"), "fact_type", F.col("predicate").alias("metric"),
                         F.col("value_num").alias("value"), "value_text", "unit", "currency", F.col("time_expr").alias("time"), "fact_id")
 
 
-def profile_competitors(facts: DataFrame, co_ranked: int = CO_RANKED) -> DataFrame:
-    """Ranking objects, then subjects ranked in the same documents (the first ``co_ranked``).
+def profile_competitors(facts: DataFrame, co_ranked: int | None = None) -> DataFrame:
+    """Ranking objects, then subjects ranked in the same documents, or the first ``co_ranked`` of these by name.
 
     Documents are joined over distinct (document, entity, name) rows, so a document
     with many ranking facts does not multiply them.
@@ -49,8 +45,8 @@ def profile_competitors(facts: DataFrame, co_ranked: int = CO_RANKED) -> DataFra
     here = linked.select("document_id", F.col("subject_entity_id").alias("entity_id")).distinct()
     there = approved(linked).select("document_id", F.col("subject_entity_id").alias("competitor_id"), F.col("subject_text").alias("name")).distinct()
     met = here.join(there, "document_id").filter("entity_id <> competitor_id").select("entity_id", "competitor_id", "name").distinct()
-    few = top_per_key(met, ["entity_id"], [F.col("name"), F.col("competitor_id")], co_ranked).withColumn("how", F.lit(1))
-    return top_per_key(direct.unionByName(few), ["entity_id", "name"], [F.col("how"), F.col("competitor_id")])
+    few = met if co_ranked is None else top_per_key(met, ["entity_id"], [F.col("name"), F.col("competitor_id")], co_ranked)
+    return top_per_key(direct.unionByName(few.withColumn("how", F.lit(1))), ["entity_id", "name"], [F.col("how"), F.col("competitor_id")])
 
 
 def build_profiles(facts: DataFrame, entities: DataFrame, aliases: DataFrame, relations: DataFrame, cache: DataFrame,

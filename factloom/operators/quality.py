@@ -158,7 +158,7 @@ def same_name_types(entities: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("entity_type")), ",").alias("types"), F.count("*").alias("n")).filter("n > 1")
 
 
-def contained_names(entities: DataFrame, limit: int | None = 20) -> DataFrame:
+def contained_names(entities: DataFrame, limit: int | None = None) -> DataFrame:
     """Entity pairs, places aside, whose names contain one another."""
     rows = entities.filter(~F.col("entity_type").isin(*PLACE_TYPES) & (F.length("canonical_name") >= 2)).select(
         "entity_id", "canonical_name", fold_ascii(F.col("canonical_name")).alias("f"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import config as C
@@ -10,9 +10,8 @@ from factloom.functions import keys as K
 from factloom.operators.common import approved, contained_in, keep_first, top_per_key
 from factloom.operators.merging import sample_facts
 
-SIMILAR_SCORE, SIMILAR_PER_ENTITY = 0.72, 10
+SIMILAR_SCORE = 0.72
 AUTO_CONFIRM = 0.75
-SUMMARY_MAX = 600
 
 
 def fact_candidates(facts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -34,10 +33,10 @@ def fact_candidates(facts: DataFrame, entities: DataFrame) -> DataFrame:
         F.col("fact_id").alias("evidence_fact_id"))
 
 
-def similar_candidates(entities: DataFrame, aliases: DataFrame, per_entity: int = SIMILAR_PER_ENTITY) -> DataFrame:
+def similar_candidates(entities: DataFrame, aliases: DataFrame, per_entity: int | None = None) -> DataFrame:
     """Other entities whose name contains, or is contained in, one of an entity's names.
 
-    Keeping the ``per_entity`` best is part of the feature.
+    ``per_entity`` keeps so many of the best.
     """
     names = entities.select("entity_id", F.col("canonical_name").alias("n")).unionByName(
         aliases.select("entity_id", F.col("alias_name").alias("n")))
@@ -59,6 +58,8 @@ def similar_candidates(entities: DataFrame, aliases: DataFrame, per_entity: int
         F.lit("name_similar").alias("source"), F.when(related, "子公司").otherwise("merge").alias("rel_hint"),
         F.round("s", 3).alias("score"),
         F.concat(F.lit("名称相似度 "), F.format_string("%.0f", F.col("s") * 100), F.lit("%（包含关系）")).alias("evidence"))
+    if per_entity is None:
+        return out
     return top_per_key(out, ["entity_id"], [F.desc("score"), F.col("target_name"), F.col("target_entity_id")], per_entity)
 
 
@@ -135,17 +136,24 @@ def decide_suggestions(suggestions: DataFrame, decisions: DataFrame) -> DataFram
 
 
 def analysis_requests(entities: DataFrame, facts: DataFrame, candidates: DataFrame, background: DataFrame,
-                      per_entity: int = 15, per_background: int = 8) -> DataFrame:
-    """One request per entity with candidates: 5 fact lines, best candidates, background."""
+                      lines: int, per_entity: int | None = None, per_background: int | None = None) -> DataFrame:
+    """One request per entity with candidates: up to ``lines`` sample fact lines, candidates, background.
+
+    ``per_entity`` and ``per_background`` keep so many of the best candidates and first background texts.
+    """
     order = [F.col("source"), F.desc("score"), F.col("target_name"), F.col("target_entity_id")]
-    some = top_per_key(candidates, ["entity_id"], order, per_entity, rank="k")
+    some = candidates.withColumn("k", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order)))
+    if per_entity is not None:
+        some = some.filter(F.col("k") <= per_entity)
     item = F.struct("k", F.col("target_name").alias("target"), "source", "evidence", F.col("score").alias("similarity"))
     listed = some.groupBy("entity_id").agg(F.count("*").alias("n_candidates"), F.sort_array(F.collect_list(item)).alias("_c"))
-    texts = top_per_key(background.filter(F.col("target_name").isNotNull()), ["entity_id"], [F.col("target_name")], per_background)
+    texts = background.filter(F.col("target_name").isNotNull())
+    if per_background is not None:
+        texts = top_per_key(texts, ["entity_id"], [F.col("target_name")], per_background)
     notes = texts.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("target_name", "search_evidence"))).alias("_b"))
     none = F.array().cast("array<string>")
     joined = listed.join(entities.select("entity_id", "canonical_name", "entity_type"), "entity_id") \
-        .join(sample_facts(facts, 5, " | ", False), "entity_id", "left").join(notes, "entity_id", "left")
+        .join(sample_facts(facts, lines, " | ", False), "entity_id", "left").join(notes, "entity_id", "left")
     body = F.struct(F.col("canonical_name").alias("entity"), F.col("entity_type").alias("type"),
                     F.coalesce("lines", none).alias("facts"), F.transform("_c", lambda c: c.dropFields("k")).alias("candidates"),
                     F.col("_b").alias("background"))
@@ -164,11 +172,11 @@ def ingest_analysis(answers: DataFrame) -> DataFrame:
         F.coalesce("confidence", F.lit(0.6)).alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"), "relation_type")
 
 
-def top_entities(facts: DataFrame, entities: DataFrame, n: int = 10, cap: int = 30) -> DataFrame:
-    """Entities with most approved facts as subject."""
+def top_entities(facts: DataFrame, entities: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` entities with most approved facts as subject."""
     counts = approved(facts).groupBy(F.col("subject_entity_id").alias("entity_id")).agg(F.count("*").alias("fact_count"))
     return entities.join(counts, "entity_id").select("entity_id", "canonical_name", "fact_count").orderBy(
-        F.desc("fact_count"), "entity_id").limit(min(n, cap))
+        F.desc("fact_count"), "entity_id").limit(n)
 
 
 def _related(relations: DataFrame) -> DataFrame:
@@ -177,8 +185,8 @@ def _related(relations: DataFrame) -> DataFrame:
     return f.unionByName(f.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def relation_candidates(facts: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Linked pairs of approved facts without a relation: type, evidence count, predicates."""
+def relation_candidates(facts: DataFrame, entities: DataFrame, relations: DataFrame, samples: int) -> DataFrame:
+    """Linked pairs of approved facts without a relation: type, evidence count, up to ``samples`` predicates."""
     rows = approved(facts).filter(F.col("fact_type").isin(*C.OBJECT_FACT_TYPES)).select(
         F.col("subject_entity_id").alias("a"), F.col("object_entity_id").alias("b"), "fact_type", "predicate", "fact_id").filter("a <> b")
     open_pairs = rows.join(_related(relations), ["a", "b"], "left_anti")
@@ -186,7 +194,7 @@ def relation_candidates(facts: DataFrame, entities: DataFrame, relations: DataFr
         F.count("*").alias("evidence_count"), F.bool_or(F.col("fact_type") == "INVESTMENT").alias("_i"),
         F.bool_or(F.col("fact_type") == "COOPERATION").alias("_c"))
     firsts = open_pairs.groupBy("a", "b", "predicate").agg(F.min("fact_id").alias("k"))
-    samples = top_per_key(firsts, ["a", "b"], [F.col("k")], 3).groupBy("a", "b").agg(F.array_join(F.transform(
+    samples = top_per_key(firsts, ["a", "b"], [F.col("k")], samples).groupBy("a", "b").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("k", "predicate"))), lambda s: s["predicate"]), ",").alias("sample_predicates"))
     kind = F.when(F.col("_i"), "SHAREHOLDER").when(F.col("_c"), "PARTNER").otherwise("SUBSIDIARY")
     name = lambda k, n: entities.select(F.col("entity_id").alias(k), F.col("canonical_name").alias(n))
@@ -260,31 +268,29 @@ def latest_cache(cache: DataFrame, n: int = 20) -> DataFrame:
 
 
 def background_summary(answers: DataFrame) -> DataFrame:
-    """Text per answer (entity_name, search_json, model_text): parts joined, cut, labelled by source."""
+    """Text per answer (entity_name, search_json, model_text): parts joined, labelled by source."""
     schema = ("Abstract string, AbstractURL string, Infobox struct<content:array<struct<label:string,value:string>>>, "
               "RelatedTopics array<struct<Text:string>>")
     d = F.col("_d")
     blank = lambda c: F.coalesce(c, F.lit(""))
     url = F.nullif(d["AbstractURL"], F.lit(""))
     abstract = K.strip(blank(d["Abstract"]))
-    lead = F.when(F.length(abstract) > 20, F.concat(
+    lead = F.when(abstract != "", F.concat(
         abstract, F.coalesce(F.concat(F.lit("（来源: "), url, F.lit("）")), F.lit(""))))
     empty = F.array().cast("array<string>")
     facts = F.transform(
-        F.filter(d["Infobox"]["content"], lambda i: (blank(i["label"]) != "") & (blank(i["value"]) != "") & (F.length(i["value"]) < 100)),
+        F.filter(d["Infobox"]["content"], lambda i: (blank(i["label"]) != "") & (blank(i["value"]) != "")),
         lambda i: F.concat(i["label"], F.lit(": "), i["value"]))
-    head = F.substring("entity_name", 1, 4)
     topics = F.transform(
-        F.filter(F.slice(d["RelatedTopics"], 1, 5), lambda r: r["Text"].contains(head) & (F.length(r["Text"]) > 10)),
-        lambda r: F.substring(r["Text"], 1, 200))
+        F.filter(d["RelatedTopics"], lambda r: r["Text"].contains(F.col("entity_name"))), lambda r: r["Text"])
     parts = F.concat(F.array_compact(F.array(lead)), F.coalesce(facts, empty), F.coalesce(topics, empty))
     staged = answers.withColumn("_d", F.from_json("search_json", schema)).withColumn(
-        "_web", F.substring(F.array_join(parts, " | "), 1, SUMMARY_MAX)).withColumn("_ai", K.strip(blank(F.col("model_text"))))
+        "_web", F.array_join(parts, " | ")).withColumn("_ai", K.strip(blank(F.col("model_text"))))
     web, ai = F.col("_web") != "", F.col("_ai") != ""
     text = F.concat_ws("\n", F.when(web, F.concat(F.lit("[网络搜索] "), "_web")), F.when(ai, F.concat(F.lit("[AI知识库] "), "_ai")))
     source = F.when(web & ai, "combined").when(web, "duckduckgo").when(ai, "llm_knowledge").otherwise("none")
     return staged.select(*[c for c in answers.columns if c not in ("search_json", "model_text")],
-                         F.substring(text, 1, SUMMARY_MAX).alias("summary_text"), source.alias("search_source"))
+                         text.alias("summary_text"), source.alias("search_source"))
 
 
 def known_entity_lines(entities: DataFrame, aliases: DataFrame, relations: DataFrame) -> DataFrame:

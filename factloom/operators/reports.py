@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import keys as K
 from factloom.operators.common import approved, fold_ascii, label, role_union, top_per_key
 
+# Fixed values
 RUNNING = ("处理中", "清洗中", "抽取中", "审核中", "链接中")
 BOARD_ORDER = ("失败", *RUNNING, "已完成")
 CLEARABLE = ("已完成", "失败", "内容为空", "清洗后为空")
@@ -16,7 +17,6 @@ PENDING_INPUTS = ("待处理", "imported", "failed", "extracting", "too_short")
 COMPANY_TYPES = ("COMPANY", "GROUP", "企业", "集团")
 DERIVED_LABELS = {"COOPERATION": "合作", "INVESTMENT": "投资", "EXPANSION": "扩建"}
 DEFAULT_MODEL = "deepseek-chat"
-GRAPH_FACTS, TIMELINE_FACTS = 2000, 500
 
 
 def like(column: str, pattern: str) -> Column:
@@ -45,7 +45,7 @@ def with_sources(facts: DataFrame, docs: DataFrame, evidence: DataFrame) -> Data
 def query_facts(facts: DataFrame, docs: DataFrame, evidence: DataFrame, subject: str = "", fact_type: str = "",
                 time_from: str = "", time_to: str = "", document_id=None, review_status: str = "",
                 limit: int | None = 100, offset: int = 0) -> DataFrame:
-    """Facts by optional conditions, newest first, with document and evidence."""
+    """Facts by optional conditions with document and evidence; a page holds the newest, all facts come unordered."""
     out = facts
     if subject:
         out = out.filter(like("subject_text", subject))
@@ -57,7 +57,8 @@ def query_facts(facts: DataFrame, docs: DataFrame, evidence: DataFrame, subject:
     if time_to:
         out = out.filter(F.col("time_expr") <= time_to)
     # cut first, then fetch documents and evidence for the page only
-    chosen = page(out.orderBy(F.desc("created_at"), "fact_id"), limit, offset)
+    paged = limit is not None or offset
+    chosen = page(out.orderBy(F.desc("created_at"), "fact_id"), limit, offset) if paged else out
     return with_sources(chosen, docs, evidence)
 
 
@@ -94,8 +95,8 @@ def _quals(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(q, F.lit(n)), F.lit("")) for n in names], F.lit(""))
 
 
-def fact_summaries(facts: DataFrame) -> DataFrame:
-    """Add ``summary`` and ``context_tag`` (at most 12 characters)."""
+def fact_summaries(facts: DataFrame, tag_chars: int | None = None) -> DataFrame:
+    """Add ``summary`` and ``context_tag``, which ``tag_chars`` shortens."""
     df = facts.withColumn("_q", K.qualifiers(F.col("qualifier_json")))
     kind, pred = F.col("fact_type"), F.coalesce("predicate", F.lit(""))
     number, text = F.col("value_num"), F.nullif("value_text", F.lit(""))
@@ -104,8 +105,8 @@ def fact_summaries(facts: DataFrame) -> DataFrame:
     whole = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
     value = F.when((kind == "COMPETITIVE_RANKING") & number.isNotNull() & pred.endswith("第"), whole).otherwise(F.coalesce(text, plain))
     parts = F.concat_ws(" ", F.nullif(pred, F.lit("")), F.concat(F.lit("→ "), F.nullif("object_text", F.lit(""))), value)
-    cut = lambda c: F.substring(c, 1, 12)
-    dots = lambda c: F.concat(cut(c), F.when(F.length(c) > 12, "…").otherwise(""))
+    cut = lambda c: c if tag_chars is None else F.substring(c, 1, tag_chars)
+    dots = lambda c: c if tag_chars is None else F.concat(cut(c), F.when(F.length(c) > tag_chars, "…").otherwise(""))
     price = label(_quals("price_type"), C.QUALIFIER_VALUE_LABELS, F.lit(""))
     tag = (F.when(kind == "COMPETITIVE_RANKING", dots(_quals("ranking_name", "segment")))
            .when(kind == "CAPACITY", cut(_quals("product_type")))
@@ -186,12 +187,12 @@ def failed_task_errors(tasks: DataFrame) -> DataFrame:
         "document_id", "task_id", "task_type", F.coalesce("error_message", F.lit("")).alias("error"))
 
 
-def document_order(listed: DataFrame, limit: int | None = 200) -> DataFrame:
-    """Failed first, then running, then the rest newest first."""
+def document_order(listed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Failed first, then running, then the rest newest first; ``limit`` cuts this order, so failures stay."""
     rank = F.when(F.col("status") == C.DOC_FAILED, 0).when(F.col("status").isin(*RUNNING), 1).otherwise(2)
-    newest = page(listed.orderBy(F.desc("crawl_time"), "document_id"), limit)
-    return newest.withColumn("rank", rank).orderBy(
+    ordered = listed.withColumn("rank", rank).orderBy(
         "rank", F.when(F.col("rank") < 2, F.col("crawl_time")), F.desc("crawl_time"), "document_id")
+    return page(ordered, limit)
 
 
 def document_summary(listed: DataFrame) -> DataFrame:
@@ -281,13 +282,8 @@ def entity_top_documents(facts: DataFrame, docs: DataFrame, n: int = 10) -> Data
     return top_per_key(known, ["entity_id"], [F.desc("fact_count"), F.col("document_id")], n)
 
 
-def derived_relations(facts: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Relations read off the facts of entities that have no confirmed relation.
-
-    One row per (entity, direction, fact type, target) with a description made of up
-    to three non-numeric predicates and two qualifier notes, and up to five fact ids.
-    Each list is cut per group before it is gathered.
-    """
+def _derived_rows(facts: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Linked approved facts seen from both ends, for entities without a confirmed relation."""
     related = relations.select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("entity_id")).distinct()
     linked = approved(facts).filter("subject_entity_id <> object_entity_id")
     side = lambda own, other, direction: linked.select(
@@ -295,31 +291,46 @@ def derived_relations(facts: DataFrame, entities: DataFrame, relations: DataFram
         "predicate", "qualifier_json")
     target = entities.filter(F.col("entity_type").isin(*COMPANY_TYPES) & ~F.col("canonical_name").rlike(C.PROJECT_LIKE_NAME)).select(
         F.col("entity_id").alias("target_id"), F.col("canonical_name").alias("target_name"), F.col("entity_type").alias("target_type"))
-    rows = side("subject_entity_id", "object_entity_id", "from").unionByName(side("object_entity_id", "subject_entity_id", "to")) \
+    return side("subject_entity_id", "object_entity_id", "from").unionByName(side("object_entity_id", "subject_entity_id", "to")) \
         .join(related, "entity_id", "left_anti").join(target, "target_id")
-    group = ["entity_id", "direction", "fact_type", "target_id"]
 
-    def gathered(values: DataFrame, n: int, sep: str, name: str) -> DataFrame:
-        few = top_per_key(values.groupBy(*group, "v").agg(F.min("k").alias("k")), group, [F.col("k")], n)
-        return few.groupBy(*group).agg(F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), sep).alias(name))
+
+def derived_relations(facts: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relations read off the facts of entities that have no confirmed relation.
+
+    One row per (entity, direction, fact type, target) with a description made of its distinct
+    non-numeric predicates and qualifier notes, in the order of their first facts. Facts are
+    counted, not listed; ``derived_relation_facts`` has them as rows. All is one aggregate over
+    (group, text), so a hot group is combined before the shuffle.
+    """
+    rows = _derived_rows(facts, entities, relations)
+    group = ["entity_id", "direction", "fact_type", "target_id"]
 
     text = K.strip(F.coalesce("predicate", F.lit("")))
-    preds = rows.select(*group, text.alias("v"), F.struct("fact_id").alias("k")).filter((F.col("v") != "") & ~F.col("v").rlike("[为达约超]$"))
-    order = {key: i for i, key in enumerate(C.RELATION_NOTE_KEYS)}
-    note_keys = F.array(*[F.lit(k) for k in order])
-    notes = rows.withColumn("_q", K.qualifiers(F.col("qualifier_json"))).select(*group, "fact_id", "_q", F.posexplode(note_keys).alias("pos", "key"))
-    value = K.strip(F.try_element_at("_q", F.col("key")))
-    notes = notes.withColumn("v", value).filter((F.col("v") != "") & ~F.lower("v").isin("true", "false")).select(
-        *group, label(F.col("v"), C.RELATION_VALUE_LABELS).alias("v"), F.struct("fact_id", "pos").alias("k"))
-    ids = gathered(rows.select(*group, F.col("fact_id").alias("v"), F.struct("fact_id").alias("k")), 5, ",", "fact_ids")
-    base = rows.groupBy(*group, "target_name", "target_type").agg(F.count("*").alias("fact_count"))
-    full = base.join(ids, group).join(gathered(preds, 3, "、", "_p"), group, "left").join(gathered(notes, 2, "、", "_n"), group, "left")
-    described = F.when(F.col("_p").isNotNull(), F.concat("_p", F.coalesce(F.concat(F.lit("（"), "_n", F.lit("）")), F.lit("")))) \
+    notes = F.array(*[F.struct(F.lit(i).alias("pos"), K.strip(F.try_element_at("_q", F.lit(k))).alias("v")) for i, k in enumerate(C.RELATION_NOTE_KEYS)])
+    told = F.filter(notes, lambda n: (n["v"] != "") & ~F.lower(n["v"]).isin("true", "false"))
+    item = lambda kind, v, pos: F.struct(F.lit(kind).alias("kind"), v.alias("v"), pos.alias("pos"))
+    spoken = F.when((text != "") & ~text.rlike("[为达约超]$"), F.array(item("p", text, F.lit(0))))
+    items = F.concat(
+        F.array(item("all", F.lit(""), F.lit(0))), F.coalesce(spoken, F.array().cast("array<struct<kind:string,v:string,pos:int>>")),
+        F.transform(told, lambda n: item("n", label(n["v"], C.RELATION_VALUE_LABELS), n["pos"])))
+    first = rows.withColumn("_q", K.qualifiers(F.col("qualifier_json"))).select(
+        *group, "target_name", "target_type", "fact_id", F.inline(items)).groupBy(*group, "target_name", "target_type", "kind", "v").agg(
+        F.count("*").alias("n"), F.min(F.struct("fact_id", "pos")).alias("k"))
+    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("kind") == kind, F.struct("k", "v")))), lambda x: x["v"]), "、")
+    full = first.groupBy(*group, "target_name", "target_type").agg(
+        F.sum(F.when(F.col("kind") == "all", F.col("n"))).alias("fact_count"), listed("p").alias("_p"), listed("n").alias("_n"))
+    described = F.when(F.col("_p") != "", F.concat("_p", F.when(F.col("_n") != "", F.concat(F.lit("（"), "_n", F.lit("）"))).otherwise(""))) \
         .otherwise(label(F.col("fact_type"), DERIVED_LABELS))
     return full.withColumn("relation_type", described).drop("_p", "_n")
 
 
+def derived_relation_facts(facts: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """The facts behind ``derived_relations``, one row each: group columns and fact_id."""
+    return _derived_rows(facts, entities, relations).select("entity_id", "direction", "fact_type", "target_id", "fact_id")
+
+
 def _timeline_key() -> dict[str, Column]:
     text = lambda c: F.coalesce(c, F.lit(""))
     kind = F.col("fact_type")
@@ -341,19 +352,21 @@ def _timeline_key() -> dict[str, Column]:
     }
 
 
-def timelines(facts: DataFrame, limit: int = TIMELINE_FACTS) -> DataFrame:
+def timelines(facts: DataFrame, limit: int | None = None) -> DataFrame:
     """Timeline of every linked entity: latest first, undated last, near-repeats merged.
 
-    Of repeated facts the most confident shows, at the place of the first.
+    Of repeated facts the most confident shows, at the place of the first. ``limit`` keeps so many entries per entity.
     """
     columns = ["fact_type", "subject_text", "predicate", "object_text", "value_num", "value_text", "time_expr", "confidence_score", "qualifier_json"]
     rows = role_union(approved(facts), *columns)
     order = [F.coalesce("time_expr", F.lit("")) == "", F.desc("time_expr"), F.col("fact_id")]
-    latest = top_per_key(rows, ["entity_id"], order, limit, rank="pos")
-    keyed = latest.withColumn("_q", K.qualifiers(F.col("qualifier_json"))).withColumns(_timeline_key())
+    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order)))
+    keyed = placed.withColumn("_q", K.qualifiers(F.col("qualifier_json"))).withColumns(_timeline_key())
     best = F.struct(F.coalesce("confidence_score", F.lit(0.0)).alias("c"), (-F.col("pos")).alias("p"), *[
         F.col(c) for c in ("fact_id", "subject_text", "predicate", "object_text", "value_num", "time_expr")])
     merged = keyed.groupBy("entity_id", "fact_type", "_k0", "_k1", "_k2", "_k3").agg(F.min("pos").alias("pos"), F.max(best).alias("b"))
+    if limit is not None:  # after merging, so that repeats push nothing out
+        merged = top_per_key(merged, ["entity_id"], [F.col("pos")], limit)
     return merged.select("entity_id", "pos", "fact_type", "b.fact_id", "b.subject_text", "b.predicate", "b.object_text",
                          "b.value_num", "b.time_expr", F.col("b.c").alias("confidence_score"))
 
@@ -436,8 +449,8 @@ def kb_top_entities(facts: DataFrame, entities: DataFrame, n: int = 10) -> DataF
 # ---- graph ------------------------------------------------------------------
 
 def graph(facts: DataFrame, entities: DataFrame, relations: DataFrame, fact_type: str = "", document_id=None,
-          limit: int | None = GRAPH_FACTS) -> dict[str, DataFrame]:
-    """Nodes, edges and figures of the knowledge graph over the newest approved facts.
+          limit: int | None = None) -> dict[str, DataFrame]:
+    """Nodes, edges and figures of the knowledge graph over all approved facts, or the ``limit`` newest.
 
     Nodes are entities, or ``text::name`` for unlinked texts; edges are facts with an
     object and confirmed relations.
@@ -447,7 +460,8 @@ def graph(facts: DataFrame, entities: DataFrame, relations: DataFrame, fact_type
         live = live.filter(F.col("fact_type") == fact_type)
     if document_id is not None:
         live = live.filter(F.col("document_id") == document_id)
-    newest = page(live.filter(F.col("subject_text").isNotNull()).orderBy(F.desc("created_at"), "fact_id"), limit)
+    named = live.filter(F.col("subject_text").isNotNull())
+    newest = named if limit is None else page(named.orderBy(F.desc("created_at"), "fact_id"), limit)
     node = lambda link, text: F.coalesce(link, F.when(F.col(text) != "", F.concat(F.lit("text::"), text)))
     placed = newest.withColumns({"source": node("subject_entity_id", "subject_text"), "target": node("object_entity_id", "object_text")}) \
         .filter(F.col("source").isNotNull())

@@ -228,12 +228,12 @@ def e12(t):
 
 @query("E13_record_dedup", """
 WITH k AS (SELECT *, lower(trim(subject_text)) AS s, nullif(value_num, 0) AS v, lower(coalesce(time_expr, '')) AS w,
-  lower(coalesce(nullif(CASE fact_type WHEN 'INVESTMENT' THEN substr(object_text, 1, 30)
-    WHEN 'COOPERATION' THEN substr(object_text, 1, 30)
+  lower(coalesce(nullif(CASE fact_type WHEN 'INVESTMENT' THEN object_text
+    WHEN 'COOPERATION' THEN object_text
     WHEN 'FINANCIAL_METRIC' THEN CASE WHEN json_valid(qualifier_json) THEN json_extract_string(qualifier_json, '$.metric_name') END
     WHEN 'SALES_VOLUME' THEN CASE WHEN json_valid(qualifier_json) THEN json_extract_string(qualifier_json, '$.metric_name') END
     WHEN 'EXPANSION' THEN CASE WHEN json_valid(qualifier_json) THEN json_extract_string(qualifier_json, '$.project_name') END
-    END, ''), substr(predicate, 1, 20))) AS d FROM t_fact)
+    END, ''), predicate)) AS d FROM t_fact)
 SELECT fact_id FROM k QUALIFY row_number() OVER (PARTITION BY document_id, fact_type, s, d, v, w
   ORDER BY confidence_score DESC, fact_id) = 1""")
 def e13(t):

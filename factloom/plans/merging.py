@@ -37,7 +37,7 @@ WITH c AS (SELECT 'S' || CAST(a.s_suppkey AS VARCHAR) AS p, 'S' || CAST(b.s_supp
   FROM supplier a JOIN supplier b ON b.s_suppkey IN (a.s_suppkey + 1, a.s_suppkey + 2)),
 f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM t_merge_task t WHERE least(t.primary_id, t.secondary_id) = least(p, s)
   AND greatest(t.primary_id, t.secondary_id) = greatest(p, s))),
-asked AS (SELECT * FROM f WHERE score < 98e-2 ORDER BY score DESC, p, s LIMIT 30)
+asked AS (SELECT * FROM f WHERE score < 98e-2)
 SELECT p AS primary_id, s AS secondary_id, score AS rule_score, '合并' AS model_verdict, 'rule-only' AS model FROM f WHERE score >= 98e-2
 UNION ALL SELECT CASE WHEN bal > 5000 THEN s ELSE p END, CASE WHEN bal > 5000 THEN p ELSE s END, score, '合并', 'm'
 FROM asked WHERE bal > 1000""")
@@ -61,7 +61,7 @@ i AS (SELECT entity_id, {{'name': canonical_name, 'type': entity_type, 'facts':
 SELECT primary_id, secondary_id, CAST(to_json({{'primary': p.info, 'secondary': s.info}}) AS VARCHAR) AS body
 FROM t_merge_task JOIN i p ON p.entity_id = primary_id JOIN i s ON s.entity_id = secondary_id""")
 def m3(t):
-    return M.pair_requests(t.t_merge_task, t.t_entity, t.t_fact)
+    return M.pair_requests(t.t_merge_task, t.t_entity, t.t_fact, samples=3)
 
 
 @query("M4_task_list", """
@@ -162,7 +162,7 @@ def m9(t):
 
 @query("M9_cluster_items", f"""
 WITH f AS (SELECT * FROM t_fact WHERE {APPROVED}), c AS (SELECT subject_entity_id AS e, count(*) AS n FROM f GROUP BY 1),
-s AS (SELECT subject_text AS text, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, text LIMIT 300)
+s AS (SELECT subject_text AS text, count(*) AS n FROM f GROUP BY 1)
 SELECT canonical_name AS text, coalesce(n, 0) AS fact_count, 'entity' AS source FROM t_entity LEFT JOIN c ON e = entity_id
 UNION ALL SELECT text, n, 'subject_text' FROM s WHERE text NOT IN (SELECT canonical_name FROM t_entity)""")
 def m9_items(t):
@@ -184,11 +184,10 @@ _KW = "#00000001"
 @query("M11_merge_search", f"""
 WITH f AS (SELECT * FROM t_fact WHERE {APPROVED}), c AS (SELECT subject_entity_id AS entity_id, count(*) AS n FROM f GROUP BY 1),
 a AS (SELECT 0 AS pos, canonical_name AS text, coalesce(n, 0) AS fact_count, entity_id FROM t_entity LEFT JOIN c USING (entity_id)
-  WHERE contains(canonical_name, '{_KW}') ORDER BY fact_count DESC, entity_id LIMIT 20),
+  WHERE contains(canonical_name, '{_KW}') ),
 b AS (SELECT 1, canonical_name, coalesce(n, 0) AS fc, entity_id FROM t_entity LEFT JOIN c USING (entity_id)
-  WHERE entity_id IN (SELECT entity_id FROM t_alias WHERE contains(alias_name, '{_KW}')) ORDER BY fc DESC, entity_id LIMIT 10),
-s AS (SELECT 2, subject_text, count(*) AS n, NULL FROM f WHERE subject_entity_id IS NULL AND contains(subject_text, '{_KW}')
-  GROUP BY 2 ORDER BY n DESC, subject_text LIMIT 50),
+  WHERE entity_id IN (SELECT entity_id FROM t_alias WHERE contains(alias_name, '{_KW}')) ),
+s AS (SELECT 2, subject_text, count(*) AS n, NULL FROM f WHERE subject_entity_id IS NULL AND contains(subject_text, '{_KW}') GROUP BY 2),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM s)
 SELECT pos, text, fact_count, entity_id FROM u QUALIFY row_number() OVER (PARTITION BY text ORDER BY pos, fact_count DESC, entity_id) = 1""")
 def m11(t):

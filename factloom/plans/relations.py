@@ -26,8 +26,7 @@ _A2 = f"""own AS (SELECT DISTINCT entity_id AS x, {norm_name('n')} AS nx FROM (S
 oth AS (SELECT entity_id AS y, coalesce(nullif({norm_name('canonical_name')}, ''), canonical_name) AS ny, canonical_name AS cy FROM t_entity),
 sc AS (SELECT x, y, any_value(cy) AS cy, max({contain_score('nx', 'ny')}) AS s FROM own JOIN oth ON x <> y
   AND (contains(nx, ny) OR contains(ny, nx)) GROUP BY x, y),
-a2 AS (SELECT x AS entity_id, cy AS target_name, y AS target_entity_id, round(s, 3) AS score FROM sc WHERE s >= 72e-2
-  QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(s, 3) DESC, cy, y) <= 10)"""
+a2 AS (SELECT x AS entity_id, cy AS target_name, y AS target_entity_id, round(s, 3) AS score FROM sc WHERE s >= 72e-2)"""
 
 
 @query("A2_similar_candidates", f"WITH {_A2} SELECT * FROM a2")
@@ -102,12 +101,12 @@ def a5_decide(t):
 
 
 @query("A6_analysis_requests", f"""WITH {_A1}, {_A2},
-c AS (SELECT entity_id, least(count(*), 15) AS n_candidates FROM (SELECT entity_id FROM a1 UNION ALL SELECT entity_id FROM a2) GROUP BY 1),
+c AS (SELECT entity_id, count(*) AS n_candidates FROM (SELECT entity_id FROM a1 UNION ALL SELECT entity_id FROM a2) GROUP BY 1),
 f AS (SELECT subject_entity_id AS entity_id, least(count(*), 5) AS n FROM t_fact WHERE {APPROVED} GROUP BY 1)
 SELECT entity_id, n_candidates, coalesce(n, 0) AS n_facts FROM c LEFT JOIN f USING (entity_id)""")
 def a6(t):
     cand, _, _, background = _inputs(t)
-    return R.analysis_requests(t.t_entity, t.t_fact, cand, background).drop("body")
+    return R.analysis_requests(t.t_entity, t.t_fact, cand, background, lines=5).drop("body")
 
 
 @query("A7_analysis_answers", """
@@ -125,7 +124,7 @@ def a7(t):
 
 @query("A8_top_entities", f"""
 SELECT entity_id, canonical_name, count(*) AS fact_count FROM t_entity JOIN t_fact ON subject_entity_id = entity_id
-WHERE {APPROVED} GROUP BY ALL ORDER BY fact_count DESC, entity_id LIMIT 30""")
+WHERE {APPROVED} GROUP BY ALL ORDER BY fact_count DESC, entity_id LIMIT 50""")
 def a8(t):
     return R.top_entities(t.t_fact, t.t_entity, n=50)
 
@@ -140,7 +139,7 @@ SELECT a AS from_id, b AS to_id, CASE WHEN bool_or(fact_type = 'INVESTMENT') THE
   WHEN bool_or(fact_type = 'COOPERATION') THEN 'PARTNER' ELSE 'SUBSIDIARY' END AS suggested_type, count(*) AS evidence_count,
   any_value(sample_predicates) AS sample_predicates FROM f JOIN q USING (a, b) GROUP BY a, b""")
 def a9(t):
-    return R.relation_candidates(t.t_fact, t.t_entity, t.t_relation).drop("from_name", "to_name")
+    return R.relation_candidates(t.t_fact, t.t_entity, t.t_relation, samples=3).drop("from_name", "to_name")
 
 
 @query("A10_proposals", """
@@ -232,10 +231,10 @@ def a14(t):
 
 
 @query("A15_background", """
-WITH x AS (SELECT doc_id, split_part(text, ' ', 1) AS name, substr(text, 1, 700) AS body, source, lang FROM documents)
+WITH x AS (SELECT doc_id, source, lang FROM documents)
 SELECT doc_id, CASE WHEN lang = 'en' THEN 'none' WHEN lang = 'de' THEN 'llm_knowledge' ELSE CASE WHEN lang = 'fr' THEN 'combined' ELSE 'duckduckgo' END END AS search_source,
-  CASE WHEN lang = 'en' THEN '' WHEN lang = 'de' THEN '[AI知识库] about ' || source WHEN lang = 'fr' THEN '[网络搜索] type: ' || source || chr(10) || '[AI知识库] about ' || source
-    ELSE '[网络搜索] type: ' || source END AS summary_text FROM x""")
+  CASE WHEN lang = 'en' THEN '' WHEN lang = 'de' THEN '[AI知识库] about ' || source WHEN lang = 'fr' THEN '[网络搜索] short | type: ' || source || chr(10) || '[AI知识库] about ' || source
+    ELSE '[网络搜索] short | type: ' || source END AS summary_text FROM x""")
 def a15(t):
     box = F.struct(F.array(F.struct(F.lit("type").alias("label"), F.col("source").alias("value"))).alias("content"))
     search = F.when(F.col("lang").isin("fr", "es"), F.to_json(F.struct(F.lit("short").alias("Abstract"), box.alias("Infobox"))))
@@ -254,8 +253,7 @@ def p1(t):
     return P.profile_relations(t.t_relation, t.t_entity).select("entity_id", "target_name", "relation_type", "direction", "detail_json")
 
 
-_P2 = f"""l AS (SELECT * FROM t_fact WHERE {APPROVED} AND subject_entity_id IS NOT NULL AND value_num IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY subject_entity_id ORDER BY time_expr DESC NULLS LAST, fact_id) <= 50),
+_P2 = f"""l AS (SELECT * FROM t_fact WHERE {APPROVED} AND subject_entity_id IS NOT NULL AND value_num IS NOT NULL),
 p2 AS (SELECT subject_entity_id AS entity_id, fact_type, predicate AS metric, value_num AS value, time_expr AS time, fact_id FROM l
   QUALIFY row_number() OVER (PARTITION BY subject_entity_id, fact_type, predicate, time_expr ORDER BY fact_id) = 1)"""
 
@@ -269,7 +267,7 @@ _P3 = f"""rk AS (SELECT * FROM t_fact WHERE fact_type = 'COMPETITIVE_RANKING' AN
 d AS (SELECT subject_entity_id AS entity_id, object_text AS name, 0 AS how FROM rk WHERE {APPROVED} AND object_text <> '' GROUP BY 1, 2),
 m AS (SELECT DISTINCT a.subject_entity_id AS entity_id, b.subject_entity_id AS cid, b.subject_text AS name FROM rk a JOIN rk b USING (document_id)
   WHERE a.subject_entity_id <> b.subject_entity_id AND b.{APPROVED}),
-w AS (SELECT entity_id, name, 1 AS how FROM m QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY name, cid) <= 20),
+w AS (SELECT entity_id, name, 1 AS how FROM m),
 p3 AS (SELECT entity_id, name, min(how) AS how FROM (SELECT * FROM d UNION ALL SELECT * FROM w) GROUP BY 1, 2)"""
 
 
@@ -296,9 +294,9 @@ pr AS (SELECT entity_id, fact_count, (SELECT count(*) FROM t_alias a WHERE a.ent
   FROM n JOIN t_entity USING (entity_id))"""
 
 
-@query("P4_profiles", f"WITH {_profile_sql(65)} SELECT *, '聚合' AS profile_source FROM pr")
+@query("P4_profiles", f"WITH {_profile_sql(1)} SELECT *, '聚合' AS profile_source FROM pr")
 def p4(t):
-    return _profiles(t, 65).drop("canonical_name", "entity_type")
+    return _profiles(t).drop("canonical_name", "entity_type")
 
 
 @query("P5_enriched_profiles", f"""WITH {_profile_sql(1)}

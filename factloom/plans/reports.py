@@ -74,7 +74,7 @@ def q3_reviews(t):
 
 @query("Q4_document_order", f"""WITH {_DOCS}
 SELECT document_id, CASE WHEN status = '失败' THEN 0 WHEN status = '处理中' THEN 1 ELSE 2 END AS rank FROM
-  (SELECT * FROM dl ORDER BY crawl_time DESC, document_id LIMIT 200)""")
+  dl""")
 def q4(t):
     return R.document_order(_listed(t)).select("document_id", "rank")
 
@@ -170,7 +170,7 @@ def q10_docs(t):
 
 
 _GRAPH = f"""p AS (SELECT *, coalesce(subject_entity_id, 'text::' || subject_text) AS s,
-  coalesce(object_entity_id, 'text::' || object_text) AS o FROM t_fact WHERE {APPROVED} ORDER BY created_at DESC, fact_id LIMIT 2000),
+  coalesce(object_entity_id, 'text::' || object_text) AS o FROM t_fact WHERE {APPROVED}),
 ed AS (SELECT fact_id AS edge_id, s AS source, o AS target, fact_type, predicate FROM p WHERE o IS NOT NULL
   UNION ALL SELECT 'rel::' || relation_id, from_entity_id, to_entity_id, 'ENTITY_RELATION',
     CASE relation_type WHEN 'SUBSIDIARY' THEN '子公司' ELSE '合作方' END FROM t_relation),
@@ -230,29 +230,33 @@ def q13_docs(t):
     return R.entity_top_documents(t.t_fact, t.t_doc).select("entity_id", "document_id", "title", "fact_count")
 
 
-_FEW_REL = "source = '手动' AND CAST(regexp_extract(detail_json, '([0-9]+)', 1) AS INT) >= 50"
 
 
-@query("Q14_derived_relations", f"""
-WITH rel AS (SELECT * FROM t_relation WHERE {_FEW_REL}), used AS (SELECT from_entity_id AS e FROM rel UNION SELECT to_entity_id FROM rel),
+_DERIVED = f"""used AS (SELECT from_entity_id AS e FROM t_relation UNION SELECT to_entity_id FROM t_relation),
 l AS (SELECT * FROM t_fact WHERE {APPROVED} AND subject_entity_id <> object_entity_id),
 r AS (SELECT subject_entity_id AS entity_id, object_entity_id AS target_id, 'from' AS direction, fact_type, fact_id, predicate, qualifier_json FROM l
   UNION ALL SELECT object_entity_id, subject_entity_id, 'to', fact_type, fact_id, predicate, qualifier_json FROM l),
 k AS (SELECT r.*, canonical_name AS target_name FROM r JOIN t_entity e ON e.entity_id = target_id
-  WHERE r.entity_id NOT IN (SELECT e FROM used) AND entity_type = '企业'),
-b AS (SELECT entity_id, direction, fact_type, target_id, any_value(target_name) AS target_name, count(*) AS fact_count,
-  bool_or(predicate = '战略合作') AS coop FROM k GROUP BY 1, 2, 3, 4),
-i AS (SELECT entity_id, direction, fact_type, target_id, string_agg(fact_id, ',' ORDER BY fact_id) AS fact_ids FROM (SELECT * FROM k
-  QUALIFY row_number() OVER (PARTITION BY entity_id, direction, fact_type, target_id ORDER BY fact_id) <= 5) GROUP BY 1, 2, 3, 4),
-n AS (SELECT entity_id, direction, fact_type, target_id, {qual('project_name')} AS v, min(fact_id) AS f FROM k WHERE {qual('project_name')} <> '' GROUP BY 1, 2, 3, 4, 5),
-m AS (SELECT entity_id, direction, fact_type, target_id, string_agg(v, '、' ORDER BY f) AS notes FROM (SELECT * FROM n
-  QUALIFY row_number() OVER (PARTITION BY entity_id, direction, fact_type, target_id ORDER BY f) <= 2) GROUP BY 1, 2, 3, 4)
-SELECT entity_id, direction, fact_type, target_id, target_name, fact_count, fact_ids,
+  WHERE r.entity_id NOT IN (SELECT e FROM used) AND entity_type = '企业')"""
+_GROUP = "entity_id, direction, fact_type, target_id"
+
+
+@query("Q14_derived_relations", f"""
+WITH {_DERIVED},
+b AS (SELECT {_GROUP}, any_value(target_name) AS target_name, count(*) AS fact_count, bool_or(predicate = '战略合作') AS coop FROM k GROUP BY {_GROUP}),
+n AS (SELECT {_GROUP}, {qual('project_name')} AS v, min(fact_id) AS f FROM k WHERE {qual('project_name')} <> '' GROUP BY ALL),
+m AS (SELECT {_GROUP}, string_agg(v, '、' ORDER BY f) AS notes FROM n GROUP BY {_GROUP})
+SELECT {_GROUP}, target_name, fact_count,
   CASE WHEN coop THEN '战略合作' || coalesce('（' || notes || '）', '') ELSE CASE fact_type WHEN 'COOPERATION' THEN '合作'
     WHEN 'INVESTMENT' THEN '投资' WHEN 'EXPANSION' THEN '扩建' ELSE fact_type END END AS relation_type
-FROM b JOIN i USING (entity_id, direction, fact_type, target_id) LEFT JOIN m USING (entity_id, direction, fact_type, target_id)""")
+FROM b LEFT JOIN m USING ({_GROUP})""")
 def q14(t):
-    return R.derived_relations(t.t_fact, t.t_entity, t.t_relation.filter(_FEW_REL)).drop("target_type")
+    return R.derived_relations(t.t_fact, t.t_entity, t.t_relation).drop("target_type")
+
+
+@query("Q14_derived_relation_facts", f"WITH {_DERIVED} SELECT {_GROUP}, fact_id FROM k")
+def q14_facts(t):
+    return R.derived_relation_facts(t.t_fact, t.t_entity, t.t_relation)
 
 
 @query("Q15_timelines", f"""WITH {_ROLES},
@@ -260,7 +264,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY coalesce(time
 k AS (SELECT *, CASE WHEN fact_type IN ('FINANCIAL_METRIC', 'SALES_VOLUME') THEN coalesce(nullif({qual('metric_name')}, ''), predicate)
     WHEN fact_type = 'COMPETITIVE_RANKING' THEN coalesce(nullif(value_text, ''), CAST(nullif(value_num, 0) AS VARCHAR), '')
     WHEN fact_type IN ('INVESTMENT', 'EXPANSION', 'COOPERATION') THEN coalesce(object_text, '') ELSE predicate END AS k1,
-  CASE WHEN fact_type = 'COMPETITIVE_RANKING' THEN '' ELSE coalesce(value_text, '') END AS k2, coalesce(time_expr, '') AS k3 FROM n WHERE pos <= 500)
+  CASE WHEN fact_type = 'COMPETITIVE_RANKING' THEN '' ELSE coalesce(value_text, '') END AS k2, coalesce(time_expr, '') AS k3 FROM n)
 SELECT entity_id, min(pos) OVER w AS pos, fact_type, fact_id, subject_text, predicate, object_text, value_num, time_expr, confidence_score FROM k
 WINDOW w AS (PARTITION BY entity_id, fact_type, subject_text, k1, k2, k3)
 QUALIFY row_number() OVER (PARTITION BY entity_id, fact_type, subject_text, k1, k2, k3 ORDER BY confidence_score DESC, pos) = 1""")
@@ -308,7 +312,7 @@ def q19(t):
 @query("Q20_summaries", f"""
 SELECT fact_id, concat_ws(' ', predicate, '→ ' || object_text, coalesce(value_text, CAST(value_num AS VARCHAR) || ' ' || unit)) AS summary,
   coalesce(CASE fact_type WHEN 'EXPANSION' THEN {qual('project_name')} WHEN 'INVESTMENT' THEN {qual('project_name')}
-    WHEN 'FINANCIAL_METRIC' THEN substr({qual('metric_name')}, 1, 12) END, '') AS context_tag FROM t_fact""")
+    WHEN 'FINANCIAL_METRIC' THEN {qual('metric_name')} END, '') AS context_tag FROM t_fact""")
 def q20(t):
     return R.fact_summaries(t.t_fact).select("fact_id", "summary", "context_tag")
 

@@ -26,12 +26,12 @@ def qual(key: str, col: str = "qualifier_json") -> str:
 
 
 def discriminator() -> str:
-    fallback = "coalesce(substr(predicate, 1, 20), '')"
+    fallback = "coalesce(predicate, '')"
     own = f"""CASE fact_type WHEN 'FINANCIAL_METRIC' THEN {qual('metric_name')}
-      WHEN 'INVESTMENT' THEN substr(object_text, 1, 30) WHEN 'EXPANSION' THEN {qual('project_name')}
+      WHEN 'INVESTMENT' THEN object_text WHEN 'EXPANSION' THEN {qual('project_name')}
       WHEN 'CAPACITY' THEN {qual('product_type')} WHEN 'SALES_VOLUME' THEN {qual('metric_name')}
       WHEN 'MARKET_SHARE' THEN {qual('market_scope')} WHEN 'COMPETITIVE_RANKING' THEN {qual('ranking_scope')}
-      WHEN 'COOPERATION' THEN substr(object_text, 1, 30) WHEN 'PRICE_CHANGE' THEN {qual('price_type')} END"""
+      WHEN 'COOPERATION' THEN object_text WHEN 'PRICE_CHANGE' THEN {qual('price_type')} END"""
     return f"lower({strip(f'coalesce(nullif({own}, {chr(39)}{chr(39)}), {fallback})')})"
 
 

@@ -71,7 +71,7 @@ def pasted(submissions: DataFrame) -> DataFrame:
 def web_pages(pages: DataFrame) -> DataFrame:
     """Fetched pages (page_id, url, html) as documents."""
     titled = with_title(extract_pages(pages))
-    return _submission(titled.withColumn("source_name", F.substring("url", 1, 200)), "网址")
+    return _submission(titled.withColumn("source_name", F.col("url")), "网址")
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:

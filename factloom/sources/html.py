@@ -169,4 +169,4 @@ def with_title(extracted: DataFrame, fallback: str = "url") -> DataFrame:
     body = F.filter(lines, lambda l: (F.length(l) >= 4) & ~l.startswith("http"))
     return extracted.withColumn("title", F.coalesce(
         blank_to_null(F.col("og_title")), blank_to_null(F.col("h1")), blank_to_null(F.col("title_tag")),
-        F.substring(F.try_element_at(body, F.lit(1)), 1, 200), F.col(fallback)))
+        F.try_element_at(body, F.lit(1)), F.col(fallback)))
