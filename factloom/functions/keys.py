@@ -48,6 +48,12 @@ def qualifiers(col: Column) -> Column:
     return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
 
 
+def members(col: Column) -> Column:
+    """Top-level members of a JSON object with their values as they are; empty for anything else."""
+    parsed = F.try_variant_get(F.try_parse_json(col), "$", "map<string,variant>")
+    return F.coalesce(parsed, F.create_map().cast("map<string,variant>"))
+
+
 _DISCRIMINATOR_KEY = {
     "FINANCIAL_METRIC": "metric_name",
     "EXPANSION": "project_name",

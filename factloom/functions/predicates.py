@@ -8,13 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import keys as K
 from factloom.functions.keys import strip
 
 _U = "(?Ud)"
 # --- fixed values: patterns, in the order they are applied ----------------
 HAN = r"[\x{4e00}-\x{9fff}]"
 YEAR = r"^(\d{4}年(?:\d{1,2}月)?)"
-AT_PLACE = rf"^在(中国|全球|全国|国内|{HAN}{{2,8}}(?:省|市|区|县|基地|工厂|园区))"
+AT_PLACE = rf"^(在(?:中国|全球|全国|国内|{HAN}{{2,8}}(?:省|市|区|县|基地|工厂|园区)))"
 AT_PLACE_VERB = rf"^在({HAN}{{2,8}})(建厂|建设|投产|设厂|投资|扩产)"
 SCOPE = r"^(全球|全国|中国|国内|中国市场)"
 BROAD_SCOPE = r"^(全厂|集团全球|全球|国内外|全国)(?=(?:产能|销售|营收|收入|产量|销量))"
@@ -80,33 +81,19 @@ def _cut_prefix(df: DataFrame, rule: _Prefix) -> DataFrame:
     })
 
 
-def _set_qualifier(json: Column, field: str) -> Column:
-    """Insert the computed qualifier into the JSON object, dropping an old empty value."""
-    value = F.col(f"_q_{field}")
-    old = rf'"{field}"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\]]*)\s*,?'
-    rest = F.regexp_replace(F.regexp_replace(json, old, ""), r",?\s*\}\s*\z", "}")
-    pair = F.to_json(F.create_map(F.lit(field), value))
-    merged = F.when(
-        F.regexp_replace(rest, r"\s", "") == "{}", pair
-    ).otherwise(F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(","),
-                         F.substring(pair, F.lit(2), F.length(pair))))
-    return F.when(F.col(f"_set_{field}"), merged).otherwise(json)
-
-
 def normalize_predicates(facts: DataFrame, location: str = "location_text") -> DataFrame:
     """Rewrite ``predicate`` and fill ``time_expr``, ``location`` and ``qualifier_json``.
 
-    Values already present are kept; only ``duration`` is always overwritten.
+    Values already present are kept; only ``duration`` is always overwritten. Qualifiers are
+    edited as a map of top-level keys, so nested values stay as they are, and the text is
+    untouched where no rule fires; where one does, unreadable text gives way to the new keys.
     """
-    parsed = F.from_json("qualifier_json", "map<string,string>")
-    usable = F.when(parsed.isNotNull(), F.col("qualifier_json")).otherwise(F.lit("{}"))
-    df = facts.withColumns({"_json": usable, "_p": F.col("predicate")})
-    df = df.withColumn("_map", F.from_json("_json", "map<string,string>"))
+    df = facts.withColumns({"_map": K.qualifiers(F.col("qualifier_json")), "_p": F.col("predicate")})
     df = df.withColumns({f"_q_{t}": F.try_element_at("_map", F.lit(t)) for t in TARGETS})
     df = df.withColumns({f"_old_{t}": F.col(f"_q_{t}") for t in TARGETS})
 
     df = _cut_prefix(df, _Prefix(YEAR, "time_expr"))
-    df = _cut_prefix(df, _Prefix(AT_PLACE.replace("^在(", "^(在(?:", 1) + ")", location, tuple(PLACE_SYNONYMS.items())))
+    df = _cut_prefix(df, _Prefix(AT_PLACE, location, tuple(PLACE_SYNONYMS.items())))
     # a place without an administrative suffix is recognised by the verb that follows
     df = df.withColumns({"_m": _group(AT_PLACE_VERB, 1), "_verb": _group(AT_PLACE_VERB, 2)})
     bare_place = (F.col("_m") != "") & (F.col("_p") == F.col("predicate"))
@@ -164,9 +151,12 @@ def normalize_predicates(facts: DataFrame, location: str = "location_text") -> D
         "_p": F.when(split, F.lit(CAPACITY_VERB)).otherwise(F.col("_p"))})
 
     df = df.withColumns({f"_set_{t}": ~F.col(f"_q_{t}").eqNullSafe(F.col(f"_old_{t}")) for t in TARGETS})
-    for target in TARGETS:
-        df = df.withColumn("_json", _set_qualifier(F.col("_json"), target))
-    return df.withColumns({"predicate": F.col("_p"), "qualifier_json": F.col("_json")}).select(*facts.columns)
+    fired = F.array_compact(F.array(*[F.when(F.col(f"_set_{t}"), F.lit(t)) for t in TARGETS]))
+    added = F.array_compact(F.array(*[F.when(F.col(f"_set_{t}"), F.struct(F.lit(t).alias("key"), F.col(f"_q_{t}").cast("variant").alias("value"))) for t in TARGETS]))
+    kept = F.map_filter(K.members(F.col("qualifier_json")), lambda k, _: ~F.array_contains("_fired", k))
+    df = df.withColumns({"_fired": fired, "_added": F.map_from_entries(added)})
+    edited = F.when(F.size("_fired") > 0, F.to_json(F.map_concat(kept, "_added"))).otherwise(F.col("qualifier_json"))
+    return df.withColumns({"predicate": F.col("_p"), "qualifier_json": edited}).select(*facts.columns)
 
 
 def matches_root(fact_type: Column, predicate: Column, roots: dict) -> Column:

@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 from factloom import config as C
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that has fewer splits than the cluster has cores.
-
-    Large inputs are split by their files and row groups and pass through; a small
-    one in a single row group would otherwise keep CPU-heavy work on one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def approved(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("review_status").isin(*C.APPROVED))
 

@@ -297,23 +297,22 @@ def lint_before_after(facts: DataFrame) -> DataFrame:
 
 
 def clean_qualifiers(facts: DataFrame) -> DataFrame:
-    """Rename two qualifier keys (an existing target wins) and drop three.
+    """Rename two top-level qualifier keys (an existing target wins) and drop three.
 
-    Values keep their JSON types: keys are edited in the text of the object.
+    Values keep their JSON types and nested objects are not looked into. Text that
+    isn't an object, or has none of the keys, is left as it is.
     """
     text = F.col("qualifier_json")
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    out = text
-    member = r'\s*:\s*("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,{}\[\]"]+)'
-    for old, new in QUALIFIER_RENAMES.items():
-        free = ~F.array_contains(keys, new)
-        out = F.when(free, F.regexp_replace(out, rf'"{old}"(\s*:)', f'"{new}"$1')).otherwise(
-            F.regexp_replace(out, rf'"{old}"{member}\s*,?', ""))
-    for gone in QUALIFIER_REMOVALS:
-        out = F.regexp_replace(out, rf'"{gone}"{member}\s*,?', "")
-    tidy = F.regexp_replace(out, r",\s*\}", "}")
-    touched = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in (*QUALIFIER_RENAMES, *QUALIFIER_REMOVALS)]))
-    return facts.withColumn("qualifier_json", F.when(touched, tidy).otherwise(text))
+    given = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    new_name = F.create_map(*[F.lit(x) for kv in QUALIFIER_RENAMES.items() for x in kv])
+    removed = F.array(*[F.lit(k) for k in QUALIFIER_REMOVALS])
+    target = lambda k: F.coalesce(F.try_element_at(new_name, k), k)
+    entries = F.filter(F.map_entries("_members"), lambda e: ~F.array_contains(removed, e["key"]) & (
+        (target(e["key"]) == e["key"]) | ~F.array_contains(F.map_keys("_members"), target(e["key"]))))
+    renamed = F.map_from_entries(F.transform(entries, lambda e: F.struct(target(e["key"]).alias("key"), e["value"].alias("value"))))
+    touched = F.arrays_overlap(given, F.array(*[F.lit(k) for k in (*QUALIFIER_RENAMES, *QUALIFIER_REMOVALS)]))
+    return facts.withColumn("_members", K.members(text)).withColumn(
+        "qualifier_json", F.when(touched & (F.size("_members") > 0), F.to_json(renamed)).otherwise(text)).select(*facts.columns)
 
 
 def fill_currency(facts: DataFrame) -> DataFrame:

@@ -176,17 +176,22 @@ SELECT fact_id, CASE fact_type WHEN 'EXPANSION' THEN '已建成' WHEN 'COMPETITI
     WHEN 'CAPACITY' THEN '产能' WHEN 'COOPERATION' THEN predicate ELSE '综合销售额为' END AS predicate,
   coalesce(time_expr, CASE WHEN fact_type NOT IN ('EXPANSION', 'COMPETITIVE_RANKING', 'COOPERATION') THEN '2020年' END) AS time_expr,
   CASE fact_type WHEN 'EXPANSION' THEN '一期工程' WHEN 'COMPETITIVE_RANKING' THEN '中国船舶涂料产销量'
-    WHEN 'CAPACITY' THEN '船舶涂料' END AS moved FROM t_fact""")
+    WHEN 'CAPACITY' THEN '船舶涂料' END AS moved,
+  fact_id || '", "phase": {' AS deep, unit AS listed FROM t_fact""")
 def e10(t):
     kind = F.col("fact_type")
     source = (F.when(kind == "EXPANSION", "一期工程已建成").when(kind == "COMPETITIVE_RANKING", "位居中国船舶涂料产销量第一")
               .when(kind == "CAPACITY", F.lit("2020年全国船舶涂料产能")).when(kind == "COOPERATION", F.col("predicate"))
               .otherwise(F.lit("2020年综合销售额")))
-    out = normalize_predicates(t.t_fact.withColumn("predicate", source))
+    # nested, listed and escaped values that hold the words of the rules
+    nested = F.to_json(F.struct(
+        F.struct(F.concat("fact_id", F.lit('", "phase": {')).alias("phase")).alias("detail"), F.array(F.lit("phase"), F.col("unit")).alias("duration"), F.lit("").alias("yoy")))
+    out = normalize_predicates(t.t_fact.withColumns({"predicate": source, "qualifier_json": nested}))
     key = (F.when(kind == "EXPANSION", "phase").when(kind == "COMPETITIVE_RANKING", "ranking_scope")
            .when(kind == "CAPACITY", "product_type").otherwise(""))
     return out.select("fact_id", "predicate", "time_expr", F.try_element_at(
-        F.from_json("qualifier_json", "map<string,string>"), key).alias("moved"))
+        F.from_json("qualifier_json", "map<string,string>"), key).alias("moved"),
+        F.get_json_object("qualifier_json", "$.detail.phase").alias("deep"), F.get_json_object("qualifier_json", "$.duration[1]").alias("listed"))
 
 
 @query("E11_completion_requests", """

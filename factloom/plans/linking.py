@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import keys as K
-from factloom.functions import similarity as S
 from factloom.operators import linking as L
 from factloom.plans.registry import query
 from factloom.plans.snippets import APPROVED, contain_score, norm_name, place
@@ -37,16 +36,6 @@ def l2(t):
     return _pairs(t).select("task_id", F.round(K.contain_score(F.col("a"), F.col("b")), 9).alias("score"))
 
 
-@query("L3_matcher_ratio")
-def l3(t):
-    return _pairs(t).select("task_id", F.round(S.matcher_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
-
-
-@query("L4_similarity")
-def l4(t):
-    return _pairs(t).select("task_id", F.round(S.similarity(F.col("a"), F.col("b")), 9).alias("score"))
-
-
 @query("L5_places", f"""
 SELECT entity_id, {place('canonical_name')} AS place,
   regexp_matches(canonical_name, '^(?:{'|'.join(C.REGION_WORDS)})|(?:{'|'.join(C.REGION_WORDS)})$') AS regional FROM t_entity""")

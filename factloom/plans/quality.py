@@ -113,10 +113,14 @@ def k7(t):
     return Q.check_links(t.t_fact, t.t_entity, t.t_alias)
 
 
-@query("K8_relations", """
-SELECT (SELECT count(*) FROM t_relation) AS relations, (SELECT count(*) FROM t_suggestion) AS suggestions,
-  (SELECT count(*) FROM t_suggestion WHERE status = '待处理') AS pending_suggestions, (SELECT count(*) FROM t_merge_task WHERE status = '待处理') AS pending_merges,
-  'medium' AS severity""")
+_K8 = """k8 AS (SELECT (SELECT count(*) FROM t_relation) AS relations, (SELECT count(*) FROM t_suggestion) AS suggestions,
+  (SELECT count(*) FROM t_suggestion WHERE status = '待处理') AS pending_suggestions, (SELECT count(*) FROM t_merge_task WHERE status = '待处理') AS pending_merges)"""
+_K6_SEVERITY = "CASE WHEN missing_time > 5 OR missing_evidence > 0 THEN 'high' ELSE 'low' END"
+_K7_SEVERITY = """CASE WHEN no_subject_link > 10 THEN 'high' WHEN no_subject_link + no_object_link > 0 OR orphans > total_entities * 3e-1 THEN 'medium' ELSE 'low' END"""
+_K8_SEVERITY = "CASE WHEN relations = 0 THEN 'high' WHEN pending_suggestions + pending_merges > 0 THEN 'medium' ELSE 'low' END"
+
+
+@query("K8_relations", f"WITH {_K8} SELECT *, {_K8_SEVERITY} AS severity FROM k8")
 def k8(t):
     return Q.check_relations(t.t_relation, t.t_suggestion, t.t_merge_task)
 
@@ -143,11 +147,22 @@ def k9(t):
     return Q.contained_names(t.t_entity, limit=None)
 
 
-@query("K10_overall", "SELECT '需要关注' AS overall")
+@query("K10_overall", f"""
+WITH {_K5}, {_K6}, {_K7}, {_K8}, pairs AS ({_PAIRS}),
+again AS (SELECT canonical_name FROM t_entity GROUP BY 1 HAVING count(*) > 1),
+a AS (SELECT 'types' AS name, severity FROM k5 UNION ALL SELECT 'facts', {_K6_SEVERITY} FROM k6 UNION ALL SELECT 'links', {_K7_SEVERITY} FROM k7
+  UNION ALL SELECT 'relations', {_K8_SEVERITY} FROM k8
+  UNION ALL SELECT 'duplicates', CASE WHEN (SELECT count(*) FROM again) > 0 OR (SELECT count(*) FROM pairs) > 5 THEN 'medium' ELSE 'low' END),
+n AS (SELECT * FROM (VALUES ('all', ['types', 'facts', 'links', 'relations', 'duplicates']), ('types', ['types']), ('names', ['relations', 'duplicates'])) v(scope, names))
+SELECT scope, CASE WHEN bool_or(severity = 'high') THEN '需要关注' WHEN bool_or(severity = 'medium') THEN '基本正常' ELSE '健康' END AS overall
+FROM n JOIN a ON list_contains(names, name) GROUP BY scope""")
 def k10(t):
-    return Q.overall([
-        Q.check_entity_types(t.t_entity), Q.check_facts(t.t_fact, t.t_evidence), Q.check_links(t.t_fact, t.t_entity, t.t_alias),
-        Q.check_relations(t.t_relation, t.t_suggestion, t.t_merge_task), Q.check_duplicates(t.t_entity)])
+    types, duplicates = Q.check_entity_types(t.t_entity), Q.check_duplicates(t.t_entity)
+    relations = Q.check_relations(t.t_relation, t.t_suggestion, t.t_merge_task)
+    scoped = lambda scope, checks: Q.overall(checks).select(F.lit(scope).alias("scope"), "overall")
+    return scoped("all", [
+        types, Q.check_facts(t.t_fact, t.t_evidence), Q.check_links(t.t_fact, t.t_entity, t.t_alias), relations, duplicates,
+    ]).unionByName(scoped("types", [types])).unionByName(scoped("names", [relations, duplicates]))
 
 
 @query("K11_facts_per_evidence", "SELECT n AS fact_count, count(*) AS evidence_count FROM (SELECT count(*) AS n FROM t_fact GROUP BY evidence_id) GROUP BY 1")
@@ -247,15 +262,21 @@ def k15(t):
     return Q.lint_before_after(facts).select("fact_id", "outcome")
 
 
+# nested members carry the same keys and must stay as they are
 @query("K16_clean_qualifiers", """
-SELECT fact_id, predicate AS change_pct, CASE WHEN object_text IS NULL THEN unit ELSE object_text END AS product_type, 2 AS n_keys FROM t_fact""")
+SELECT fact_id, predicate AS change_pct, CASE WHEN object_text IS NULL THEN unit ELSE object_text END AS product_type,
+  'a "' || unit || '", {' AS inner_product, fact_type AS inner_growth, 4 AS n_keys FROM t_fact""")
 def k16(t):
-    same = F.to_json(F.struct(F.col("unit").alias("product"), F.lit("x").alias("growth_description"),
-                              F.col("predicate").alias("change_percentage_points"), F.col("object_text").alias("product_type"),
-                              F.lit(3).alias("change_amount_unit")))
+    inner = F.struct(F.concat(F.lit('a "'), "unit", F.lit('", {')).alias("product"), F.array(F.struct(F.col("fact_type").alias("growth_description"))).alias("list"))
+    same = F.to_json(F.struct(
+        F.col("unit").alias("product"), F.struct(inner.alias("deep")).alias("growth_description"), inner.alias("detail"),
+        F.col("predicate").alias("change_percentage_points"), F.col("object_text").alias("product_type"),
+        F.lit(3).alias("change_amount_unit"), F.array(F.lit("product"), F.lit("}")).alias("tags")))
     out = Q.clean_qualifiers(t.t_fact.withColumn("qualifier_json", same))
     return out.select("fact_id", F.get_json_object("qualifier_json", "$.change_pct").alias("change_pct"),
                       F.get_json_object("qualifier_json", "$.product_type").alias("product_type"),
+                      F.get_json_object("qualifier_json", "$.detail.product").alias("inner_product"),
+                      F.get_json_object("qualifier_json", "$.detail.list[0].growth_description").alias("inner_growth"),
                       F.size(F.json_object_keys("qualifier_json")).alias("n_keys"))
 
 

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.operators.common import spread
+from factloom.session import ship
 
 DOMAIN: dict[str, str] = {}
 
@@ -173,8 +173,6 @@ DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-# tables whose rows get CPU-heavy work right after the scan
-HEAVY_TABLES = ("lineitem", "documents", "pages")
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -182,6 +180,7 @@ class Tables:
     """Lazy access to driver and domain tables as DataFrames: ``t.t_fact``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark = spark
         self._dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
@@ -191,8 +190,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in DRIVER_TABLES:
-                table = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
-                self._cache[name] = spread(table) if name in HEAVY_TABLES else table
+                self._cache[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
             elif name in DOMAIN:
                 self._cache[name] = self.sql(DOMAIN[name])
             else:

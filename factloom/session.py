@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application.
+
+    Functions that run in Python workers are pickled by reference, so the workers must
+    be able to import the package wherever the driver found it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_factloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "factloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._factloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that all executors share, as ``spark.checkpoint.dir`` names it.
 

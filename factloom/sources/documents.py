@@ -85,22 +85,26 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 def upsert(existing: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """Merge submissions into the document snapshot.
 
-    Web documents match by URL, others by content hash. A match keeps its id, takes
-    the new content and hash and is pending again. When several new URLs carry one
-    content they share a document. ``order`` ranks submissions, the latest wins.
-    Returns (snapshot, document_id/url pairs of the submissions).
+    Known content matches first, so that a content hash stays unique; otherwise web documents
+    match by URL. A match keeps its id, takes the new content and hash and is pending again. URLs
+    that carry one content share a document, which keeps the URL it has. ``order`` ranks submissions, the latest wins.
+    Returns (snapshot, document_id/url pairs of the submissions and of the documents they reach).
     """
     keyed = incoming.withColumn("_key", F.coalesce("url", "content_hash"))
     latest = top_per_key(keyed, ["_key"], [F.desc(order), "content_hash"])
-    by_url = existing.filter(F.col("url").isNotNull()).select(
-        F.col("url").alias("_u"), F.col("document_id").alias("_url_id"))
-    by_hash = existing.groupBy(F.col("content_hash").alias("_h")).agg(F.min("document_id").alias("_hash_id"))
+    by_url = existing.filter(F.col("url").isNotNull()).groupBy(F.col("url").alias("_u")).agg(F.min("document_id").alias("_url_id"))
+    by_hash = existing.groupBy(F.col("content_hash").alias("_h")).agg(
+        F.min_by(F.struct("document_id", "url"), "document_id").alias("_same"))
     new_id = F.sha2(F.concat_ws("|", F.lit("document"), "content_hash"), 256)
     routed = (
         latest.join(by_url, F.col("url") == F.col("_u"), "left")
         .join(by_hash, F.col("content_hash") == F.col("_h"), "left")
-        .withColumn("document_id", F.coalesce("_url_id", "_hash_id", new_id))
-        .drop("_u", "_h", "_url_id", "_hash_id", "_key")
+        .withColumn("document_id", F.coalesce("_same.document_id", "_url_id", new_id))
+        .withColumn("_asked", F.col("url"))
+        # a URL stored with other content stays where it is; the pair below records it
+        .withColumn("url", F.when(F.col("_same").isNull(), F.col("url")).otherwise(
+            F.coalesce("_same.url", F.when(F.col("_url_id").isNull(), F.col("url")))))
+        .drop("_u", "_h", "_url_id", "_same", "_key")
     )
     chosen = top_per_key(routed, ["document_id"], [F.desc(order), "content_hash", "url"])
     kept = existing.join(chosen.select("document_id"), "document_id", "left_anti").withColumn("change", F.lit("kept"))
@@ -108,7 +112,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFr
     fresh = chosen.join(known, "document_id", "left").select(
         "document_id", *DOCUMENT_COLUMNS, "content_hash", F.lit(C.PENDING).alias("status"),
         F.when(F.col("_known"), "updated").otherwise("inserted").alias("change"))
-    urls = routed.filter(F.col("url").isNotNull()).select("document_id", "url")
+    urls = routed.select("document_id", F.explode(F.array_distinct(F.array_compact(F.array("_asked", "url")))).alias("url")).distinct()
     return kept.select(*fresh.columns).unionByName(fresh), urls
 
 

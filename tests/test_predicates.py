@@ -48,3 +48,19 @@ def test_fields_are_filled_not_overwritten(spark):
     assert json.loads(out[5]["qualifier_json"]) == {"product_type": "船舶涂料"}
     assert json.loads(out[6]["qualifier_json"]) == {"product_type": "环氧"}
     assert out[6]["predicate"] == "产能为"
+
+
+def test_nested_and_listed_qualifiers_survive(spark):
+    out = _run(spark, [
+        (0, "一期工程已建成", None, None, '{"detail":{"phase":"keep me"},"k":"v"}'),
+        (1, "连续3年增长", None, None, '{"duration":["a","b"],"k":"v"}'),
+        (2, "一期工程已建成", None, None, '{"phase":"","text":"a \\"phase\\": {x}, \\\\","n":1.50,"list":[{"phase":""}]}'),
+        (3, "销售额为", None, None, "[not an object"),
+        (4, "销售额为", None, None, '{"detail":{"a":1}, "x":  2}'),
+        (5, "一期工程已建成", None, None, None),
+    ])
+    assert json.loads(out[0]["qualifier_json"]) == {"detail": {"phase": "keep me"}, "k": "v", "phase": "一期工程"}
+    assert json.loads(out[1]["qualifier_json"]) == {"k": "v", "duration": "连续3年"}
+    assert json.loads(out[2]["qualifier_json"]) == {"phase": "一期工程", "text": 'a "phase": {x}, \\', "n": 1.5, "list": [{"phase": ""}]}
+    assert out[3]["qualifier_json"] == "[not an object" and out[4]["qualifier_json"] == '{"detail":{"a":1}, "x":  2}'
+    assert json.loads(out[5]["qualifier_json"]) == {"phase": "一期工程"}
