@@ -108,19 +108,29 @@ def effective_chars(text: Column) -> Column:
     return cjk_chars(text) + F.floor(other / 5).cast("bigint")
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sum of the elements before each one (array<bigint>), in two levels so that long arrays stay cheap."""
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / step).cast("int") - 1), lambda b: F.slice(lengths, b * step + 1, step))
+    none = F.array().cast("array<bigint>")
+
+    def sums(values: Column, start: Column) -> Column:
+        first = F.struct(none.alias("a"), start.cast("bigint").alias("s"))
+        return F.aggregate(values, first, lambda acc, x: F.struct(
+            F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + x).alias("s")), lambda acc: acc["a"])
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
+    filled = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), sums(totals, F.lit(0)).alias("o")), lambda z: sums(z["b"], z["o"])))
+    return F.when(F.size(lengths) > 0, filled).otherwise(none)
+
+
 def paragraphs(text: Column) -> Column:
     """Array of (body, char_start, char_end, size) for each non-blank paragraph."""
     parts = F.split(text, PARAGRAPH_BREAK)
     gaps = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH_BREAK), F.lit(0)), lambda g: F.length(g))
     sized = F.zip_with(parts, gaps, lambda p, g: F.struct(
         p.alias("part"), F.length(p).alias("n"), F.coalesce(g, F.lit(0)).alias("gap")))
-    placed = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + x["n"] + x["gap"]).alias("pos"),
-            F.array_append(acc["starts"], acc["pos"]).alias("starts")),
-    )["starts"]
+    placed = F.transform(running_sums(F.transform(sized, lambda x: x["n"] + x["gap"])), lambda s: s.cast("int"))
     rows = F.zip_with(sized, placed, lambda x, s: F.struct(
         strip(x["part"]).alias("body"), s.alias("char_start"), (s + x["n"]).alias("char_end")))
     full = F.filter(rows, lambda r: r["body"] != "")

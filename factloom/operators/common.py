@@ -25,6 +25,11 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def scattered(key: Column, by: Column) -> Column:
+    """A left join's key in which NULLs, which match nothing, are dealt over all partitions by a hash of ``by``."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(by).cast("string")))
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
                 rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key. Spark prunes each map task to ``n`` rows per key

@@ -72,7 +72,7 @@ def completion_requests(facts: DataFrame, articles: DataFrame, per_request: int
     """Second-pass requests: the article with its facts by type.
 
     A document with more than ``per_request`` facts gets several requests, so no
-    document is gathered whole in one task.
+    document is gathered whole in one task. The first carries the article, the others name it.
     """
     numbered = number_in_group(facts, ["document_id"], "fact_id").withColumn(
         "part", F.floor((F.col("rn") - 1) / per_request).cast("int"))
@@ -87,7 +87,7 @@ def completion_requests(facts: DataFrame, articles: DataFrame, per_request: int
             "fact_type", F.transform("rows", lambda x: x["r"]))))).alias("by_type"))
     return parts.join(articles, "document_id").select(
         "document_id", "part", "n_facts", "n_types",
-        F.to_json(F.struct(F.col("article_text"), F.col("by_type").alias("all_extracted_facts_by_type"))).alias("body"))
+        F.to_json(F.struct(F.col("document_id").alias("article"), F.when(F.col("part") == 0, F.col("article_text")).alias("article_text"), F.col("by_type").alias("all_extracted_facts_by_type"))).alias("body"))
 
 
 def parse_answers(responses: DataFrame) -> DataFrame:

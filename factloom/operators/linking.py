@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import keys as K
-from factloom.operators.common import approved, contained_in, fold_ascii, keep_first, role_union, top_per_key
+from factloom.operators.common import approved, contained_in, fold_ascii, keep_first, role_union, scattered, top_per_key
 from factloom.session import checkpoint
 
 _NAME = ["canonical_name"]
@@ -147,7 +147,7 @@ def link_facts(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> dic
 
     def attach(df: DataFrame, links: DataFrame, text: str, flag: str) -> DataFrame:
         side = links.select(F.col("text").alias("_t"), F.col("entity_id").alias(flag))
-        return df.join(side, K.strip(F.col(text)) == F.col("_t"), "left").drop("_t")
+        return df.join(side, scattered(K.strip(F.col(text)), F.col("fact_id")) == F.col("_t"), "left").drop("_t")
 
     linked = attach(attach(attach(open_facts, names, "subject_text", "_s"), names, "object_text", "_o"),
                     spots, "location_text", "_l")
@@ -262,7 +262,7 @@ def rename_entities(entities: DataFrame, facts: DataFrame, changes: DataFrame) -
 
     def carry(df: DataFrame, link: str, text: str) -> DataFrame:
         side = names.select(F.col("entity_id").alias("_id"), F.col("_name").alias("_new"))
-        joined = df.join(side, F.col(link) == F.col("_id"), "left")
+        joined = df.join(side, scattered(F.col(link), F.col("fact_id")) == F.col("_id"), "left")
         return joined.withColumn(text, F.coalesce("_new", text)).select(*df.columns)
 
     return renamed, carry(carry(facts, "subject_entity_id", "subject_text"), "object_entity_id", "object_text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import config as C
 from factloom.functions import keys as K
 from factloom.functions import similarity as S
-from factloom.operators.common import approved, fold_ascii, top_per_key
+from factloom.operators.common import approved, fold_ascii, scattered, top_per_key
 from factloom.operators.components import connected_components
 from factloom.operators.simjoin import containment_pairs, lcs_pairs, ratio_pairs
 from factloom.session import checkpoint
@@ -191,7 +191,7 @@ def resolve_merges(pairs: DataFrame) -> DataFrame:
 
 def _mapped(df: DataFrame, moves: DataFrame, column: str) -> DataFrame:
     m = moves.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
-    return df.join(m, F.col(column) == F.col("_old"), "left").withColumn(
+    return df.join(m, scattered(F.col(column), F.col(df.columns[0])) == F.col("_old"), "left").withColumn(
         column, F.coalesce("_new", column)).select(*df.columns)
 
 
@@ -259,7 +259,7 @@ def batch_rename(mapping: DataFrame, facts: DataFrame, entities: DataFrame, alia
 
     def rewrite(df: DataFrame, text: str, link: str, flag: str) -> DataFrame:
         side = target.select(F.col("text").alias("_t"), F.col("primary_id").alias("_p"), F.col("canonical_name").alias("_c"))
-        joined = df.join(side, F.col(text) == F.col("_t"), "left")
+        joined = df.join(side, scattered(F.col(text), F.col("fact_id")) == F.col("_t"), "left")
         hit = F.col("_p").isNotNull() & (F.col(link).isNull() | (F.col(link) != F.col("_p")))
         return joined.withColumn(flag, hit).withColumns({
             text: F.when(F.col(flag), F.col("_c")).otherwise(F.col(text)),

@@ -195,12 +195,20 @@ def e10(t):
 
 
 @query("E11_completion_requests", """
-WITH n AS (SELECT document_id, fact_type, (row_number() OVER (PARTITION BY document_id
+WITH n AS (SELECT document_id, fact_type, fact_id, subject_text, (row_number() OVER (PARTITION BY document_id
   ORDER BY substr(md5(fact_id), 1, 3), fact_id) - 1) // 50 AS part FROM t_fact)
-SELECT document_id, part, count(*) AS n_facts, count(DISTINCT fact_type) AS n_types FROM n GROUP BY ALL""")
+SELECT document_id, part, count(*) AS n_facts, count(DISTINCT fact_type) AS n_types,
+  any_value(CASE WHEN part = 0 THEN title END) AS article_text, string_agg(DISTINCT fact_type, ',' ORDER BY fact_type) AS types,
+  max(CASE WHEN fact_type = 'CAPACITY' THEN f1 END) AS first_capacity
+FROM (SELECT n.*, title, first_value(subject_text) OVER (PARTITION BY n.document_id, part, n.fact_type ORDER BY n.fact_id) AS f1
+  FROM n JOIN t_doc USING (document_id)) GROUP BY ALL""")
 def e11(t):
     articles = t.t_doc.select("document_id", F.col("title").alias("article_text"))
-    return X.completion_requests(_with_evidence(t), articles, per_request=50).drop("body")
+    sent = X.completion_requests(_with_evidence(t), articles, per_request=50)
+    listed = F.get_json_object("body", "$.all_extracted_facts_by_type")
+    return sent.select("document_id", "part", "n_facts", "n_types", F.get_json_object("body", "$.article_text").alias("article_text"),
+                       F.array_join(F.array_sort(F.json_object_keys(listed)), ",").alias("types"),
+                       F.get_json_object("body", "$.all_extracted_facts_by_type.CAPACITY[0].subject").alias("first_capacity"))
 
 
 @query("E12_completion_merge", """

@@ -103,10 +103,12 @@ def a5_decide(t):
 @query("A6_analysis_requests", f"""WITH {_A1}, {_A2},
 c AS (SELECT entity_id, count(*) AS n_candidates FROM (SELECT entity_id FROM a1 UNION ALL SELECT entity_id FROM a2) GROUP BY 1),
 f AS (SELECT subject_entity_id AS entity_id, least(count(*), 5) AS n FROM t_fact WHERE {APPROVED} GROUP BY 1)
-SELECT entity_id, n_candidates, coalesce(n, 0) AS n_facts FROM c LEFT JOIN f USING (entity_id)""")
+SELECT entity_id, n_candidates, coalesce(n, 0) AS n_facts, canonical_name AS entity, n_candidates AS n_sent FROM c JOIN t_entity USING (entity_id) LEFT JOIN f USING (entity_id)""")
 def a6(t):
     cand, _, _, background = _inputs(t)
-    return R.analysis_requests(t.t_entity, t.t_fact, cand, background, lines=5).drop("body")
+    return R.analysis_requests(t.t_entity, t.t_fact, cand, background, lines=5).select(
+        "entity_id", "n_candidates", "n_facts", F.get_json_object("body", "$.entity").alias("entity"),
+        F.json_array_length(F.get_json_object("body", "$.candidates")).cast("long").alias("n_sent"))
 
 
 @query("A7_analysis_answers", """

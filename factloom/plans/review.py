@@ -8,9 +8,16 @@ from factloom.plans.registry import query
 
 
 def _numbered(by: str, size: int) -> str:
-    return f"""WITH n AS (SELECT {by}, fact_id, (row_number() OVER (PARTITION BY {by}
+    return f"""WITH n AS (SELECT {by}, fact_id, predicate, qualifier_json, (row_number() OVER (PARTITION BY {by}
   ORDER BY substr(md5(fact_id), 1, 3), fact_id) - 1) // {size} AS batch FROM t_fact WHERE review_status = '待处理')
-SELECT {by}, batch, count(*) AS n_facts, string_agg(fact_id, ',' ORDER BY fact_id) AS fact_ids FROM n GROUP BY ALL"""
+SELECT {by}, batch, count(*) AS n_facts, string_agg(fact_id, ',' ORDER BY fact_id) AS fact_ids, min(fact_id) AS first_id,
+  arg_min(predicate, fact_id) AS first_predicate, arg_min(qualifier_json, fact_id) AS first_qualifiers FROM n GROUP BY ALL"""
+
+
+def _sent(requests):
+    """The requests with what their bodies say of the first fact."""
+    told = lambda key, name: F.get_json_object("body", f"$.fact_records[0].{key}").alias(name)
+    return requests.select("*", told("id", "first_id"), told("predicate", "first_predicate"), told("qualifiers", "first_qualifiers")).drop("body")
 
 
 def _pending(t):
@@ -19,12 +26,12 @@ def _pending(t):
 
 @query("R1_document_batches", _numbered("document_id", 10))
 def r1(t):
-    return R.document_batches(_pending(t)).drop("body")
+    return _sent(R.document_batches(_pending(t)))
 
 
 @query("R2_evidence_batches", _numbered("evidence_id", 200))
 def r2(t):
-    return R.evidence_batches(_pending(t), t.t_evidence).drop("body")
+    return _sent(R.evidence_batches(_pending(t), t.t_evidence))
 
 
 _VERDICT = "CASE review_status WHEN '已拒绝' THEN '拒绝' WHEN '不确定' THEN '不确定' ELSE '通过' END"

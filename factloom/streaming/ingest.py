@@ -9,7 +9,6 @@ snapshot is rewritten per batch.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,22 +28,36 @@ FACT_COLUMNS = (
     "review_status", "review_note", "subject_entity_id")
 
 
-def _stored(spark: SparkSession, path: str, name: str, before: int, schema: str) -> DataFrame:
-    """Rows of earlier batches; empty before the first write."""
-    try:
-        table = spark.read.option("basePath", f"{path}/{name}").schema(schema).parquet(f"{path}/{name}")
-    except AnalysisException:
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _published(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the batches whose last write is done: (batch_id)."""
+    if not _exists(spark, f"{path}/published"):
+        return spark.createDataFrame([], "batch_id bigint")
+    return spark.read.schema("n bigint, batch_id bigint").parquet(f"{path}/published").select("batch_id")
+
+
+def _stored(spark: SparkSession, path: str, name: str, before: int | None, schema: str) -> DataFrame:
+    """Rows of published batches, of those before ``before`` if given; empty before the first.
+
+    Only a missing folder counts as empty; a table that can't be read is an error.
+    """
+    if not _exists(spark, f"{path}/{name}"):
         return spark.createDataFrame([], schema)
-    return table.filter(F.col("batch_id") < before)
+    table = spark.read.option("basePath", f"{path}/{name}").schema(schema).parquet(f"{path}/{name}")
+    done = _published(spark, path)
+    return table.join(done if before is None else done.filter(F.col("batch_id") < before), "batch_id", "left_semi")
 
 
 def _write(df: DataFrame, path: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
 
 
-def parse_batch(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, answers set aside) of one batch of answers."""
-    parsed = extraction.parse_answers(answers)
+def settle_answers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, answers set aside) of one batch of parsed answers."""
     valid, _ = extraction.validate_records(extraction.shape_records(parsed))
     once = extraction.dedup_records(normalize_predicates(valid))
     facts = once.filter(F.col("evidence_text") != "").withColumns({
@@ -78,7 +91,9 @@ def settle_batch(facts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFra
 
 def process_batch(answers: DataFrame, batch_id: int, path: str, entities: DataFrame, aliases: DataFrame) -> None:
     spark = answers.sparkSession
-    facts, rejected = parse_batch(answers)
+    # parsed once, read twice
+    _write(extraction.parse_answers(answers), path, "parsed", batch_id)
+    facts, rejected = settle_answers(spark.read.parquet(f"{path}/parsed/batch_id={batch_id}"))
     _write(facts, path, "staged", batch_id)
     _write(rejected.select("request_id", "document_id", "reason"), path, "rejected", batch_id)
     staged = spark.read.parquet(f"{path}/staged/batch_id={batch_id}")
@@ -91,6 +106,8 @@ def process_batch(answers: DataFrame, batch_id: int, path: str, entities: DataFr
     _write(dedup.apply_marks(linked, noted).select(*FACT_COLUMNS), path, "facts", batch_id)
     _write(replaced, path, "replaced", batch_id)
     _write(added, path, "index", batch_id)
+    # the marker comes last: readers see all of a batch or nothing of it
+    _write(spark.range(1).select(F.col("id").alias("n")), path, "published", batch_id)
 
 
 def start_ingest(spark: SparkSession, source: str, path: str, entities: DataFrame, aliases: DataFrame,
@@ -105,8 +122,9 @@ def start_ingest(spark: SparkSession, source: str, path: str, entities: DataFram
 
 def current_facts(spark: SparkSession, path: str) -> DataFrame:
     """Facts as of now: those a later batch replaced are duplicates."""
-    facts = spark.read.parquet(f"{path}/facts")
-    replaced = spark.read.parquet(f"{path}/replaced").groupBy("fact_id").agg(F.max("canonical_id").alias("canonical_id"))
+    done = _published(spark, path)
+    facts = spark.read.parquet(f"{path}/facts").join(done, "batch_id", "left_semi")
+    replaced = spark.read.parquet(f"{path}/replaced").join(done, "batch_id", "left_semi").groupBy("fact_id").agg(F.max("canonical_id").alias("canonical_id"))
     noted = replaced.withColumn("review_note", F.concat(F.lit("重复: 与 "), "canonical_id", F.lit(" 重复（跨文档，分数更低）")))
     return dedup.apply_marks(facts, noted)
 
