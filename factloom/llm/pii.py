@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.text import running_sums
 from factloom.llm.boosting import Boosted, cutoff
 
 KINDS = ("email", "ip", "card", "phone")
@@ -55,21 +56,6 @@ FEATURES = ("kind", "digits", "luhn", "symbols", "largest", "length", "cue", "co
 EXAMPLES, PRECISION, ROUNDS = 24, 0.98, 24
 
 
-def running(lengths: Column) -> Column:
-    """Sums of all elements before each one, in two levels so that long arrays stay cheap."""
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / step).cast("int") - 1), lambda b: F.slice(lengths, b * step + 1, step))
-    zero = F.array().cast("array<bigint>")
-
-    def sums(values: Column, start: Column) -> Column:
-        first = F.struct(zero.alias("a"), start.cast("bigint").alias("s"))
-        return F.aggregate(values, first, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + x).alias("s")), lambda acc: acc["a"])
-
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
-    filled = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), sums(totals, F.lit(0)).alias("o")), lambda z: sums(z["b"], z["o"])))
-    return F.when(F.size(lengths) > 0, filled).otherwise(zero)
-
-
 def _matches(rows: DataFrame, text: str, pattern: str, name: str, guard: Column) -> DataFrame:
     """Add ``name``: array of (start, end, value) of the leftmost non-overlapping matches, in code points, end exclusive."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
@@ -77,7 +63,7 @@ def _matches(rows: DataFrame, text: str, pattern: str, name: str, guard: Column)
     some = F.size("_m") > 0
     rows = rows.withColumn("_g", F.when(some, F.transform(F.slice(F.split(text, pattern, -1), 1, F.size("_m")), F.char_length)))
     rows = rows.withColumn("_l", F.when(some, F.transform("_m", F.char_length)))
-    rows = rows.withColumn("_s", F.when(some, running(F.zip_with("_g", "_l", lambda g, m: g + m))))
+    rows = rows.withColumn("_s", F.when(some, running_sums(F.zip_with("_g", "_l", lambda g, m: g + m))))
     placed = F.transform(F.arrays_zip("_m", "_g", "_l", "_s"), lambda z: F.struct(
         (z["_s"] + z["_g"]).alias("start"), (z["_s"] + z["_g"] + z["_l"]).alias("end"), z["_m"].alias("value")))
     return rows.withColumn(name, F.when(some, placed).otherwise(none)).drop("_m", "_g", "_l", "_s")

@@ -89,7 +89,7 @@ def test_no_python_and_no_shuffle_in_the_plan(odd_docs, fitted):
 
 def test_running_sums(spark):
     rows = [[], [3], [1, 2, 3], list(range(1000))]
-    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<bigint>").select("i", pii.running(pii.F.col("x")).alias("s")).collect()
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<bigint>").select("i", pii.running_sums(pii.F.col("x")).alias("s")).collect()
     for r in got:
         assert r.s == [sum(rows[r.i][:k]) for k in range(len(rows[r.i]))]
 
