@@ -89,25 +89,29 @@ def _linked_sql(texts: str, entities: str, aliases: str, out: str) -> str:
 {out} AS (SELECT * FROM {out}_c QUALIFY row_number() OVER (PARTITION BY text ORDER BY rule, size, canonical_name, entity_id) = 1)"""
 
 
-# half of the stock is hidden so that every rule gets used
-_SOME = "se AS (SELECT * FROM t_entity WHERE entity_type <> '国家' AND (entity_id NOT LIKE 'B%' OR length(canonical_name) = 8))"
+# texts are also lengthened and shortened, so that every rule gets used
+_FORMS = "w AS (SELECT text FROM x UNION SELECT '新' || text FROM x UNION SELECT substr(text, 1, length(text) - 1) FROM x WHERE length(text) > 4)"
 
 
-def _some_entities(t):
-    return t.t_entity.filter("entity_type <> '国家' AND (entity_id NOT LIKE 'B%' OR length(canonical_name) = 8)")
+def _forms(texts):
+    shorter = F.when(F.length("text") > 4, F.substring(F.col("text"), F.lit(1), F.length("text") - 1))
+    every = F.array_compact(F.array("text", F.concat(F.lit("新"), "text"), shorter))
+    return texts.select(F.explode(every).alias("text")).distinct()
 
 
-@query("L7_link_names", f"""WITH {_TEXTS}, {_SOME}, {_linked_sql('x', 'se', 't_alias', 'lk')}
-SELECT x.text, entity_id, coalesce(canonical_name, x.text) AS canonical_name, entity_id IS NOT NULL AS matched, rule
-FROM x LEFT JOIN lk USING (text)""")
+@query("L7_link_names", f"""WITH {_TEXTS}, {_FORMS}, {_linked_sql('w', 't_entity', 't_alias', 'lk')}
+SELECT w.text, entity_id, coalesce(canonical_name, w.text) AS canonical_name, entity_id IS NOT NULL AS matched, rule
+FROM w LEFT JOIN lk USING (text)""")
 def l7(t):
-    return L.link_names(_texts(t), _some_entities(t), t.t_alias)
+    return L.link_names(_forms(_texts(t)), t.t_entity, t.t_alias)
 
 
-_FEW = "fe AS (SELECT * FROM t_entity WHERE entity_id LIKE 'V%'), fa AS (SELECT * FROM t_alias WHERE entity_id LIKE 'V%')"
-_DISCOVERED = f"""{_FEW},
+# some subjects are lengthened or shortened, so that there are new names and contained ones
+_VARIED = """vf AS (SELECT * REPLACE (CASE fact_type WHEN 'CAPACITY' THEN '新' || subject_text WHEN 'EXPANSION' THEN substr(subject_text, 1, 17)
+  ELSE subject_text END AS subject_text) FROM t_fact)"""
+_DISCOVERED = f"""{_VARIED}, fe AS (SELECT * FROM t_entity), fa AS (SELECT * FROM t_alias),
 o AS (SELECT text, arg_min(fact_type, fact_id) AS fact_type FROM (
-    SELECT fact_id, fact_type, trim(subject_text) AS text FROM t_fact UNION ALL SELECT fact_id, fact_type, trim(object_text) FROM t_fact)
+    SELECT fact_id, fact_type, trim(subject_text) AS text FROM vf UNION ALL SELECT fact_id, fact_type, trim(object_text) FROM vf)
   WHERE text <> '' GROUP BY text),
 fresh AS (SELECT * FROM o WHERE text NOT IN (SELECT canonical_name FROM fe) AND text NOT IN (SELECT alias_name FROM fa)),
 holder AS (SELECT canonical_name AS name, entity_id, false AS is_new FROM fe
@@ -119,15 +123,17 @@ owner AS (SELECT text, entity_id FROM held WHERE NOT is_new OR name IN (SELECT t
   QUALIFY row_number() OVER (PARTITION BY text ORDER BY is_new, length(name), name, entity_id) = 1)"""
 
 
-def _few(t):
-    return t.t_entity.filter("entity_id LIKE 'V%'"), t.t_alias.filter("entity_id LIKE 'V%'")
+def _varied(t):
+    text, kind = F.col("subject_text"), F.col("fact_type")
+    return t.t_fact.withColumn("subject_text", F.when(kind == "CAPACITY", F.concat(F.lit("新"), text)).when(
+        kind == "EXPANSION", F.substring(text, 1, 17)).otherwise(text))
 
 
 @query("L8_discover", f"""WITH {_DISCOVERED}
 SELECT 'entity' AS kind, text AS name, sha256('entity|' || text) AS entity_id FROM tops
 UNION ALL SELECT 'alias', text, entity_id FROM owner""")
 def l8(t):
-    entities, aliases = L.discover(t.t_fact, *_few(t))
+    entities, aliases = L.discover(_varied(t), t.t_entity, t.t_alias)
     return entities.select(F.lit("entity").alias("kind"), F.col("canonical_name").alias("name"), "entity_id").unionByName(
         aliases.select(F.lit("alias").alias("kind"), F.col("alias_name").alias("name"), "entity_id"))
 
@@ -163,12 +169,12 @@ pl AS (SELECT sha256('entity|全国') AS id)
 SELECT f.fact_id, coalesce(s.entity_id, f.subject_entity_id) AS subject_entity_id,
   coalesce(ob.entity_id, f.object_entity_id) AS object_entity_id,
   CASE WHEN location_text = '全国船舶市场' THEN pl.id ELSE location_entity_id END AS location_entity_id
-FROM t_fact f LEFT JOIN lk s ON s.text = f.subject_text LEFT JOIN lk ob ON ob.text = f.object_text, pl
+FROM vf f LEFT JOIN lk s ON s.text = f.subject_text LEFT JOIN lk ob ON ob.text = f.object_text, pl
 WHERE f.subject_entity_id IS NULL OR f.object_entity_id IS NULL OR f.location_entity_id IS NULL
-UNION ALL SELECT fact_id, subject_entity_id, object_entity_id, location_entity_id FROM t_fact
+UNION ALL SELECT fact_id, subject_entity_id, object_entity_id, location_entity_id FROM vf
 WHERE subject_entity_id IS NOT NULL AND object_entity_id IS NOT NULL AND location_entity_id IS NOT NULL""")
 def l11(t):
-    out = L.link_facts(t.t_fact, *_few(t))
+    out = L.link_facts(_varied(t), t.t_entity, t.t_alias)
     return out["facts"].select("fact_id", "subject_entity_id", "object_entity_id", "location_entity_id")
 
 
