@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from factloom.plans import catalog  # noqa: E402
+from factloom.plans.tables import INPUT_PARTITIONS  # noqa: E402
 from factloom.session import local_session  # noqa: E402
 
 HEADLINE = (
@@ -24,7 +25,8 @@ HEADLINE = (
     "L8_discover", "L12_backfill_links", "M3_pair_requests", "M7_merged_facts", "M10_components", "A2_similar_candidates", "A9_relation_candidates",
     "P2_benchmarks", "P3_competitors", "P4_profiles", "Q1_query_facts", "Q3_document_list", "Q11_graph_edges", "Q13_entity_details",
     "Q14_derived_relations", "Q15_timelines", "Q20_summaries", "Q21_knowledge_base", "K2_quality_issues", "K9_contained_names",
-    "K15_lint", "K16_clean_qualifiers",
+    "K15_lint", "K16_clean_qualifiers", "M1_merge_suggestions", "M9_name_clusters", "E11_completion_requests", "A3_suggestions",
+    "L11_link_facts", "ST1_incremental_ingest",
 )
 
 
@@ -33,6 +35,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = local_session(cores, shuffle_partitions=max(int(cores), 8), name="bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(INPUT_PARTITIONS, cores)  # the tables have one row group each
     queries = catalog.all_queries()
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the session
     took = {}

@@ -173,6 +173,10 @@ DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+# tables whose rows get CPU-heavy work right after the scan
+TEXT_TABLES = ("lineitem", "documents", "pages")
+#: Set by sessions that read tables of one row group and want all cores at work; unset, tables are read as they are stored.
+INPUT_PARTITIONS = "spark.factloom.inputPartitions"
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -190,7 +194,9 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in DRIVER_TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+                n = self.spark.conf.get(INPUT_PARTITIONS, None)
+                self._cache[name] = table.repartition(int(n)) if n and name in TEXT_TABLES else table
             elif name in DOMAIN:
                 self._cache[name] = self.sql(DOMAIN[name])
             else:
