@@ -76,19 +76,18 @@ def role_union(facts: DataFrame, *columns: str) -> DataFrame:
 def contained_in(short: DataFrame, long: DataFrame, short_col: str, long_col: str, min_len: int = 2) -> DataFrame:
     """Join names to the texts that contain them (equality included).
 
-    Every substring of the longer text, up to the longest name's length, becomes a
-    key of an equi-join. Only true results meet, so there are no candidate blocks
-    and no hot block. Pass distinct texts: rows multiply by substring count.
+    The substrings of the longer text, of the lengths that occur among the names, become the
+    keys of an equi-join, as 64-bit hashes; what meets is then compared itself. Practically only true results meet, so there are
+    no candidate blocks and no hot block. Pass distinct texts: rows multiply by substring count.
     """
     names = short.filter(F.length(short_col) >= min_len)
-    longest = names.agg(F.coalesce(F.max(F.length(short_col)), F.lit(0))).scalar()
-    pieces = long.filter(F.length(long_col) >= min_len).withColumn("_max", longest).withColumn(
-        "_piece",
-        F.explode_outer(F.expr(
-            f"array_distinct(flatten(transform(sequence(1, length({long_col}) - {min_len} + 1), p -> "
-            f"transform(sequence({min_len}, greatest({min_len}, least(_max, length({long_col}) - p + 1))), "
-            f"n -> substring({long_col}, p, n)))))")))
-    return pieces.drop("_max").join(names, F.col("_piece") == F.col(short_col)).drop("_piece")
+    lengths = names.agg(F.collect_set(F.length(short_col))).scalar()
+    keys = F.expr(
+        f"array_distinct(flatten(transform(filter(_lengths, n -> n <= length({long_col})), n -> "
+        f"transform(sequence(1, length({long_col}) - n + 1), p -> xxhash64(substring({long_col}, p, n))))))")
+    pieces = long.filter(F.length(long_col) >= min_len).withColumn("_lengths", lengths).withColumn("_piece", F.explode_outer(keys))
+    return pieces.drop("_lengths").join(names, F.col("_piece") == F.xxhash64(short_col)).filter(
+        F.contains(long_col, short_col)).drop("_piece")
 
 
 def fold_ascii(col: Column) -> Column:
