@@ -155,7 +155,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, pd.DataFrame
         for frame in frames:
             code = (np.array([votes(t) for t in frame["text"]], np.int64).reshape(-1, len(LABELLERS)) + 1) @ (3 ** np.arange(len(LABELLERS)))
             found = [features(t) for t in frame["text"]]
-            yield pd.DataFrame({"slots": [s.astype(np.int32) for s, _ in found], "values": [v.astype(np.float32) for _, v in found], "target": [label.get(c, 0.5) for c in code]})
+            yield pd.DataFrame({
+                "slots": [s.astype("<i4").tobytes() for s, _ in found], "values": [v.astype("<f4").tobytes() for _, v in found],
+                "target": [label.get(c, 0.5) for c in code]})
 
     key = F.xxhash64("doc_id", F.lit(3))
     chosen = docs.filter(F.col("text").rlike(r"\S")).select("doc_id", key.alias("_key")).orderBy("_key", "doc_id").limit(sample)
@@ -163,8 +165,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, pd.DataFrame
     rows = []
     if last is not None:
         picked = docs.filter((key <= last) & F.col("text").rlike(r"\S")).select(F.col("text").cast("string").alias("text"))
-        rows = picked.mapInPandas(described, "slots array<int>, values array<float>, target double").limit(2 * sample).collect()
-    weights = train([np.array(r["slots"], np.int64) for r in rows], [np.array(r["values"], float) for r in rows], np.array([r["target"] for r in rows]))
+        rows = picked.mapInPandas(described, "slots binary, values binary, target double").limit(2 * sample).collect()
+    weights = train(
+        [np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in rows], [np.frombuffer(r["values"], "<f4").astype(float) for r in rows],
+        np.array([r["target"] for r in rows]))
     bad = np.einsum("c,clv->lv", share[1:] / share[1:].sum(), chance[1:])
     return weights, pd.DataFrame({
         "labeller": LABELLERS, "right_if_good": chance[0, :, 1], "right_if_bad": bad[:, 0], "share_good": share[0]})
