@@ -56,7 +56,10 @@ KNOWN = (
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form of a text; empty if nothing is left."""
+    """Canonical form of a text; empty if nothing is left.
+
+    No step looks across a line break, so the form of a text is the forms of its lines joined by spaces.
+    """
     text = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, "")
     for other, usual in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(usual))
@@ -85,9 +88,10 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """
     known = known_licenses(docs.sparkSession) if licenses is None else licenses
     digests = known.select("license_id", _digest(F.col("text")).alias("digest")).filter("digest is not null and license_id is not null").distinct()
-    text = F.col("text").cast("string")
-    lines = F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _digest))
-    keyed = docs.select(F.col("doc_id"), _digest(text).alias("whole"), F.array_sort(F.filter(lines, lambda d: d.isNotNull())).alias("_lines"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    forms = docs.select("doc_id", F.filter(F.transform(F.split(text, "\n"), canonical), lambda f: f != "").alias("_forms"))
+    whole = F.when(F.size("_forms") > 0, F.md5(F.array_join("_forms", " ")))
+    keyed = forms.select("doc_id", whole.alias("whole"), F.array_sort(F.array_distinct(F.transform("_forms", F.md5))).alias("_lines"))
     keyed = keyed.withColumn("page", F.xxhash64("_lines"))
     units = F.concat(F.array(F.struct(F.col("whole").alias("digest"), F.lit(True).alias("entire"))), F.transform("_lines", lambda d: F.struct(d.alias("digest"), F.lit(False).alias("entire"))))
     found = keyed.select("doc_id", "whole", "page", F.inline(units)).join(digests, "digest", "left")
