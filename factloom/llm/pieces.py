@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Characters of text handled at once, and words and piece pairs remembered by a worker.
-SLICE, KEPT_WORDS, KEPT_PAIRS = 4_000_000, 300_000, 1_000_000
+SLICE, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 300_000, 400_000
 #: What a unigram model charges for an unknown character below its lowest score.
 UNKNOWN_PENALTY = 10.0
 
