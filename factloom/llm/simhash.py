@@ -186,7 +186,11 @@ def first_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame
     The row with the smallest doc_id stays; rows without doc_id come last, and rows that
     repeat an id are told apart by a hash of their text. Rows that repeat both are one.
     """
-    marked = near_duplicates(docs, width, radius)
+    return first_rows(docs, near_duplicates(docs, width, radius))
+
+
+def first_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The first row of each ``group`` of ``marked`` (doc_id, text_hash, group), with all columns of ``docs``."""
     chosen = (
         marked.groupBy("group")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_row"))
