@@ -39,6 +39,11 @@ def _vote(value: float, good: float, bad: float) -> int:
     return GOOD if value <= good else BAD if value >= bad else ABSTAIN
 
 
+def _like_words(words: list[str]) -> float:
+    """Share of the words that hold letters and neither digits nor symbols, in any script."""
+    return sum(any(map(str.isalpha, w)) and not any(map(str.isdigit, w)) and not SYMBOLS.search(w) for w in words) / len(words)
+
+
 def votes(text: str) -> list[int]:
     """One vote per labeller; all abstain on a text without words."""
     words = text.split()
@@ -58,7 +63,8 @@ def votes(text: str) -> list[int]:
         _vote((text.count("|") + text.count("\t")) / n, 0.05, 0.3),
         ABSTAIN if fresh is None else _vote(1 - fresh, 0.2, 0.5),
         ABSTAIN if n < 10 else GOOD if 0.01 <= ends <= 0.3 else BAD if ends > 0.6 else ABSTAIN,
-        ABSTAIN if n < 15 else GOOD if known >= 0.1 else BAD if known < 0.01 else ABSTAIN,
+        # words that aren't known may be those of a language that isn't: only what holds few words at all is bad
+        ABSTAIN if n < 15 else GOOD if known >= 0.1 else BAD if known < 0.01 and _like_words(words) <= 0.6 else ABSTAIN,
         _vote(sum(w[-2:] == "!!" for w in words) / n, 0.05, 0.3) if n >= 3 else ABSTAIN,
     ]
 

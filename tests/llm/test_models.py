@@ -96,3 +96,28 @@ def test_quality_odd_rows(odd_docs, no_docs):
     kept = quality_model.good_documents(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.keep for r in rows)
     assert quality_model.classify(no_docs).count() == 0 and quality_model.good_documents(no_docs).count() == 0
+
+
+FURTHER = {
+    "ru": "Вчера вечером мы долго гуляли вдоль реки и говорили о новой книге. Потом пошёл дождь, и пришлось вернуться домой раньше обычного. Утром город был тихим и почти пустым.",
+    "pl": "Wczoraj wieczorem długo spacerowaliśmy wzdłuż rzeki i rozmawialiśmy o nowej książce. Potem zaczął padać deszcz, więc wróciliśmy wcześniej niż zwykle. Rano miasto było ciche i prawie puste.",
+    "tr": "Dün akşam nehir boyunca uzun süre yürüdük ve yeni kitap hakkında konuştuk. Sonra yağmur başladı, bu yüzden eve her zamankinden erken döndük. Sabah şehir sessiz ve neredeyse boştu.",
+    "el": "Χθες το βράδυ περπατήσαμε πολλή ώρα δίπλα στο ποτάμι και μιλήσαμε για το νέο βιβλίο. Μετά άρχισε να βρέχει και γυρίσαμε νωρίτερα στο σπίτι. Το πρωί η πόλη ήταν ήσυχη και σχεδόν άδεια.",
+    "ar": "مشينا مساء أمس طويلا على ضفة النهر وتحدثنا عن الكتاب الجديد. ثم بدأ المطر فعدنا إلى البيت أبكر من المعتاد. وفي الصباح كانت المدينة هادئة وشبه خالية من الناس.",
+    "hi": "कल शाम हम नदी के किनारे बहुत देर तक टहले और नई किताब के बारे में बात की। फिर बारिश शुरू हो गई और हम जल्दी घर लौट आए। सुबह शहर शांत और लगभग खाली था।",
+}
+
+
+def test_clean_texts_of_further_languages_are_kept(docs):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, (lang, text) in enumerate(FURTHER.items()):
+        parts = text.replace("।", "।.").replace(".", ".|").split("|")[:-1]
+        for j in range(20):
+            rows.append((10**9 + 100 * i + j, lang, " ".join(parts[k].strip().replace("।.", "।") for k in rng.permutation(len(parts)).tolist() * 2)))
+    at = quality_model.LABELLERS.index("function_words")
+    assert all(quality_model.votes(t)[at] != quality_model.BAD for _, _, t in rows)
+    both = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"))
+    kept = {r.doc_id for r in quality_model.classify(both).filter("keep").collect()}
+    assert [(i, lang) for i, lang, _ in rows if i not in kept] == []
+    assert quality_model.votes("qq%%% 12 zx&&& 7 | 9 " * 10)[at] == quality_model.BAD
