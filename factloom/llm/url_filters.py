@@ -44,8 +44,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     ``kind`` is host, domain or prefix; a null verdict drops the pattern. Of several entries for one
     pattern and date ``block`` wins over ``allow`` over a drop. Entries without kind, pattern or date are ignored. ``valid_to`` is exclusive.
+    Case counts in a pattern's path, as it does in a capture's, and not in its host.
     """
-    key = F.concat(F.col("kind"), F.lit(":"), F.lower(F.col("pattern")))
+    host = F.substring_index("pattern", "/", 1)
+    key = F.concat(F.col("kind"), F.lit(":"), F.lower(host), F.substr("pattern", F.length(host) + 1))
     rank = F.when(F.col("verdict") == "block", 2).when(F.col("verdict") == "allow", 1).otherwise(0)
     daily = (
         entries.select(key.alias("key"), F.col("on_date").cast("date").alias("valid_from"), rank.alias("rank"))

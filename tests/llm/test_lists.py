@@ -39,6 +39,13 @@ def test_empty_lists_and_tables(spark):
     assert judged(spark, []) == {}
 
 
+def test_case_counts_in_paths_only(spark):
+    log = [("prefix", "Example.com/Docs", "block", day("2024-01-01")), ("host", "B.Example.com", "allow", day("2024-01-01"))]
+    got = judged(spark, [(i, u, day("2024-02-01")) for i, u in enumerate(
+        ["http://example.com/Docs/x", "http://EXAMPLE.com/Docs", "http://example.com/docs/x", "http://b.example.com/Docs"])], log)
+    assert got == {0: ("block", "prefix:example.com/Docs", 1), 1: ("block", "prefix:example.com/Docs", 1), 2: ("none", None, 0), 3: ("allow", "host:b.example.com", 1)}
+
+
 def test_canonical_license_texts(spark):
     other = "The MIT Licence".replace("The ", "") + "\n\nCopyright (c) 2021-2024 Some Person\nAll rights reserved.\n\n" + MIT.upper().replace(", ", " , ").replace("SUBLICENSE", "SUBLICENCE")
     rows = [(1, other), (2, MIT + " And more."), (3, "intro\n  released under the MIT LICENSE!! \noutro"), (4, None), (5, ""), (6, "© 2020 me"), (7, "Licensed under CC BY-NC 4.0."),
