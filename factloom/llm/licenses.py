@@ -10,6 +10,7 @@ All of it is column expressions; one row per document is shuffled.
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,15 +56,40 @@ KNOWN = (
 )
 
 
+#: Whole license texts, read by the driver: ``<license id>.txt``, further wordings ``<license id>--<name>.txt``.
+FOLDER = Path(__file__).parent / "license_texts"
+#: The terms end here; what follows says how to apply them and is often left out.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license id, text) of the files, and of their terms alone."""
+    found = []
+    for file in sorted(FOLDER.glob("*.txt")):
+        name, text = file.stem.split("--")[0], file.read_text(encoding="utf-8")
+        terms, end, rest = text.partition(END_OF_TERMS)
+        found += [(name, text)] + ([(name, terms + end), (name, terms)] if rest.strip() else [])
+    return found
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a text; empty if nothing is left.
 
-    No step looks across a line break, so the form of a text is the forms of its lines joined by spaces.
+    Only spellings of several words reach across a line break, so the form of a text is the forms of its lines joined by
+    spaces and sent through ``_across``.
     """
     text = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, "")
     for other, usual in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(usual))
-    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    return _across(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
+
+
+def _across(form: Column) -> Column:
+    """Spellings of several words made one in a form, wherever its lines were broken."""
+    for other, usual in SPELLINGS:
+        if " " in other:
+            form = F.replace(form, F.lit(other), F.lit(usual))
+    return form
 
 
 def _digest(text: Column) -> Column:
@@ -72,8 +98,8 @@ def _digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, text) of the built-in list."""
-    listed = json.dumps([{"license_id": i, "text": t} for i, t in KNOWN])
+    """(license_id, text) of the built-in list and of the files of whole texts."""
+    listed = json.dumps([{"license_id": i, "text": t} for i, t in (*KNOWN, *whole_texts())])
     return spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<license_id:string,text:string>>")))
 
 
@@ -90,7 +116,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     digests = known.select("license_id", _digest(F.col("text")).alias("digest")).filter("digest is not null and license_id is not null").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     forms = docs.select("doc_id", F.filter(F.transform(F.split(text, "\n"), canonical), lambda f: f != "").alias("_forms"))
-    whole = F.when(F.size("_forms") > 0, F.md5(F.array_join("_forms", " ")))
+    whole = F.when(F.size("_forms") > 0, F.md5(_across(F.array_join("_forms", " "))))
     keyed = forms.select("doc_id", whole.alias("whole"), F.array_sort(F.array_distinct(F.transform("_forms", F.md5))).alias("_lines"))
     keyed = keyed.withColumn("page", F.xxhash64("_lines"))
     units = F.concat(F.array(F.struct(F.col("whole").alias("digest"), F.lit(True).alias("entire"))), F.transform("_lines", lambda d: F.struct(d.alias("digest"), F.lit(False).alias("entire"))))

@@ -1,4 +1,5 @@
 import datetime
+import textwrap
 
 from factloom.llm import licenses, url_filters
 from factloom.llm.licenses import KNOWN, MIT
@@ -67,3 +68,16 @@ def test_own_list(spark):
     docs = spark.createDataFrame([(1, "House rules: be kind!")], "doc_id long, text string")
     known = spark.createDataFrame([("HOUSE", "house rules; be kind"), ("EMPTY", "..."), (None, "x")], "license_id string, text string")
     assert licenses.scan(docs, known).first().whole_license == "HOUSE"
+
+
+def test_whole_license_files_are_found(spark):
+    wanted = {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"}
+    texts = [(f.stem.split("--")[0], f.read_text()) for f in sorted(licenses.FOLDER.glob("*.txt"))]
+    assert wanted <= {i for i, _ in texts}
+    rows = []
+    for name, text in texts:
+        wrapped = "\n\n".join(p if "opyright (" in p or "opyright [" in p or "©" in p else textwrap.fill(p, 60, break_on_hyphens=False, break_long_words=False) for p in text.split("\n\n"))
+        rows += [(name, text), (name, "Copyright (c) 2024 Some Person\n\n" + wrapped), (None, text + "\nAnd one more term.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.whole_license for r in licenses.scan(docs).collect()}
+    assert [(i, n, got[i]) for i, (n, _) in enumerate(rows) if got[i] != n] == []
