@@ -67,9 +67,23 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def reread(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to a new place in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+
+
+def reread(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path``, or to a new place in the shared folder, and read it back."""
+    path = path or scratch_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``reread`` wrote and nothing reads any more."""
+    folder, context = shared_folder(spark), spark.sparkContext
+    for path in paths:
+        if not path.startswith(f"{folder}/"):
+            raise ValueError(f"{path} is not in {folder}")
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
