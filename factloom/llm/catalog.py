@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import langid, licenses, mixing, pieces, pii, quality_model, simhash, topk, url_filters, vector_dedup
+from factloom.llm import langid, licenses, mixing, pieces, pii, quality_model, simhash, token_alignment, topk, url_filters, vector_dedup, warc, whitening
 from factloom.llm.tables import table
 
-#: The tokenizer that the queries use; operators take its path as a parameter.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: The tokenizers that the queries use; operators take their paths as parameters.
+PIECES, BYTES = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +58,25 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, a: str = BYTES, b: str = PIECES) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b, groups=False)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = (op1_pii, op2_url_filters, op3_quality, op4_pieces, op5_simhash, op6_mix, op7_vectors, op8_langid, op9_licenses, op10_topk, op11_alignment, op12_warc, op13_whitening)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_url_filters": op2_url_filters, "op3_quality": op3_quality, "op4_pieces": op4_pieces, "op5_simhash": op5_simhash, "op6_mix": op6_mix, "op7_vectors": op7_vectors, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
+    return {query.__name__: query for query in QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.SQL, "op6_mix": mixing.SQL, "op7_vectors": vector_dedup.SQL, "op9_licenses": licenses.SQL, "op10_topk": topk.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op6_mix": mixing.SQL, "op7_vectors": vector_dedup.SQL, "op9_licenses": licenses.SQL, "op10_topk": topk.SQL, "op12_warc": warc.SQL}
