@@ -5,6 +5,10 @@ the running sums of token sizes are byte offsets. Two dictionaries map each offs
 token's place in its list; the intersection of their keys, sorted, cuts both lists into the smallest groups that cover
 the same bytes. Tokens of a group that end on the cut itself are linked.
 
+A splits texts before it merges, and no token of it goes on from a character that isn't white space into a space; nor does one of B in
+the models checked for that when they are read. Both lists thus have a cut at each such place. A text is aligned word by word (a
+word with the white space before it), and each distinct word of a block of documents once. A model B that fails the check has its texts aligned whole.
+
 How often two ids are linked is counted over all documents. Documents are handled in blocks of bounded text size. A block
 reports its distinct pairs once, with their number, so a pair that every document holds crosses the network once a block;
 its totals return to the block by one more exchange, where the documents keep only positions in the block's list.
@@ -13,9 +17,11 @@ its totals return to the block by one more exchange, where the documents keep on
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
-from operator import add
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pandas as pd
@@ -32,10 +38,10 @@ from factloom.session import reread
 BLOCK, CALL, PAIRS = 16 << 20, 1 << 20, 1 << 16
 #: How byte-level vocabularies split texts before merging (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, places binary, times binary, codes array<long>, counts array<long>"
+SCHEMA = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, places binary, times binary, start long, codes array<long>, counts array<long>"
 ARROW = pa.schema([
     *((name, pa.int64()) for name in ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links")),
-    ("groups", pa.string()), ("places", pa.binary()), ("times", pa.binary()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    ("groups", pa.string()), ("places", pa.binary()), ("times", pa.binary()), ("start", pa.int64()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
 def _alphabet() -> dict[str, int]:
@@ -72,69 +78,100 @@ def piece_tokenizer(model: bytes) -> tuple[sentencepiece.SentencePieceProcessor,
     return pieces, [raw(i, pieces.id_to_piece(i)) for i in range(pieces.get_piece_size())]
 
 
-def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """Numbers of tokens of either list before each offset where tokens of both end, in order."""
-    place_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
-    place_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(place_a.keys() & place_b.keys())
-    return np.array([place_a[e] for e in common], np.int64), np.array([place_b[e] for e in common], np.int64)
-
-
-@lru_cache(4)
-def _numbers(size: int, after: str = "") -> np.ndarray:
-    return np.array([f"{i}{after}" for i in range(size)], object)
-
-
-def group_text(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, sizes: tuple[int, int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``; ``sizes`` are those of the vocabularies."""
-    if not len(at_a):
-        return ""
-    out = list(map(add, _numbers(sizes[0], "|")[a[at_a - 1]], _numbers(sizes[1])[b[at_b - 1]]))
-    from_a, from_b = np.r_[0, at_a[:-1]], np.r_[0, at_b[:-1]]
-    for g in np.flatnonzero((at_a - from_a > 1) | (at_b - from_b > 1)).tolist():
-        out[g] = ",".join(map(str, a[from_a[g]:at_a[g]])) + "|" + ",".join(map(str, b[from_b[g]:at_b[g]]))
-    return ";".join(out)
+    place_a, place_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
+    return [(place_a[end], place_b[end]) for end in sorted(place_a.keys() & place_b.keys())]
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in A, in B) of all pairs of tokens that end together: in each group, every such A token with every such B token.
+def groups_and_links(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
+    """Groups as ``a1,a2|b1``, and the pairs (A id, B id) of all tokens that end together.
 
-    There is one pair a group unless a tokenizer has tokens without bytes.
+    In a group every A token that ends on the cut is linked with every such B token: one pair, unless there are tokens without bytes.
     """
-    if not len(at_a):
-        return at_a, at_b
-    cut = ends_a[at_a - 1]
-    n_a, n_b = at_a - np.searchsorted(ends_a, cut), at_b - np.searchsorted(ends_b, cut)
-    group = np.repeat(np.arange(len(cut)), n_a * n_b)
-    k = np.arange(len(group)) - np.repeat(np.cumsum(n_a * n_b) - n_a * n_b, n_a * n_b)
-    return at_a[group] - 1 - k // n_b[group], at_b[group] - 1 - k % n_b[group]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    groups, linked, i, j = [], [], 0, 0
+    for to_i, to_j in cuts(ends_a, ends_b):
+        groups.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
+        end, k = ends_a[to_i - 1], to_i - 1
+        while k >= i and ends_a[k] == end:
+            m = to_j - 1
+            while m >= j and ends_b[m] == end:
+                linked.append((a[k], b[m]))
+                m -= 1
+            k -= 1
+        i, j = to_i, to_j
+    return groups, linked
+
+
+def crosses(table: list[bytes]) -> bool:
+    """Whether a token goes on from a character that isn't white space into a space."""
+    return any(re.search(r"\S ", raw.decode(errors="replace")) for raw in table)
+
+
+@dataclass
+class Block:
+    """Aligned words and linked pairs of the documents of one block."""
+
+    a: tiktoken.Encoding
+    b: sentencepiece.SentencePieceProcessor
+    raw_a: list[bytes]
+    raw_b: list[bytes]
+    #: word -> (tokens of A, tokens of B, groups, group text, numbers of its linked pairs), or None where bytes differ
+    words: dict[str, tuple | None] = field(default_factory=dict)
+    #: code of a pair -> its number in the block
+    pairs: dict[int, int] = field(default_factory=dict)
+    counts: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.sizes = [list(map(len, raw)) for raw in (self.raw_a, self.raw_b)]
+        self.cut = re.compile("(?s).+" if crosses(self.raw_b) else r" (?:[^ ]+|(?<=\s) +| \Z)*")
+
+    def _align(self, words: list[str]) -> None:
+        for word, of_b in zip(words, self.b.encode([w[1:] for w in words], num_threads=1)):
+            raw, of_a = word.encode(), self.a.encode_ordinary(word)
+            if b"".join(map(self.raw_a.__getitem__, of_a)) != raw or b"".join(map(self.raw_b.__getitem__, of_b)) != raw:
+                self.words[word] = None
+                continue
+            ends = [list(accumulate(map(size.__getitem__, of))) for size, of in zip(self.sizes, (of_a, of_b))]
+            groups, linked = groups_and_links(of_a, of_b, *ends)
+            numbers = [self.pairs.setdefault(x * len(self.raw_b) + y, len(self.pairs)) for x, y in linked]
+            self.words[word] = len(of_a), len(of_b), len(groups), ";".join(groups), numbers
+
+    def rows(self, texts: list[str]) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, groups, places, times) of each text."""
+        cut = [self.cut.findall(" " + text) if text else [] for text in texts]
+        if new := list(dict.fromkeys(w for words in cut for w in words if w not in self.words)):
+            self._align(new)
+        out, none = [], (0, 0, 0, 0, "", b"", b"")
+        for words in cut:
+            found = list(map(self.words.__getitem__, words))
+            if not found or None in found:
+                out.append(none)
+                continue
+            n_a, n_b, n_groups, texts, numbers = zip(*found)
+            place = np.fromiter(chain.from_iterable(numbers), np.int32)
+            self.counts.append(place)
+            held, times = np.unique(place, return_counts=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), len(place), ";".join(texts), held.tobytes(), times.astype(np.int32).tobytes()))
+        if len(self.counts) > 1:
+            self.counts = [np.bincount(np.concatenate(self.counts[1:]), minlength=len(self.pairs)) + np.pad(self.counts[0], (0, len(self.pairs) - len(self.counts[0])))]
+        return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], int]]:
+    """(ids, texts, characters), ``CALL`` characters or one text at a time."""
     ids, texts, size = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py() or ""
-            if texts and size + len(text) > BLOCK:
-                yield ids, texts
+            if texts and size + len(text) > CALL:
+                yield ids, texts, size
                 ids, texts, size = [], [], 0
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
     if texts:
-        yield ids, texts
-
-
-def _encoded(texts: list[str], a: tiktoken.Encoding, b: sentencepiece.SentencePieceProcessor) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    start = 0
-    while start < len(texts):
-        stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CALL):
-            size, stop = size + len(texts[stop]), stop + 1
-        part = texts[start:stop]
-        for text, theirs in zip(part, b.encode(part, num_threads=1)):
-            yield (" " + text).encode(), a.encode_ordinary(" " + text) if text else [], theirs if text else []
-        start = stop
+        yield ids, texts, size
 
 
 def encoded(docs: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
@@ -144,30 +181,24 @@ def encoded(docs: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, raw_a), (b, raw_b) = byte_tokenizer(a_model), piece_tokenizer(b_model)
-        sizes_a, sizes_b = (np.array(list(map(len, raw)), np.int64) for raw in (raw_a, raw_b))
-        for number, (ids, texts) in enumerate(_blocks(batches)):
-            block, rows, codes = TaskContext.get().partitionId() << 32 | number, [], []
-            for raw, of_a, of_b in _encoded(texts, a, b):
-                if b"".join(map(raw_a.__getitem__, of_a)) != raw or b"".join(map(raw_b.__getitem__, of_b)) != raw:
-                    of_a, of_b = [], []
-                own_a, own_b = np.array(of_a, np.int64), np.array(of_b, np.int64)
-                ends_a, ends_b = np.cumsum(sizes_a[own_a]), np.cumsum(sizes_b[own_b])
-                at_a, at_b = cuts(ends_a, ends_b)
-                one, other = links(ends_a, ends_b, at_a, at_b)
-                codes.append(own_a[one] * len(raw_b) + own_b[other])
-                rows.append((len(of_a), len(of_b), len(at_a), len(one), group_text(own_a, own_b, at_a, at_b, (len(raw_a), len(raw_b)))))
-            known, place, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-            split = np.split(place.astype(np.int32), np.cumsum([len(c) for c in codes])[:-1])
-            held = [np.unique(p, return_counts=True) for p in split]
-            none = [None] * len(ids)
-            n_a, n_b, n_groups, n_links, groups = zip(*rows)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block] * len(ids), pa.int64()), pa.array(ids, pa.int64()), *(pa.array(v, pa.int64()) for v in (n_a, n_b, n_groups, n_links)), pa.array(groups, pa.string()),
-                pa.array([p.tobytes() for p, _ in held], pa.binary()), pa.array([t.astype(np.int32).tobytes() for _, t in held], pa.binary()),
-                pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int64()))], schema=ARROW)
-            for i in range(0, len(known), PAIRS):
-                part = [[block], *[[None]] * 7, [None], [known[i:i + PAIRS]], [count[i:i + PAIRS]]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(part, ARROW)], schema=ARROW)
+        fresh = lambda: Block(a, b, raw_a, raw_b, counts=[np.zeros(0, np.int64)])
+        number, held, state = TaskContext.get().partitionId() << 32, 0, fresh()
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            codes, counts = np.fromiter(state.pairs, np.int64), state.counts[0]
+            for i in range(0, len(codes), PAIRS):
+                part = slice(i, i + PAIRS)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([[number], *[[None]] * 8, [i], [codes[part]], [counts[part]]], ARROW)], schema=ARROW)
+
+        for ids, texts, size in _slices(batches):
+            if held and held + size > BLOCK:
+                yield from pairs()
+                number, held, state = number + 1, 0, fresh()
+            held += size
+            columns = [[number] * len(ids), ids, *zip(*state.rows(texts)), *[[None] * len(ids)] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, ARROW)], schema=ARROW)
+        if held:
+            yield from pairs()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -189,16 +220,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) -> Dat
     made = reread(made if groups else made.drop("groups"), "alignment")
     shown = ["groups"] if groups else []
 
-    own = made.filter(F.col("codes").isNotNull()).select("block", F.explode(F.arrays_zip("codes", "counts")).alias("p")).select(
-        F.col("block").alias("of"), F.col("p.codes").alias("code"), F.col("p.counts").alias("n"))
+    own = made.filter(F.col("codes").isNotNull()).select("block", "start", F.posexplode(F.arrays_zip("codes", "counts")).alias("at", "p")).select(
+        F.col("block").alias("of"), (F.col("start") + F.col("at")).alias("place"), F.col("p.codes").alias("code"), F.col("p.counts").alias("n"))
     total = own.groupBy("code").agg(F.sum("n").alias("n"))
     most = F.max("n").over(Window.partitionBy(F.col("code") % size_b))
     #: A pair's count, negative unless it is the highest of its B id.
     total = total.select("code", F.when(F.col("n") == most, F.col("n")).otherwise(-F.col("n")).alias("mark"))
-    marks = own.select("of", "code").join(total, "code")
+    marks = own.select("of", "place", "code").join(total, "code")
 
     def finish(_, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        mark = pairs.sort_values("code")["mark"].to_numpy()
+        mark = pairs.sort_values("place")["mark"].to_numpy()
         best, sums = [], []
         for places, times in zip(rows["places"], rows["times"]):
             here, times = mark[np.frombuffer(places, np.int32)], np.frombuffer(times, np.int32).astype(np.int64)
@@ -206,6 +237,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = True) -> Dat
             sums.append(int((np.abs(here) * times).sum()))
         return rows[["doc_id", "n_a", "n_b", "n_groups", "n_links"]].assign(n_best=best, count_sum=sums, **{c: rows[c] for c in ("groups_sha256", *shown)})
 
-    rows = made.filter(F.col("codes").isNull()).drop("codes", "counts")
+    rows = made.filter(F.col("codes").isNull()).drop("start", "codes", "counts")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", groups string" * groups
     return rows.groupBy("block").cogroup(marks.groupBy("of")).applyInPandas(finish, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from factloom.session import checkpoint, discard, reread, scratch_path, shared_folder
 
 #: Bytes of a chunk, payload bytes of an archive file, and tasks over which the records of one digest are dealt.
-CHUNK, FILE, SPREAD = 1 << 18, 128 << 20, 32
+CHUNK, FILE, SPREAD = 1 << 18, 64 << 20, 32
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record long, page_id long, url string, chunk long, chunks long, data binary, bytes long, digest string"
@@ -42,11 +42,11 @@ def base32(digest: bytes) -> str:
 
 
 def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Payloads as chunk rows with running sizes and digests; an empty payload is one empty chunk."""
+    """Payloads as chunk rows with running sizes and digests, their bytes deflated; an empty payload is one empty chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha, size = hashlib.sha1(), 0
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, packed = [], [], []
             for number, data in zip(batch.column("chunk").to_pylist(), batch.column("data")):
                 if number == 0:
                     sha, size = hashlib.sha1(), 0
@@ -55,7 +55,8 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 size += data.size
                 sizes.append(size)
                 digests.append(base32(sha.digest()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names, "bytes", "digest"])
+                packed.append(zlib.compress(data, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names, "bytes", "digest"])
 
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("_payload"))
@@ -145,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = DA
                     member, revisit, records = zlib.compressobj(6, zlib.DEFLATED, 31), row["revisits"], records + 1
                     out.write(member.compress(record_head(row, date)))
                 elif not revisit:
-                    out.write(member.compress(data.as_buffer()))
+                    out.write(member.compress(zlib.decompress(data.as_buffer())))
         if out is not None:
             out.write(member.compress(b"\r\n\r\n") + member.flush())
             size = out.tell()

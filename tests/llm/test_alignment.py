@@ -92,14 +92,26 @@ def test_odd_rows(spark, odd_docs, no_docs, tokenizers):
 
 
 def test_tokens_without_bytes_link_all_that_end_together():
-    ends_a, ends_b = np.array([2, 2, 5]), np.array([1, 2, 2, 5, 5])
-    at_a, at_b = token_alignment.cuts(ends_a, ends_b)
-    assert at_a.tolist() == [2, 3] and at_b.tolist() == [3, 5]
-    one, other = token_alignment.links(ends_a, ends_b, at_a, at_b)
-    assert sorted(zip(one.tolist(), other.tolist())) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 3), (2, 4)]
+    ends_a, ends_b = [2, 2, 5], [1, 2, 2, 5, 5]
+    assert token_alignment.cuts(ends_a, ends_b) == [(2, 3), (3, 5)]
+    groups, linked = token_alignment.groups_and_links([10, 11, 12], [20, 21, 22, 23, 24], ends_a, ends_b)
+    assert groups == ["10,11|20,21,22", "12|23,24"]
+    assert sorted(linked) == [(10, 21), (10, 22), (11, 21), (11, 22), (12, 23), (12, 24)]
 
 
 def test_out_of_order_merges_are_refused():
     model = '{"model": {"vocab": {"a": 0, "b": 1, "ab": 3, "ba": 2}, "merges": [["a", "b"], ["b", "a"]]}}'
     with pytest.raises(ValueError):
         token_alignment.byte_tokenizer(model)
+
+
+def test_cut_words_give_whole_texts(tokenizers):
+    """Encoding word by word gives what the libraries give for whole texts, whatever white space stands between."""
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "\t", "\n ", " \n", " ", "\u0085", "\x1c", "　", "a", "the", "It's", "12", "!", "é", "漢", "🙂", "​", "x" * 30]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(3000)]
+    (a, raw_a), (b, raw_b) = token_alignment.byte_tokenizer(open(catalog.BYTES).read()), token_alignment.piece_tokenizer(open(catalog.PIECES, "rb").read())
+    block = token_alignment.Block(a, b, raw_a, raw_b, counts=[np.zeros(0, np.int64)])
+    for text, row, expected in zip(texts, block.rows(texts), plain(texts, *tokenizers)):
+        assert (*row[:4], hashlib.sha256(row[4].encode()).hexdigest() if row[0] else "") == (*expected[:4], expected[6]), repr(text)
+    assert not token_alignment.crosses(raw_b) and token_alignment.crosses([b"of the"])
