@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import accumulate, chain, count
+from itertools import accumulate, count
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,11 @@ def groups_and_links(a: list[int], b: list[int], ends_a: list[int], ends_b: list
     """
     groups, linked, i, j = [], [], 0, 0
     for to_i, to_j in cuts(ends_a, ends_b):
+        if to_i - i == 1 == to_j - j:
+            groups.append(f"{a[i]}|{b[j]}")
+            linked.append((a[i], b[j]))
+            i, j = to_i, to_j
+            continue
         groups.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
         end, k = ends_a[to_i - 1], to_i - 1
         while k >= i and ends_a[k] == end:
@@ -116,45 +122,55 @@ class Block:
     b: sentencepiece.SentencePieceProcessor
     raw_a: list[bytes]
     raw_b: list[bytes]
-    #: word -> (tokens of A, tokens of B, groups, group text, numbers of its linked pairs), or None where bytes differ
-    words: dict[str, tuple | None] = field(default_factory=dict)
-    #: code of a pair -> its number in the block
+    #: distinct words by number, and per word: group text, sizes (tokens of A, tokens of B, groups, linked pairs), and its pairs' numbers, end to end
+    words: dict[str, int] = field(default_factory=dict)
+    groups: list[str] = field(default_factory=list)
+    sizes: array = field(default_factory=lambda: array("q"))
+    places: array = field(default_factory=lambda: array("i"))
+    #: code of a pair -> its number in the block, and how often each was met
     pairs: dict[int, int] = field(default_factory=dict)
-    counts: list[np.ndarray] = field(default_factory=list)
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def __post_init__(self) -> None:
-        self.sizes = [list(map(len, raw)) for raw in (self.raw_a, self.raw_b)]
+        self.bytes_a, self.bytes_b = (list(map(len, raw)) for raw in (self.raw_a, self.raw_b))
         self.cut = re.compile("(?s).+" if crosses(self.raw_b) else r" (?:[^ ]+|(?<=\s) +| \Z)*")
 
     def _align(self, words: list[str]) -> None:
+        bytes_a, bytes_b, raw_b, pairs, many = self.bytes_a, self.bytes_b, self.raw_b, self.pairs, len(self.raw_b)
         for word, of_b in zip(words, self.b.encode([w[1:] for w in words], num_threads=1)):
-            raw, of_a = word.encode(), self.a.encode_ordinary(word)
-            if b"".join(map(self.raw_a.__getitem__, of_a)) != raw or b"".join(map(self.raw_b.__getitem__, of_b)) != raw:
-                self.words[word] = None
+            self.words[word] = len(self.groups)
+            # tokens of A are cut from the bytes themselves; only B may give back others
+            if b"".join([raw_b[i] for i in of_b]) != word.encode():
+                self.groups.append("")
+                self.sizes.extend((-1, 0, 0, 0))
                 continue
-            ends = [list(accumulate(map(size.__getitem__, of))) for size, of in zip(self.sizes, (of_a, of_b))]
-            groups, linked = groups_and_links(of_a, of_b, *ends)
-            numbers = [self.pairs.setdefault(x * len(self.raw_b) + y, len(self.pairs)) for x, y in linked]
-            self.words[word] = len(of_a), len(of_b), len(groups), ";".join(groups), numbers
+            of_a = self.a.encode_ordinary(word)
+            groups, linked = groups_and_links(of_a, of_b, list(accumulate([bytes_a[i] for i in of_a])), list(accumulate([bytes_b[i] for i in of_b])))
+            self.groups.append(";".join(groups))
+            self.sizes.extend((len(of_a), len(of_b), len(groups), len(linked)))
+            self.places.extend([pairs.setdefault(x * many + y, len(pairs)) for x, y in linked])
 
     def rows(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, places, times) of each text."""
         cut = [self.cut.findall(" " + text) if text else [] for text in texts]
         if new := list(dict.fromkeys(w for words in cut for w in words if w not in self.words)):
             self._align(new)
+        sizes, places = np.array(self.sizes, np.int64).reshape(-1, 4), np.array(self.places, np.int32)
+        starts, met = np.cumsum(sizes[:, 3]) - sizes[:, 3], np.zeros(len(self.pairs), np.int64)
+        met[:len(self.counts)] = self.counts
         out, none = [], (0, 0, 0, 0, "", b"", b"")
         for words in cut:
             found = list(map(self.words.__getitem__, words))
-            if not found or None in found:
+            own = sizes[found]
+            if not found or own[:, 0].min() < 0:
                 out.append(none)
                 continue
-            n_a, n_b, n_groups, texts, numbers = zip(*found)
-            place = np.fromiter(chain.from_iterable(numbers), np.int32)
-            self.counts.append(place)
-            held, times = np.unique(place, return_counts=True)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), len(place), ";".join(texts), held.tobytes(), times.astype(np.int32).tobytes()))
-        if len(self.counts) > 1:
-            self.counts = [np.bincount(np.concatenate(self.counts[1:]), minlength=len(self.pairs)) + np.pad(self.counts[0], (0, len(self.pairs) - len(self.counts[0])))]
+            n_a, n_b, n_groups, n_links = own.sum(axis=0).tolist()
+            before = np.cumsum(own[:, 3]) - own[:, 3]
+            held, times = np.unique(places[np.repeat(starts[found] - before, own[:, 3]) + np.arange(n_links)], return_counts=True)
+            met[held] += times
+            out.append((n_a, n_b, n_groups, n_links, ";".join(map(self.groups.__getitem__, found)), held.tobytes(), times.astype(np.int32).tobytes()))
+        self.counts = met
         return out
 
 
@@ -181,11 +197,11 @@ def encoded(docs: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, raw_a), (b, raw_b) = byte_tokenizer(a_model), piece_tokenizer(b_model)
-        fresh = lambda: Block(a, b, raw_a, raw_b, counts=[np.zeros(0, np.int64)])
+        fresh = lambda: Block(a, b, raw_a, raw_b)
         number, held, state = TaskContext.get().partitionId() << 32, 0, fresh()
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            codes, counts = np.fromiter(state.pairs, np.int64), state.counts[0]
+            codes, counts = np.fromiter(state.pairs, np.int64), state.counts
             for i in range(0, len(codes), PAIRS):
                 part = slice(i, i + PAIRS)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([[number], *[[None]] * 8, [i], [codes[part]], [counts[part]]], ARROW)], schema=ARROW)
