@@ -6,7 +6,7 @@ import corpus_pipeline
 from factloom.llm import mixing, pii, quality_model
 from factloom.session import reread
 from test_pii import base_spans
-from test_simhash import components, plain_fingerprint
+from test_shingles import plain_components, plain_sets
 
 import numpy as np
 
@@ -31,8 +31,8 @@ def test_stages_on_small_tables(spark):
             weights, _ = quality_model.fit(docs)
             assert after == [r for r in before if r[1] and r[1].strip() and plain_score(r[1], weights) >= quality_model.THRESHOLD]
         elif name == "near_duplicates":
-            found = components([r[0] for r in before], [int(plain_fingerprint(r[1])) for r in before])
-            assert after == [r for r, c in zip(before, found) if r[0] == c] and len(after) < len(before)
+            found = plain_components(plain_sets([r[1] for r in before]))
+            assert after == [r for i, (r, c) in enumerate(zip(before, found)) if i == c] and len(after) < len(before)
         elif name == "personal_data":
             model, thresholds = pii.fit(spark)
             spans = {r.doc_id: r.spans for r in pii.report(docs, model=model, thresholds=thresholds).collect()}
@@ -62,3 +62,18 @@ def test_run_gives_the_last_stage(spark):
 def test_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, odd_docs):
+    """Every stage takes odd rows beside columns named like its own, and hands on all columns but for the last."""
+    extra = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = odd_docs.unionByName(extra, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES:
+        result = reread(stage(spark, docs, SF), name)
+        if name == "encode":
+            assert {"doc_id", "ids"} <= set(result.columns) and result.count() == docs.count()
+        else:
+            assert result.columns == docs.columns
+            texts = [r.text for r in result.select("text").collect()]
+            assert texts and (name == "mix" or len(texts) <= docs.count())
+        docs = result

@@ -41,8 +41,9 @@ def test_links_equal_brute_force(spark, monkeypatch):
     sets = plain_sets(texts)
     want = [i for i, c in enumerate(plain_components(sets)) if i == c]
     assert sorted(r.doc_id for r in shingles.first_of_each(docs).collect()) == want
-    monkeypatch.setattr(shingles, "SHARE", 1)  # common shingles change no result
-    assert len(shingles._common(shingles._texts(docs), 5, 80)) > 0
+    for name, value in (("SHARE", 1), ("LONG", 8), ("HELD", 10), ("SMALL", 0), ("BATCH", 50)):  # these change no result
+        monkeypatch.setattr(shingles, name, value)
+    assert len(shingles._common(shingles._marked(shingles._texts(docs), 5), 5, 80)) > 0
     assert sorted(r.doc_id for r in shingles.first_of_each(docs).collect()) == want
 
 
@@ -55,6 +56,17 @@ def test_stage_drops_edited_copies_that_fingerprints_keep(spark):
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
 
 
+def test_a_shared_line_makes_few_pairs(spark, monkeypatch):
+    """20,000 short texts share a line of boilerplate, most under a number of pairs that grows with them, not with its square."""
+    rng, line = random.Random(7), "all rights of this line of boilerplate are kept by all of us for ever"
+    texts = [f"{line} n{i} {' '.join(f'v{rng.randint(0, 99_999)}' for _ in range(20))}" for i in range(20_000)] + [f"{line} n{i} same words as all the others of these few" for i in (1, 2)]
+    asked, confirm = [], shingles._confirmed
+    monkeypatch.setattr(shingles, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirm(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert shingles.first_of_each(docs).count() >= 20_000
+    assert sum(asked) <= 20_000
+
+
 def test_odd_rows(odd_docs, no_docs):
     kept = shingles.first_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
