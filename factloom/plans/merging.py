@@ -8,17 +8,14 @@ from factloom.plans.registry import query
 from factloom.plans.snippets import APPROVED, place
 
 
-def _document_names(t):
-    """Names as entities: the capitalised long words of all documents."""
-    words = F.regexp_extract_all("text", F.lit(r"\b\p{Lu}\p{L}{11,}"), F.lit(0))
-    return t.documents.select(F.explode(words).alias("canonical_name")).distinct().select(
-        F.sha2("canonical_name", 256).alias("entity_id"), "canonical_name", F.lit("UNKNOWN").alias("entity_type"))
+def _aliases(t):
+    return t.t_alias.select(F.col("alias_id").alias("entity_id"), F.col("alias_name").alias("canonical_name"), F.lit("UNKNOWN").alias("entity_type"))
 
 
 @query("M1_merge_suggestions")
 def m1(t):
-    return M.merge_suggestions(_document_names(t), limit=None).select(
-        "primary_name", "secondary_name", "score", "reason")
+    names = t.t_entity.select("entity_id", "canonical_name", "entity_type").unionByName(_aliases(t))
+    return M.merge_suggestions(names, limit=None).select("primary_name", "secondary_name", "score", "reason")
 
 
 def _candidates(t):
@@ -154,10 +151,8 @@ def m8(t):
 
 @query("M9_name_clusters")
 def m9(t):
-    items = _document_names(t).select(
-        F.col("canonical_name").alias("text"), F.length("canonical_name").cast("bigint").alias("fact_count"), "entity_id",
-        "entity_type", F.lit("entity").alias("source"))
-    return M.cluster_names(items).select("pivot", "text", "sim_to_pivot", "is_pivot", "max_fact_count", "place_warning")
+    named = t.t_entity.select("entity_id", "canonical_name", "entity_type").unionByName(_aliases(t))
+    return M.cluster_names(M.cluster_items(t.t_fact, named)).select("pivot", "text", "sim_to_pivot", "is_pivot", "max_fact_count", "place_warning")
 
 
 @query("M9_cluster_items", f"""

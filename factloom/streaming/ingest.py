@@ -1,31 +1,38 @@
 """Incremental ingest of model answers with Structured Streaming.
 
-Each micro-batch is parsed, validated, normalised, de-duplicated against what was
-kept so far, linked, and written under its batch id. A replayed batch overwrites
-its own folders, so every answer counts once. Kept facts are found through an
-append-only key index, read column-pruned and cut to the keys of the batch; no
-snapshot is rewritten per batch.
+Each micro-batch is one chain: the articles of its answers are cleaned and gated, the answers parsed, validated, normalised and
+de-duplicated against what was kept so far. All of it is written under the batch id and published by one marker; a replayed
+batch overwrites its own folders, so every answer counts once.
+
+Kept facts are found through a key index in buckets of key hashes: a batch reads the buckets its keys fall in, and the index is
+compacted to one row per key now and then. After a run, ``link_stream`` discovers and links the distinct names of all published facts. Names,
+links and overlaps between fact types depend on the set of facts alone, so how answers were cut into batches does not show.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom import config as C
 from factloom.functions import keys as K
+from factloom.functions import text as T
 from factloom.functions.predicates import normalize_predicates
 from factloom.operators import dedup, extraction, linking
-from factloom.operators.common import null_safe
+from factloom.operators.common import null_safe, scattered
+from factloom.session import checkpoint
 
-ANSWERS = "request_id string, document_id bigint, content string"
+#: ``article`` is the document's text; where it is given, its answers count only if the cleaned text passes the gate.
+ANSWERS = "request_id string, document_id bigint, content string, article string"
 INDEX = ("k_type string, k_subject string, k_disc string, k_value double, k_time string, fact_id string, "
-         "confidence_score double, batch_id bigint")
+         "confidence_score double, batch_id bigint, bucket int")
+LINKS, ENTITIES, ALIASES = "kind string, text string, entity_id string", "entity_id string, canonical_name string, normalized_name string, entity_type string", "alias_id string, entity_id string, alias_name string"
+BUCKETS = 64
 FACT_COLUMNS = (
     "fact_id", "request_id", "document_id", "evidence_text", "fact_type", "subject_text", "predicate", "object_text",
     "value_num", "value_text", "unit", "currency", "time_expr", "location_text", "qualifier_json", "confidence_score",
-    "review_status", "review_note", "subject_entity_id")
+    "review_status", "review_note")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,20 +47,45 @@ def _published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("n bigint, batch_id bigint").parquet(f"{path}/published").select("batch_id")
 
 
-def _stored(spark: SparkSession, path: str, name: str, before: int | None, schema: str) -> DataFrame:
-    """Rows of published batches, of those before ``before`` if given; empty before the first.
+def _stored(spark: SparkSession, path: str, name: str, schema: str, done: DataFrame) -> DataFrame:
+    """Rows of the batches in ``done``; empty before the first.
 
     Only a missing folder counts as empty; a table that can't be read is an error.
     """
     if not _exists(spark, f"{path}/{name}"):
         return spark.createDataFrame([], schema)
     table = spark.read.option("basePath", f"{path}/{name}").schema(schema).parquet(f"{path}/{name}")
-    done = _published(spark, path)
-    return table.join(done if before is None else done.filter(F.col("batch_id") < before), "batch_id", "left_semi")
+    return table.join(done, "batch_id", "left_semi")
+
+
+def _write(df: DataFrame, path: str, name: str, batch_id: int, *partitions: str) -> None:
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/{name}/batch_id={batch_id}")
+
+
+def _latest(spark: SparkSession, path: str, name: str, before: int | None = None) -> int | None:
+    """The last batch that a finished job over all batches so far took in, of those before ``before`` if given."""
+    if not _exists(spark, f"{path}/{name}_done"):
+        return None
+    done = spark.read.schema("n bigint, batch_id bigint").parquet(f"{path}/{name}_done")
+    return (done if before is None else done.filter(F.col("batch_id") < before)).agg(F.max("batch_id")).first()[0]
+
+
+def _mark(spark: SparkSession, path: str, name: str, batch_id: int) -> None:
+    _write(spark.range(1).select(F.col("id").alias("n")), path, name, batch_id)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*K.KEY_COLUMNS), F.lit(BUCKETS)).cast("int")
 
 
-def _write(df: DataFrame, path: str, name: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+def known_keys(spark: SparkSession, path: str, before: int, buckets: list[int]) -> DataFrame:
+    """Index rows of the given buckets as they were before a batch: the last compaction, and the batches after it."""
+    done, base = _published(spark, path).filter(F.col("batch_id") < before), _latest(spark, path, "compacted", before)
+    if base is None:
+        return _stored(spark, path, "index", INDEX, done).filter(F.col("bucket").isin(*buckets)).drop("batch_id")
+    whole = spark.read.schema(INDEX).option("basePath", f"{path}/compacted").parquet(f"{path}/compacted/batch_id={base}")
+    later = _stored(spark, path, "index", INDEX, done.filter(F.col("batch_id") > base))
+    return whole.unionByName(later).filter(F.col("bucket").isin(*buckets)).drop("batch_id")
 
 
 def settle_answers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,72 +98,123 @@ def settle_answers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return facts, extraction.unparsed(parsed)
 
 
+def _rank() -> Column:
+    """Least for the fact of a key to keep."""
+    return F.struct((-F.coalesce("confidence_score", F.lit(0.0))).alias("s"), "fact_id")
+
+
 def settle_batch(facts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """De-duplicate a batch within itself and against the index.
+    """De-duplicate a batch within itself and against the index. Of equally confident facts the one with the smaller id stays, whichever came first.
 
-    Returns (marks on the batch's facts, marks on stored facts, index rows to add).
+    Returns (marks on the batch's facts, marks on stored facts, index rows to add). The narrow tables behind them are computed once.
     """
     keys = list(K.KEY_COLUMNS)
-    keyed = dedup.with_fact_key(facts.withColumn("created_at", F.lit(0)))
-    inner = dedup.duplicates_by_key(keyed, keys)
+    keyed = facts.select("fact_id", "confidence_score", *keys, F.lit(0).alias("created_at"))
+    inner = checkpoint(dedup.duplicates_by_key(keyed, keys))
     best = keyed.join(inner.select("fact_id"), "fact_id", "left_anti")
     # the batch's keys are the small side: only matching index rows are aggregated
     wanted = best.select(*keys)
     known = index.join(wanted, null_safe(index, wanted, keys), "left_semi").groupBy(*keys).agg(
-        F.max(F.struct("confidence_score", "fact_id")).alias("_old"))
-    met = best.join(known, null_safe(best, known, keys), "left").select(
-        *[best[k] for k in keys], best["fact_id"], best["confidence_score"], "_old")
-    beaten = F.col("_old").isNotNull() & (F.coalesce("confidence_score", F.lit(0.0)) <= F.coalesce("_old.confidence_score", F.lit(0.0)))
+        F.min(_rank()).alias("_old"))
+    met = checkpoint(best.join(known, null_safe(best, known, keys), "left").select(
+        *[best[k] for k in keys], best["fact_id"], best["confidence_score"], "_old"))
+    beaten = F.col("_old").isNotNull() & (F.col("_old") < _rank())
     lost = met.filter(beaten).select("fact_id", F.col("_old.fact_id").alias("canonical_id"))
     replaced = met.filter(F.col("_old").isNotNull() & ~beaten).select(
         F.col("_old.fact_id").alias("fact_id"), F.col("fact_id").alias("canonical_id"))
-    added = met.filter(~beaten | F.col("_old").isNull()).select(*keys, "fact_id", "confidence_score")
+    added = met.filter(~beaten | F.col("_old").isNull()).select(*keys, "fact_id", "confidence_score", _bucket().alias("bucket"))
     return inner.unionByName(lost), replaced, added
 
 
-def process_batch(answers: DataFrame, batch_id: int, path: str, entities: DataFrame, aliases: DataFrame) -> None:
-    spark = answers.sparkSession
+def gate_articles(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers whose article passes or isn't given, answers set aside with the gate's status as reason)."""
+    article = F.col("article")
+    gated = answers.withColumn("reason", F.when(article.isNotNull(), T.gate(article, T.clean(article), C.MIN_CLEAN_CHARS)))
+    return gated.filter(F.col("reason").isNull()).drop("reason", "article"), gated.filter(F.col("reason").isNotNull())
+
+
+def process_batch(answers: DataFrame, batch_id: int, path: str) -> None:
+    spark, gone = answers.sparkSession, ["request_id", "document_id", "reason"]
+    # a few files may hold all answers: deal them over the tasks before any is parsed
+    passed, stopped = gate_articles(answers.repartition(spark.sparkContext.defaultParallelism, "request_id"))
     # parsed once, read twice
-    _write(extraction.parse_answers(answers), path, "parsed", batch_id)
+    _write(extraction.parse_answers(passed), path, "parsed", batch_id)
     facts, rejected = settle_answers(spark.read.parquet(f"{path}/parsed/batch_id={batch_id}"))
-    _write(facts, path, "staged", batch_id)
-    _write(rejected.select("request_id", "document_id", "reason"), path, "rejected", batch_id)
+    _write(dedup.with_fact_key(facts), path, "staged", batch_id)
+    _write(rejected.select(*gone).unionByName(stopped.select(*gone)), path, "rejected", batch_id)
     staged = spark.read.parquet(f"{path}/staged/batch_id={batch_id}")
 
-    marks, replaced, added = settle_batch(staged, _stored(spark, path, "index", batch_id, INDEX).drop("batch_id"))
-    names = linking.link_names(linking.distinct_texts(staged, "subject_text"), entities, aliases).filter("matched")
-    linked = staged.join(names.select(F.col("text").alias("_t"), F.col("entity_id").alias("subject_entity_id")),
-                         K.strip(F.col("subject_text")) == F.col("_t"), "left")
+    touched = sorted(r[0] for r in staged.select(_bucket().alias("bucket")).distinct().collect())
+    marks, replaced, added = settle_batch(staged, known_keys(spark, path, batch_id, touched))
     noted = marks.withColumn("review_note", F.concat(F.lit("重复: 与 "), "canonical_id", F.lit(" 重复")))
-    _write(dedup.apply_marks(linked, noted).select(*FACT_COLUMNS), path, "facts", batch_id)
+    _write(dedup.apply_marks(staged, noted).select(*FACT_COLUMNS), path, "facts", batch_id)
     _write(replaced, path, "replaced", batch_id)
-    _write(added, path, "index", batch_id)
+    _write(added.repartition("bucket"), path, "index", batch_id, "bucket")
     # the marker comes last: readers see all of a batch or nothing of it
-    _write(spark.range(1).select(F.col("id").alias("n")), path, "published", batch_id)
+    _mark(spark, path, "published", batch_id)
 
 
-def start_ingest(spark: SparkSession, source: str, path: str, entities: DataFrame, aliases: DataFrame,
-                 files_per_batch: int = 1000, checkpoint: str | None = None) -> StreamingQuery:
-    """Ingest all answers waiting under ``source`` and stop; call again for later arrivals."""
+def start_ingest(spark: SparkSession, source: str, path: str, files_per_batch: int = 1000, checkpoint: str | None = None) -> StreamingQuery:
+    """Ingest all answers waiting under ``source`` and stop; call again for later arrivals, and ``link_stream`` after each run."""
     stream = spark.readStream.schema(ANSWERS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return (
         stream.writeStream.option("checkpointLocation", checkpoint or f"{path}/_checkpoint").trigger(availableNow=True)
-        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, path, entities, aliases)).start()
+        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, path)).start()
     )
 
 
+def _settled(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/facts").join(_published(spark, path), "batch_id", "left_semi")
+
+
+def link_stream(spark: SparkSession, path: str, entities: DataFrame, aliases: DataFrame) -> None:
+    """Discover and link the names and places of all published facts: one row per distinct text, published by a marker.
+
+    Duplicates take part, as which of several equally good facts is kept depends on their arrival. Running it again replaces nothing but the same result.
+    """
+    upto = _published(spark, path).agg(F.max("batch_id")).first()[0]
+    if upto is None or _latest(spark, path, "links") == upto:
+        return
+    facts, columns = _settled(spark, path), [c.split()[0] for c in ENTITIES.split(", ")]
+    known = entities.select(*columns).unionByName(linking.missing_places(entities).select(*columns))
+    created, added = (checkpoint(df) for df in linking.discover(facts, known, aliases))
+    everything = known.unionByName(created)
+    names = linking.link_names(linking.distinct_texts(facts, "subject_text", "object_text"), everything, aliases.select("alias_id", "entity_id", "alias_name").unionByName(added)).filter("matched")
+    places = linking.link_places(linking.distinct_texts(facts, "location_text"), everything)
+    rows = lambda kind, df: df.select(F.lit(kind).alias("kind"), "text", "entity_id")
+    _write(rows("name", names).unionByName(rows("place", places)), path, "links", upto)
+    _write(created, path, "entities", upto)
+    _write(added, path, "aliases", upto)
+    _mark(spark, path, "links_done", upto)
+
+
+def stream_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``links``, ``entities`` or ``aliases`` as the last finished ``link_stream`` left them; empty before the first."""
+    schema, upto = {"links": LINKS, "entities": ENTITIES, "aliases": ALIASES}[name], _latest(spark, path, "links")
+    return spark.createDataFrame([], schema) if upto is None else spark.read.schema(schema).parquet(f"{path}/{name}/batch_id={upto}")
+
+
 def current_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts as of now: those a later batch replaced are duplicates."""
+    """Facts as of now with the entities their texts link to: those a later batch replaced, and restated investments, are duplicates."""
     done = _published(spark, path)
-    facts = spark.read.parquet(f"{path}/facts").join(done, "batch_id", "left_semi")
     replaced = spark.read.parquet(f"{path}/replaced").join(done, "batch_id", "left_semi").groupBy("fact_id").agg(F.max("canonical_id").alias("canonical_id"))
     noted = replaced.withColumn("review_note", F.concat(F.lit("重复: 与 "), "canonical_id", F.lit(" 重复（跨文档，分数更低）")))
-    return dedup.apply_marks(facts, noted)
+    facts = dedup.apply_marks(_settled(spark, path), noted)
+    facts = dedup.apply_marks(facts, dedup.cross_type(facts.withColumn("created_at", F.lit(0))))
+    links = stream_table(spark, path, "links")
+    for role, kind in (("subject", "name"), ("object", "name"), ("location", "place")):
+        side = links.filter(F.col("kind") == kind).select(F.col("text").alias("_t"), F.col("entity_id").alias(f"{role}_entity_id"))
+        facts = facts.join(side, scattered(K.strip(F.col(f"{role}_text")), F.col("fact_id")) == F.col("_t"), "left").drop("_t")
+    return facts
 
 
-def compact_index(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the index with one row per key, for occasional maintenance."""
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Rewrite the index of all published batches with one row per key, for occasional maintenance; later batches read it in their place."""
     keys = list(K.KEY_COLUMNS)
-    rows = spark.read.option("basePath", f"{path}/index").parquet(f"{path}/index")
-    best = rows.groupBy(*keys).agg(F.max(F.struct("confidence_score", "fact_id")).alias("b"), F.max("batch_id").alias("batch_id"))
-    best.select(*keys, "b.fact_id", "b.confidence_score", "batch_id").write.mode("overwrite").partitionBy("batch_id").parquet(target)
+    upto = _published(spark, path).agg(F.max("batch_id")).first()[0]
+    if upto is None or _latest(spark, path, "compacted") == upto:
+        return
+    rows = known_keys(spark, path, upto + 1, list(range(BUCKETS)))
+    best = rows.groupBy(*keys, "bucket").agg(F.min_by(F.struct("fact_id", "confidence_score"), _rank()).alias("b"))
+    _write(best.select(*keys, "b.fact_id", "b.confidence_score", "bucket").repartition("bucket"), path, "compacted", upto, "bucket")
+    _mark(spark, path, "compacted_done", upto)

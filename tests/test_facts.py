@@ -114,20 +114,39 @@ def test_competitors(spark):
 
 
 def test_ingest_does_not_depend_on_batches(spark, tmp_path):
-    def answer(i, subject, conf, value):
-        body = {"CAPACITY": [{"subject": subject, "predicate": "产能为", "value_num": value, "confidence": conf, "evidence_text": f"e{i}"}]}
-        return (f"r{i}", i, json.dumps(body, ensure_ascii=False))
+    article = "<p>" + "正文" * 60 + "</p>"
 
-    rows = [answer(1, "甲有限公司", 0.5, 1), answer(2, "甲", 0.9, 1), answer(3, "甲（青岛）", 0.7, 1), answer(4, "乙", 0.2, 1),
-            answer(5, "乙", 0.6, 2), answer(6, "乙集团", 0.8, 1), ("r7", 7, "broken")]
+    def answer(i, subject, conf, value, text=article, kind="CAPACITY"):
+        body = {kind: [{"subject": subject, "predicate": "产能为", "value_num": value, "confidence": conf, "evidence_text": f"e{i}", "object": "丙 项目", "location": "全国船舶市场"}]}
+        return (f"r{i}", i % 10, json.dumps(body, ensure_ascii=False), text)
+
+    rows = [answer(1, "甲有限公司", 0.5, 1), answer(2, "甲", 0.9, 1), answer(3, "甲（青岛）", 0.7, 1), answer(4, "乙", 0.2, 1), answer(14, "乙", 0.2, 1, None),
+            answer(5, "乙", 0.6, 2), answer(6, "乙集团", 0.8, 1), answer(7, "丁", 0.9, 1, "<p>短</p>"), answer(8, "新乙集团", 0.3, 1), ("r9", 9, "broken", article),
+            answer(20, "戊", 0.5, None, kind="INVESTMENT"), answer(30, "戊", 0.5, 3, kind="EXPANSION")]
     entities = spark.createDataFrame([("e1", "甲", "甲", "企业")], "entity_id string, canonical_name string, normalized_name string, entity_type string")
     aliases = spark.createDataFrame([], "alias_id string, entity_id string, alias_name string")
-    kept = []
-    for parts in (1, 3):
-        source, out = str(tmp_path / f"in{parts}"), str(tmp_path / f"out{parts}")
+    seen = []
+    for parts, per_batch in ((1, 1), (5, 2), (5, 1)):
+        source, out = str(tmp_path / f"in{parts}{per_batch}"), str(tmp_path / f"out{parts}{per_batch}")
         for k in range(parts):
             spark.createDataFrame(rows[k::parts], ingest.ANSWERS).coalesce(1).write.mode("append").parquet(source)
-        ingest.start_ingest(spark, source, out, entities, aliases, files_per_batch=1).awaitTermination()
-        live = ingest.current_facts(spark, out).filter(F.col("review_status") != C.DUPLICATE)
-        kept.append(sorted((r["evidence_text"], r["confidence_score"]) for r in live.collect()))
-    assert kept[0] == kept[1] == [("e2", 0.9), ("e5", 0.6), ("e6", 0.8)]
+            if per_batch == 1:  # runs one after another, compacted and linked in between
+                ingest.start_ingest(spark, source, out, files_per_batch=1).awaitTermination()
+                ingest.compact_index(spark, out)
+                if k in (0, parts - 1):
+                    ingest.link_stream(spark, out, entities, aliases)
+        ingest.start_ingest(spark, source, out, files_per_batch=per_batch).awaitTermination()
+        ingest.link_stream(spark, out, entities, aliases)
+        if parts == 5 and per_batch == 2:  # a batch that comes again changes nothing
+            last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out52" / "published").glob("batch_id=*"))
+            again = spark.read.parquet(f"{out}/parsed/batch_id={last}").withColumn("article", F.lit(None).cast("string")).select("request_id", "document_id", "content", "article")
+            ingest.process_batch(spark.createDataFrame(again.collect(), ingest.ANSWERS), last, out)
+        facts = ingest.current_facts(spark, out)
+        live = facts.filter(F.col("review_status") != C.DUPLICATE).collect()
+        names = {r["entity_id"]: r["canonical_name"] for r in ingest.stream_table(spark, out, "entities").collect()} | {"e1": "甲"}
+        seen.append(sorted((r["evidence_text"], r["confidence_score"], names[r["subject_entity_id"]], names[r["object_entity_id"]], r["location_entity_id"]) for r in live))
+    assert seen[0] == seen[1] == seen[2]
+    assert [(e, c, s) for e, c, s, *_ in seen[0]] == [
+        ("e2", 0.9, "甲"), ("e30", 0.5, "戊"), ("e5", 0.6, "乙"), ("e6", 0.8, "新乙集团"), ("e8", 0.3, "新乙集团")]
+    gone = {r["request_id"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "out11" / "rejected")).collect()}
+    assert gone == {"r9": "no JSON found", "r7": C.DOC_TOO_SHORT}
