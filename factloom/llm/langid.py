@@ -10,7 +10,6 @@ step to a few array operations over thousands of windows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,11 @@ SAMPLE, WINDOWS, ROUNDS, BATCH = 300, 4, 240, 192
 #: More distinct languages than this is an error, since one row of each is broadcast.
 MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of a Unicode letter category (L), as ``\\p{L}`` has it in training."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -228,7 +231,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = shared.value
         for frame in frames:
-            texts = [t if net is not None and isinstance(t, str) and LETTER.search(t) else "" for t in frame["text"]]
+            texts = [t if net is not None and isinstance(t, str) and has_letter(t) else "" for t in frame["text"]]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             at, held = 0, 0
             for end in range(1, len(texts) + 1):

@@ -23,6 +23,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Characters of text handled at once, and words and piece pairs remembered by a worker.
-SLICE, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 200_000, 200_000
+#: Bytes of text handled at once, and words and piece pairs remembered by a worker.
+SLICE, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 200_000, 400_000
 #: What a unigram model charges for an unknown character below its lowest score.
 UNKNOWN_PENALTY = 10.0
+# --- fixed values: kinds of model ---
+UNIGRAM, BPE = 1, 2
 
 
 def model_bytes(path: str) -> bytes:
@@ -41,7 +45,32 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
-Node = tuple[dict, int]  # children by character, id of the piece that ends here or -1
+def model_type(model: bytes) -> int:
+    """The model's kind as its trainer noted it: field 3 of the message in field 2 (absent: unigram)."""
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte, at = data[at], at + 1
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return value
+
+        while at < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+                continue
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            yield tag >> 3, data[at:at + size]
+            at += size
+
+    kinds = [v for n, spec in fields(model) if n == 2 for m, v in fields(spec) if m == 3]
+    return kinds[-1] if kinds else UNIGRAM
 
 
 @dataclass
@@ -54,7 +83,7 @@ class Vocabulary:
     byte_ids: list[int]
     raw: list[bytes]
     merges: bool
-    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
     words: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -62,15 +91,42 @@ class Vocabulary:
             raise ValueError("pieces that hold a space mark after other characters are not supported")
         self.lowest = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.text = {i: p for p, i in self.ids.items()}
-        self.pieces: Node = ({}, -1)
-        for piece, number in self.ids.items():
-            if len(piece) > 1 and self.merges and self.merge(piece) != [piece]:
-                continue  # a piece that merging can't reach is never used
-            node = self.pieces
-            for i, c in enumerate(piece):
-                found = node[0].get(c, ({}, -1))
-                node[0][c] = (found[0], number) if i == len(piece) - 1 else found
-                node = node[0][c]
+        self._index([p for p in self.ids if len(p) < 2 or not self.merges or self.merge(p) == [p]])  # merging reaches no others
+
+    def _index(self, pieces: list[str]) -> None:
+        """Trie of the pieces: per node its children, the node of its longest proper suffix, and the pieces that end there.
+
+        Pieces are (characters, id), the longest first.
+        """
+        self.children: list[dict[str, int]] = [{}]
+        own = [-1]
+        for piece in pieces:
+            node = 0
+            for c in piece:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    own.append(-1)
+                node = self.children[node][c]
+            own[node] = self.ids[piece]
+        self.suffix = [0] * len(own)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        level, depth = [0], 0
+        while level:
+            below = []
+            for node in level:
+                if node:
+                    self.ends[node] = (((depth, own[node]),) if own[node] >= 0 else ()) + self.ends[self.suffix[node]]
+                for c, child in self.children[node].items():
+                    self.suffix[child] = self._step(self.suffix[node], c) if node else 0
+                    below.append(child)
+            level, depth = below, depth + 1
+
+    def _step(self, node: int, c: str) -> int:
+        """Node of the longest suffix of a node's text and one more character."""
+        while node and c not in self.children[node]:
+            node = self.suffix[node]
+        return self.children[node].get(c, 0)
 
     @classmethod
     def of(cls, model: bytes) -> Vocabulary:
@@ -87,9 +143,10 @@ class Vocabulary:
                 raw.append(b"" if source.is_control(i) else " ⁇ ".encode() if source.is_unknown(i) else piece.encode())
         ids = {source.id_to_piece(i): i for i in normal}
         scores = {p: source.get_score(i) for p, i in ids.items()}
-        # a BPE model scores its pieces by rank: minus a whole number
-        merges = all(float(s).is_integer() for s in scores.values())
-        return cls(scores, ids, source.unk_id(), byte_ids if min(byte_ids) >= 0 else [], raw, merges)
+        kind = model_type(model)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError(f"model type {kind} is neither unigram nor BPE")
+        return cls(scores, ids, source.unk_id(), byte_ids if min(byte_ids) >= 0 else [], raw, kind == BPE)
 
     def merge(self, text: str) -> list[str]:
         """Join the adjacent pair of best score, the leftmost of equals, until none is a piece."""
@@ -105,36 +162,46 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def _follows(self, before: int, piece: int) -> bool:
-        known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            a, b = self.text[before], self.text[piece]
-            known = self.pairs[before, piece] = self.merge(a + b) == [a, b]
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        a, b = self.text[before], self.text[piece]
+        known = self.pairs[before * len(self.raw) + piece] = self.merge(a + b) == [a, b]
         return known
 
-    def _choose(self, live: list[tuple[int, Node]], end: int, starts: list[int], last: list[int], totals: list[float]) -> None:
-        """Append the state of the prefix up to ``end``: start and id of its last piece (-1: unknown), and its score.
-
-        ``live`` holds the starts from which characters up to here spell a piece or the beginning of one, the
-        earliest first.
-        """
-        if self.merges:
-            for start, (_, piece) in live:
-                if piece >= 0 and (not start or last[start] < 0 or self._follows(last[start], piece)):
+    def _merged(self, word: str, shared: int, nodes: list[int], last: list[int], starts: list[int]) -> None:
+        """Append the states of a word's prefixes beyond ``shared``: the one last piece that merging leaves (-1: unknown) and its start."""
+        children, suffix, ends, pairs, size = self.children, self.suffix, self.ends, self.pairs, len(self.raw)
+        node = nodes[shared]
+        for end in range(shared, len(word)):
+            c = word[end]
+            while node and c not in children[node]:
+                node = suffix[node]
+            node = children[node].get(c, 0)
+            nodes.append(node)
+            for length, piece in ends[node]:
+                start = end + 1 - length
+                before = last[start]
+                if before < 0 or (pairs[key] if (key := before * size + piece) in pairs else self._follows(before, piece)):
                     starts.append(start)
                     last.append(piece)
-                    return
-            starts.append(end - 1)
-            last.append(-1)
-            return
-        best = (totals[end - 1] + self.lowest, end - 1, -1) if not live or live[-1][0] < end - 1 or live[-1][1][1] < 0 else None
-        for start, (_, piece) in live:
-            if piece >= 0 and (best is None or totals[start] + self.scores[self.text[piece]] > best[0]):
-                best = (totals[start] + self.scores[self.text[piece]], start, piece)
-        totals.append(best[0])
-        starts.append(best[1])
-        last.append(best[2])
+                    break
+            else:
+                starts.append(end)
+                last.append(-1)
+
+    def _scored(self, word: str, shared: int, nodes: list[int], last: list[int], starts: list[int], totals: list[float]) -> None:
+        """The same for a unigram model: the last piece of the best sum of scores, the longest of equals."""
+        del totals[shared + 1:]
+        for end in range(shared, len(word)):
+            node = self._step(nodes[-1], word[end])
+            nodes.append(node)
+            found = [(end + 1 - length, piece, totals[end + 1 - length] + self.scores[self.text[piece]]) for length, piece in self.ends[node]]
+            if not found or found[-1][0] < end:
+                found.insert(0, (end, -1, totals[end] + self.lowest))
+            start, piece, total = max(found, key=lambda f: f[2])
+            totals.append(total)
+            starts.append(start)
+            last.append(piece)
 
     def learn(self, words: set[str]) -> None:
         """Encode words not yet known, depth first over their trie."""
@@ -142,24 +209,19 @@ class Vocabulary:
         if len(self.words) + len(new) > KEPT_WORDS:
             self.words.clear()
             new = sorted(words)
-        roots = self.pieces[0]
-        starts, last, totals, lives, before = [0], [-1], [0.0], [[]], ""
+        nodes, last, starts, totals, before = [0], [-1], [0], [0.0], ""
         for word in new:
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            for states in (starts, last, totals, lives):
+            for states in (nodes, last, starts):
                 del states[shared + 1:]
-            live = lives[shared]
-            for end in range(shared, len(word)):
-                c = word[end]
-                live = [(start, grown) for start, node in live if (grown := node[0].get(c))]
-                if c in roots:
-                    live.append((end, roots[c]))
-                lives.append(live)
-                self._choose(live, end + 1, starts, last, totals)
+            if self.merges:
+                self._merged(word, shared, nodes, last, starts)
+            else:
+                self._scored(word, shared, nodes, last, starts, totals)
             before, ids, end = word, [], len(word)
             while end:
                 if last[end] >= 0:
@@ -181,14 +243,13 @@ class Vocabulary:
         return text[1:] if lead and text[:1] == " " else text
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= SLICE:
-            yield start, i + 1
-            start, held = i + 1, 0
-    yield start, len(texts)
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, so many at once that their texts have about ``SLICE`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
 class _Worker:
@@ -217,22 +278,22 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     given = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType())).add("n_ids", "long").add("round_trip", "boolean")
+    names = schema.names
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Worker.get(model.value)
         vocabulary, lead = worker.vocabulary, worker.lead
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["_text"]]
-            for a, b in _slices([t or "" for t in texts]):
-                normal = [worker.normalizer.normalize(t) if t else "" for t in texts[a:b]]
-                ids = vocabulary.encode(normal)
-                back = [vocabulary.decode(i, lead) == n.replace(MARK, " ")[1 if lead and n else 0:] for i, n in zip(ids, normal)]
-                null = [t is None for t in texts[a:b]]
-                yield frame.iloc[a:b].drop(columns="_text").assign(
-                    ids=[None if x else i for x, i in zip(null, ids)], n_ids=[len(i) for i in ids],
-                    round_trip=[None if x else r for x, r in zip(null, back)])
-
-    return given.mapInPandas(run, schema)
+        for part in chain.from_iterable(map(_slices, batches)):
+            texts = part.column("_text").to_pylist()
+            normal = [worker.normalizer.normalize(t) if t else "" for t in texts]
+            ids = vocabulary.encode(normal)
+            back = [vocabulary.decode(i, lead) == n.replace(MARK, " ")[1 if lead and n else 0:] for i, n in zip(ids, normal)]
+            null = [t is None for t in texts]
+            yield pa.RecordBatch.from_arrays([
+                *part.columns[:-1], pa.array([None if x else i for x, i in zip(null, ids)], pa.list_(pa.int32())),
+                pa.array([len(i) for i in ids], pa.int64()), pa.array([None if x else r for x, r in zip(null, back)], pa.bool_())], names)
+
+    return given.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

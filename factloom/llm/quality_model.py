@@ -150,7 +150,11 @@ def _unpack(code: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, pd.DataFrame]:
-    """Weights of the scorer, and the labellers' estimated accuracy on good and bad texts."""
+    """Weights of the scorer, and the labellers' estimated accuracy on good and bad texts.
+
+    The scorer learns from the ``sample`` rows that come first by a hash of their id, then of their text; rows that
+    repeat both count once, so the same table gives the same weights.
+    """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counted = texts.mapInPandas(_voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     patterns, counts = _unpack(counted["pattern"].to_numpy(np.int64)), counted["n"].to_numpy(float)
@@ -165,13 +169,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, pd.DataFrame
                 "slots": [s.astype("<i4").tobytes() for s, _ in found], "values": [v.astype("<f4").tobytes() for _, v in found],
                 "target": [label.get(c, 0.5) for c in code]})
 
-    key = F.xxhash64("doc_id", F.lit(3))
-    chosen = docs.filter(F.col("text").rlike(r"\S")).select("doc_id", key.alias("_key")).orderBy("_key", "doc_id").limit(sample)
-    last = chosen.agg(F.max("_key")).first()[0]
+    text = F.col("text").cast("string")
+    key = F.struct(F.xxhash64("doc_id", F.lit(3)).alias("a"), F.xxhash64(text).alias("b"))
+    worded = docs.filter(F.col("text").rlike(r"\S")).select(key.alias("_key"), text.alias("text"))
+    last = worded.select("_key").orderBy("_key").limit(sample).agg(F.max("_key")).first()[0]
     rows = []
     if last is not None:
-        picked = docs.filter((key <= last) & F.col("text").rlike(r"\S")).select(F.col("text").cast("string").alias("text"))
-        rows = picked.mapInPandas(described, "slots binary, values binary, target double").limit(2 * sample).collect()
+        end = F.struct(F.lit(last["a"]).alias("a"), F.lit(last["b"]).alias("b"))
+        picked = worded.filter(F.col("_key") <= end).dropDuplicates(["_key"]).select("text")
+        rows = sorted(picked.mapInPandas(described, "slots binary, values binary, target double").collect())
     weights = train(
         [np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in rows], [np.frombuffer(r["values"], "<f4").astype(float) for r in rows],
         np.array([r["target"] for r in rows]))

@@ -5,8 +5,8 @@ into ``radius + 2`` blocks; two linked fingerprints agree in at least two blocks
 every pair of blocks keys one bucket per fingerprint and no link is missed. Inside a
 bucket the bits lie vertically: plane ``b`` holds bit ``b`` of all fingerprints, 64 to a
 machine word. One exclusive-or per plane yields that bit's difference for 64 pairs at
-once, saturating carry-save counters add the planes up, and a block of pairs is given
-up as soon as every counter in it has passed the radius.
+once, saturating carry-save counters add the planes up, and a block of 64 pairs is left
+as soon as every counter in it has passed the radius.
 
 Equal fingerprints are compared once. A bucket larger than a tile is cut into chunks,
 and chunk pairs become tiles of their own, so no task holds an unbounded bucket. A tile
@@ -32,6 +32,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of a bucket compared in one tile, and queries compared at once.
 TILE, QUERIES = 2048, 256
+#: Planes between two looks at which blocks are done; divides the number of bits.
+CHECKED = 8
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
 SHINGLES = 1 << 16
 
@@ -81,30 +83,46 @@ def _over(counts: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def near_rows(prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """For every fingerprint with a neighbour: all positions within the radius, its own included."""
+def near_rows(prints: np.ndarray, radius: int, read: list[int] | None = None) -> Iterator[np.ndarray]:
+    """For every fingerprint with a neighbour: all positions within the radius, its own included.
+
+    A block is one query against the 64 fingerprints of a machine word. It is left as soon as all its counters have
+    passed the radius; planes that split the tile evenly come first, as they tell most pairs apart. ``read`` takes
+    the number of blocks that each plane was read for.
+    """
     bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    order = np.argsort(np.abs(2 * bits.sum(axis=0, dtype=np.int64) - len(prints)), kind="stable")
     planes = _vertical(bits)
     n, words = len(prints), planes.shape[1]
     unused = ~np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
     for start in range(0, n, QUERIES):
         own = (-bits[start:start + QUERIES].astype(np.int64)).view(np.uint64)
-        counts = [np.zeros((len(own), words), np.uint64) for _ in range(radius.bit_length() or 1)]
+        at = np.arange(start, start + len(own))
         gone = np.repeat(unused[None, :], len(own), axis=0)
-        for b in range(BITS):
-            carry = planes[b] ^ own[:, b:b + 1]
+        gone[at - start, at // 64] |= np.uint64(1) << (at % 64).astype(np.uint64)  # no neighbour of itself
+        gone = gone.ravel()
+        query, word = np.divmod(np.arange(len(gone)), words)
+        counts = [np.zeros(len(gone), np.uint64) for _ in range(radius.bit_length() or 1)]
+        for step, b in enumerate(order):
+            if read is not None:
+                read.append(len(gone))
+            carry = planes[b, word] ^ own[query, b]
             for i in range(len(counts)):
                 counts[i], carry = counts[i] ^ carry, counts[i] & carry
             gone |= carry
-            if b % 8 == 7:
+            if step % CHECKED == CHECKED - 1:
                 gone |= _over(counts, radius)
-                if not (~gone).any():
+                live = np.flatnonzero(~gone)
+                if len(live) < len(gone):
+                    query, word, gone, counts = query[live], word[live], gone[live], [c[live] for c in counts]
+                if not len(live):
                     break
-        else:
-            alive = ~gone
-            several = np.flatnonzero(np.bitwise_count(alive).sum(axis=1) > 1)
-            rows = np.unpackbits(np.ascontiguousarray(alive[several]).view(np.uint8), axis=1, bitorder="little")
-            yield from map(np.flatnonzero, rows)
+        lanes = np.unpackbits((~gone).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        block, lane = np.nonzero(lanes)
+        mine, near = query[block], word[block] * 64 + lane
+        for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(mine)) + 1):
+            if len(part):
+                yield np.sort(np.append(near[part], start + mine[part[0]]))
 
 
 def _tile_edges(radius: int):

@@ -121,3 +121,16 @@ def test_clean_texts_of_further_languages_are_kept(docs):
     kept = {r.doc_id for r in quality_model.classify(both).filter("keep").collect()}
     assert [(i, lang) for i, lang, _ in rows if i not in kept] == []
     assert quality_model.votes("qq%%% 12 zx&&& 7 | 9 " * 10)[at] == quality_model.BAD
+
+
+def test_only_letters_make_a_language():
+    from factloom.llm.langid import has_letter
+    assert not any(map(has_letter, ("", "½ ² 12 _", "!?", "٣", "Ⅷ"))) and all(map(has_letter, ("½a", "é", "ا", "字", "ª")))
+
+
+def test_sample_is_the_same_whatever_the_order(spark):
+    rows = [(None if i % 3 else i, f"This is text number {i % 40}, and it is about the {'house' * (i % 5)} of the town.") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, _ = quality_model.fit(docs, sample=25)
+    again, _ = quality_model.fit(docs.repartition(5), sample=25)
+    assert (first == again).all()

@@ -77,6 +77,18 @@ def test_bit_slices_equal_distances():
         assert {tuple(x) for x in simhash.near_rows(prints, radius)} == want
 
 
+def test_blocks_are_left_early():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 1 << 63, 512, dtype=np.uint64)
+    read = []
+    assert not list(simhash.near_rows(prints, 2, read))  # random prints have no neighbours
+    whole = 64 * 512 * 512 // 64
+    assert sum(read) < whole / 2 and len(read) < 64 * 512 // simhash.QUERIES
+    read.clear()
+    list(simhash.near_rows(np.repeat(prints[:1], 512), 2, read))
+    assert sum(read) == whole  # where all are neighbours nothing can be left
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
