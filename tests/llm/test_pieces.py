@@ -66,4 +66,4 @@ def test_decode(odd_docs):
 def test_model_type_is_read_from_the_model():
     assert pieces.model_type(pieces.model_bytes(PIECES)) == pieces.BPE
     assert pieces.model_type(b"\x0a\x02ab\x12\x02\x18\x01") == pieces.UNIGRAM == pieces.model_type(b"")
-    assert pieces.model_type(b"\x12\x0d\x0a\x05abcde\x18\x02\x25\x00\x00\x00\x00") == pieces.BPE
+    assert pieces.model_type(b"\x12\x0e\x0a\x05abcde\x18\x02\x25\x00\x00\x00\x00") == pieces.BPE
