@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of text handled at once, and words and piece pairs remembered by a worker.
-SLICE, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 200_000, 400_000
+SLICE, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 600_000, 1_000_000
 #: What a unigram model charges for an unknown character below its lowest score.
 UNKNOWN_PENALTY = 10.0
 # --- fixed values: kinds of model ---
