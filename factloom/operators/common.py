@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import config as C
+from factloom.session import checkpoint
 
 
 def approved(facts: DataFrame) -> DataFrame:
@@ -73,21 +74,38 @@ def role_union(facts: DataFrame, *columns: str) -> DataFrame:
     return facts.select(F.explode(ids).alias("entity_id"), "fact_id", *columns)
 
 
-def contained_in(short: DataFrame, long: DataFrame, short_col: str, long_col: str, min_len: int = 2) -> DataFrame:
+_GRAM_WIDTHS = (1, 2, 4, 8, 16, 32)
+
+
+def contained_in(short: DataFrame, long: DataFrame, short_col: str, long_col: str, min_len: int = 2, hot: int = 50_000) -> DataFrame:
     """Join names to the texts that contain them (equality included).
 
-    The substrings of the longer text, of the lengths that occur among the names, become the
-    keys of an equi-join, as 64-bit hashes; what meets is then compared itself. Practically only true results meet, so there are
-    no candidate blocks and no hot block. Pass distinct texts: rows multiply by substring count.
+    A text that contains a name holds all its grams, so each name is looked up by the one that fewest texts hold; what
+    meets is then compared itself. The grams of a name have the greatest width not above its length, more than
+    half of it but for very long names, and a text lists only the widths in use: at most six keys a character, whatever lengths occur.
+    A gram of more than ``hot`` texts is dealt over as many parts. NULLs and names under ``min_len`` meet nothing; a repeated
+    row meets as often as it occurs. Rows of ``long`` multiply by their grams: pass distinct names with few other columns.
     """
-    names = short.filter(F.length(short_col) >= min_len)
-    lengths = names.agg(F.collect_set(F.length(short_col))).scalar()
-    keys = F.expr(
-        f"array_distinct(flatten(transform(filter(_lengths, n -> n <= length({long_col})), n -> "
-        f"transform(sequence(1, length({long_col}) - n + 1), p -> xxhash64(substring({long_col}, p, n))))))")
-    pieces = long.filter(F.length(long_col) >= min_len).withColumn("_lengths", lengths).withColumn("_piece", F.explode_outer(keys))
-    return pieces.drop("_lengths").join(names, F.col("_piece") == F.xxhash64(short_col)).filter(
-        F.contains(long_col, short_col)).drop("_piece")
+    size = lambda c: F.length(c)
+    width = lambda c: F.element_at(F.filter(F.array(*map(F.lit, _GRAM_WIDTHS)), lambda w: w <= size(c)), -1)
+    grams = lambda c, w: F.transform(F.sequence(F.lit(1), size(c) - w + 1), lambda p: F.xxhash64(F.substring(c, p, w)))
+    names = short.filter(size(short_col) >= max(min_len, 1))
+    wanted = names.select(F.col(short_col).alias("_name")).distinct()
+    widths = wanted.agg(F.collect_set(width("_name"))).scalar()
+    # outer: a plain explode would add a filter that lists the grams a second time
+    held = long.filter(size(long_col) >= max(min_len, 1)).withColumn("_widths", widths).withColumn("_gram", F.explode_outer(F.array_distinct(
+        F.flatten(F.transform(F.filter("_widths", lambda w: w <= size(long_col)), lambda w: grams(long_col, w)))))).drop("_widths")
+    own = wanted.select("_name", F.explode_outer(F.array_distinct(grams("_name", width("_name")))).alias("_gram"))
+    counts = held.select("_gram").join(own.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
+    rarest = own.join(counts, "_gram", "left").groupBy("_name").agg(
+        F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r")).filter("_r.n > 0")
+    # written, as it is read twice and the grams are listed for the counts
+    rarest = checkpoint(rarest.select("_name", F.col("_r.gram").alias("_gram"), F.ceil(F.col("_r.n") / hot).cast("int").alias("_parts")))
+    dealt = held.join(rarest.select("_gram", "_parts").distinct(), "_gram").withColumn(
+        "_part", F.pmod(F.xxhash64(long_col), "_parts").cast("int")).drop("_parts")
+    asked = rarest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    asking = names.join(asked, F.col(short_col) == F.col("_name")).drop("_name")
+    return dealt.join(asking, ["_gram", "_part"]).filter(F.contains(long_col, short_col)).drop("_gram", "_part")
 
 
 def fold_ascii(col: Column) -> Column:

@@ -41,10 +41,11 @@ def link_names(texts: DataFrame, entities: DataFrame, aliases: DataFrame) -> Dat
             F.col("alias_name").alias("key"), "entity_id", "canonical_name", F.lit(1).alias("via_alias")))
     probes = names.select("text", F.posexplode(F.array("text", "norm")).alias("form", "key")).filter("key is not null")
     order = [F.col("rank"), F.col("canonical_name"), F.col("entity_id")]
-    exact = top_per_key(
-        probes.join(targets, "key").withColumn("rank", F.col("form") * 2 + F.col("via_alias") + 1), ["text"], order)
+    exact = checkpoint(top_per_key(
+        probes.join(targets, "key").withColumn("rank", F.col("form") * 2 + F.col("via_alias") + 1), ["text"], order))
 
-    rest = names.join(exact.select("text"), "text", "left_anti")
+    # both containment joins list this side more than once
+    rest = checkpoint(names.join(exact.select("text"), "text", "left_anti"))
     known = entities.select("entity_id", "canonical_name", fold_ascii(F.col("canonical_name")).alias("folded"))
     forms = rest.select("text", F.posexplode(F.array("text", "norm")).alias("form", "key")).filter("key is not null") \
         .withColumn("key_folded", fold_ascii(F.col("key")))
@@ -77,18 +78,19 @@ def discover(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> tuple
         K.strip(F.col("subject_text")), K.strip(F.col("object_text")))).alias("text"))
     found = stacked.filter((F.col("text") != "") & ~F.col("text").isin(*C.STOP_NAMES)).groupBy("text").agg(
         F.min_by("fact_type", "fact_id").alias("fact_type"))
-    fresh = found.join(entities.select(F.col("canonical_name").alias("text")), "text", "left_anti") \
-        .join(aliases.select(F.col("alias_name").alias("text")), "text", "left_anti") \
-        .withColumn("text_folded", fold_ascii(F.col("text")))
+    # one row per unknown name and one per containment: the facts are read once
+    fresh = checkpoint(found.join(entities.select(F.col("canonical_name").alias("text")), "text", "left_anti")
+                       .join(aliases.select(F.col("alias_name").alias("text")), "text", "left_anti")
+                       .withColumn("text_folded", fold_ascii(F.col("text"))))
 
     stored = entities.select("entity_id", F.col("canonical_name").alias("name"))
     holders = stored.withColumn("is_new", F.lit(False)).unionByName(fresh.select(
         _new_entity_id(F.col("text")).alias("entity_id"), F.col("text").alias("name"), F.lit(True).alias("is_new"))) \
         .withColumn("name_folded", fold_ascii(F.col("name")))
-    held = contained_in(fresh.select("text", "text_folded"), holders, "text_folded", "name_folded").filter(
+    held = checkpoint(contained_in(fresh.select("text", "text_folded"), holders, "text_folded", "name_folded").filter(
         (F.col("name") != F.col("text"))
         # of two spellings that differ in case only, the smaller one holds the other
-        & ((F.length("name") > F.length("text")) | ~F.col("is_new") | (F.col("name") < F.col("text"))))
+        & ((F.length("name") > F.length("text")) | ~F.col("is_new") | (F.col("name") < F.col("text")))))
     contained = held.select("text").distinct()
     tops = fresh.join(contained, "text", "left_anti")
     owner = top_per_key(
@@ -141,7 +143,7 @@ def link_facts(facts: DataFrame, entities: DataFrame, aliases: DataFrame) -> dic
     created, added = (checkpoint(df) for df in discover(open_facts, with_places, aliases))
     all_entities = with_places.unionByName(created)
     all_aliases = aliases.select("alias_id", "entity_id", "alias_name").unionByName(added)
-    names = link_names(distinct_texts(open_facts, "subject_text", "object_text"), all_entities, all_aliases) \
+    names = link_names(checkpoint(distinct_texts(open_facts, "subject_text", "object_text")), all_entities, all_aliases) \
         .filter("matched").select("text", "entity_id")
     spots = link_places(distinct_texts(open_facts, "location_text"), all_entities)
 

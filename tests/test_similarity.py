@@ -3,8 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from factloom.functions.similarity import _lcs
 from factloom.operators import merging as M
+from factloom.operators.common import contained_in
 from factloom.operators.components import connected_components
 from factloom.operators.simjoin import containment_pairs, lcs_pairs, ratio_pairs
 
@@ -74,6 +77,38 @@ def test_containment_join_is_exact(spark):
     assert got == {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if score(a, b) >= 0.7}
 
 
+@pytest.mark.parametrize("hot", [50_000, 3])
+@pytest.mark.parametrize("min_len", [1, 2])
+def test_containment_by_rarest_gram_matches_brute_force(spark, hot, min_len):
+    rng = random.Random(3)
+    word = lambda most: "".join(rng.choice("ab青岛c") for _ in range(rng.randint(0, most)))
+    names, texts = [word(9) for _ in range(100)], [word(40) for _ in range(150)]
+    # very long, periodic, repeated, empty and missing texts
+    texts += ["x" * 70 + names[0], "ab" * 2500, None, "", names[5], names[5]]
+    names += ["x" * 66, "ab" * 2500, "a", "ab", None, "", names[5]]
+    short = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    long = spark.createDataFrame(list(enumerate(texts)), "j int, t string")
+    got = sorted((r["i"], r["j"]) for r in contained_in(short, long, "n", "t", min_len, hot).collect())
+    assert got == sorted((i, j) for i, n in enumerate(names) for j, t in enumerate(texts)
+                         if n and t and len(n) >= min_len and n in t)
+
+
+def test_containment_of_empty_tables(spark):
+    short = spark.createDataFrame([(1, "ab")], "i int, n string")
+    long = spark.createDataFrame([(1, "xabx")], "j int, t string")
+    assert contained_in(short.limit(0), long, "n", "t").count() == 0
+    assert contained_in(short, long.limit(0), "n", "t").count() == 0
+
+
+def test_names_of_many_lengths_in_one_long_text(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(5000))
+    names = [text[k:k + n] for n in range(40, 4000, 90) for k in (0, 7)]
+    short = spark.createDataFrame([(n,) for n in names], "n string")
+    long = spark.createDataFrame([(text,), (text[::-1],)], "t string")
+    met = contained_in(short, long, "n", "t").collect()
+    assert sorted(r["n"] for r in met) == sorted(names) and {r["t"] for r in met} == {text}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     pairs = [(f"n{rng.randrange(120):03d}", f"n{rng.randrange(120):03d}") for _ in range(90)]
