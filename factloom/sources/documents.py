@@ -88,7 +88,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFr
     Known content matches first, so that a content hash stays unique; otherwise web documents
     match by URL. A match keeps its id, takes the new content and hash and is pending again. URLs
     that carry one content share a document, which keeps the URL it has. ``order`` ranks submissions, the latest wins.
-    Returns (snapshot, document_id/url pairs of the submissions and of the documents they reach).
+    Returns (snapshot, document_id/url pairs of the submissions and of the documents they reach; ``asked`` tells those
+    that a submission named).
     """
     keyed = incoming.withColumn("_key", F.coalesce("url", "content_hash"))
     latest = top_per_key(keyed, ["_key"], [F.desc(order), "content_hash"])
@@ -112,7 +113,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFr
     fresh = chosen.join(known, "document_id", "left").select(
         "document_id", *DOCUMENT_COLUMNS, "content_hash", F.lit(C.PENDING).alias("status"),
         F.when(F.col("_known"), "updated").otherwise("inserted").alias("change"))
-    urls = routed.select("document_id", F.explode(F.array_distinct(F.array_compact(F.array("_asked", "url")))).alias("url")).distinct()
+    named = F.transform(F.array_distinct(F.array_compact(F.array("_asked", "url"))), lambda u: F.struct(u.alias("url"), u.eqNullSafe(F.col("_asked")).alias("asked")))
+    urls = routed.select("document_id", F.inline(named)).groupBy("document_id", "url").agg(F.max("asked").alias("asked"))
     return kept.select(*fresh.columns).unionByName(fresh), urls
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import keys
 from factloom.functions import similarity as S
 from factloom.operators import dedup, merging, profiles, quality, reports
+from factloom.plans import sources
 from factloom.sources import documents as D
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -56,6 +57,21 @@ def test_upsert_keeps_content_hashes_unique(spark):
     assert ("D2", "http://a") in pairs and ("D3", "http://new") in pairs and ("D3", "http://c") in pairs
 
 
+def test_a_url_submitted_twice_is_reported_twice(spark):
+    class Given:
+        pages = spark.createDataFrame([(1, "https://a", "one"), (2, "https://a", "two"), (3, "http://b", "three"), (4, "http://b", "four")], "page_id long, url string, html string")
+
+    got = sorted(tuple(r) for r in sources.s7_pages(Given).collect())
+    assert got == [("http://b", "inserted", "待处理")] * 2 + [("https://a", "updated", "待处理")] * 2
+
+
+def test_title_keeps_a_reference_without_its_semicolon(spark):
+    class Given:
+        pages = spark.createDataFrame([(1, "u", "<h1>R&amp;D &#38; more and&amp</h1>"), (2, "u", "<!-- a &amp b --><h1>x & y&lt</h1>")], "page_id long, url string, html string")
+
+    assert [r.title for r in sources.s5(Given).orderBy("page_id").collect()] == ["R&D & more and&amp", "x & y&lt"]
+
+
 def test_long_names_are_compared(spark):
     long = "Aktiengesellschaft der Vereinigten Farbenwerke " * 3
     names = spark.createDataFrame([("1", long + "Nord", "企业"), ("2", long + "Nord.", "企业"), ("3", "Other", "企业")], "entity_id string, canonical_name string, entity_type string")
