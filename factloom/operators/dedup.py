@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom import config as C
 from factloom.functions import keys as K
 from factloom.operators.common import is_active, null_safe
-from factloom.session import checkpoint
+from factloom.session import reread
 
 _INF = float("inf")
 
@@ -28,6 +28,12 @@ def with_fact_key(facts: DataFrame) -> DataFrame:
     return facts.withColumns(K.fact_key_columns())
 
 
+def live_facts(facts: DataFrame, **more: Column) -> DataFrame:
+    """Active facts with the digest of their key and what ranks them: the few columns that the layers shuffle."""
+    return facts.filter(is_active()).select(
+        "fact_id", "document_id", "confidence_score", "created_at", K.fact_fingerprint().alias("k_all"), *[c.alias(n) for n, c in more.items()])
+
+
 def _repeated_keys(keyed: DataFrame, keys: list[str]) -> DataFrame:
     """Keys held by several facts, with the id of the fact to keep."""
     return (
@@ -54,8 +60,7 @@ def _noted(marks: DataFrame, before: str, after: str) -> DataFrame:
 
 def within_document(facts: DataFrame) -> DataFrame:
     """Marks for facts repeated inside one document."""
-    keyed = with_fact_key(facts.filter(is_active()))
-    marks = duplicates_by_key(keyed, ["document_id", *K.KEY_COLUMNS])
+    marks = duplicates_by_key(live_facts(facts), ["document_id", "k_all"])
     return _noted(marks, "重复: 与 ", " 重复（同文档）")
 
 
@@ -65,14 +70,14 @@ def cross_document(new: DataFrame, existing: DataFrame) -> DataFrame:
     A new fact that is no better than the best existing one is marked; otherwise
     the existing one is marked, citing the best new fact that beats it.
     """
-    keys = list(K.KEY_COLUMNS)
-    fresh = with_fact_key(new.filter(is_active()))
+    return cross_marks(live_facts(new), live_facts(existing))
+
+
+def cross_marks(fresh: DataFrame, existing: DataFrame) -> DataFrame:
+    """``cross_document`` over rows of ``live_facts``."""
     # one small row per key; documents of the two sides are disjoint by contract
-    stock = (
-        with_fact_key(existing.filter(is_active()))
-        .groupBy(*keys).agg(F.min(_rank_struct()).alias("_old"))
-    )
-    met = fresh.join(stock, null_safe(fresh, stock, keys)).select(
+    stock = existing.groupBy("k_all").agg(F.min(_rank_struct()).alias("_old"))
+    met = fresh.join(stock, "k_all").select(
         "fact_id", "confidence_score", "created_at", "_old",
         (F.coalesce("confidence_score", F.lit(0.0)) > F.coalesce(-F.col("_old.s"), F.lit(0.0))).alias("_wins"))
     lost = _noted(
@@ -93,12 +98,22 @@ def _place(col: str) -> Column:
 def cross_type(facts: DataFrame, use_location: bool = True) -> DataFrame:
     """Investments without an amount that restate an expansion of the same document."""
     keys = ["document_id", "k_subject"] + (["k_place"] if use_location else [])
-    live = facts.filter(is_active()).select(
-        "fact_id", "document_id", "fact_type", "value_num", "created_at",
-        K.subject_key(F.col("subject_text")).alias("k_subject"), _place("location_text").alias("k_place"))
-    bare = live.filter((F.col("fact_type") == "INVESTMENT") & F.col("value_num").isNull())
+    live = facts.filter(is_active()).select("fact_id", "document_id", "created_at", *[c.alias(n) for n, c in _kind_columns().items()])
+    return kind_marks(live, keys)
+
+
+def _kind_columns() -> dict[str, Column]:
+    """What the cross-type layer compares; NULL for facts that it does not look at."""
+    kind = F.when(F.col("fact_type") == "EXPANSION", "target").when(
+        (F.col("fact_type") == "INVESTMENT") & F.col("value_num").isNull(), "bare")
+    return {"kind": kind, "k_subject": F.when(kind.isNotNull(), K.subject_key(F.col("subject_text"))), "k_place": F.when(kind.isNotNull(), _place("location_text"))}
+
+
+def kind_marks(live: DataFrame, keys: list[str]) -> DataFrame:
+    """``cross_type`` over active facts with ``_kind_columns``."""
+    bare = live.filter("kind = 'bare'")
     target = (
-        live.filter(F.col("fact_type") == "EXPANSION").groupBy(*keys)
+        live.filter("kind = 'target'").groupBy(*keys)
         .agg(F.max(F.struct("created_at", "fact_id")).alias("_last"))
         .select(*keys, F.col("_last.fact_id").alias("canonical_id"))
     )
@@ -108,8 +123,7 @@ def cross_type(facts: DataFrame, use_location: bool = True) -> DataFrame:
 
 def global_fingerprint(facts: DataFrame) -> DataFrame:
     """Marks for facts repeated anywhere."""
-    keyed = with_fact_key(facts.filter(is_active()))
-    return _noted(duplicates_by_key(keyed, list(K.KEY_COLUMNS)), "重复: 与 ", " 重复")
+    return _noted(duplicates_by_key(live_facts(facts), ["k_all"]), "重复: 与 ", " 重复")
 
 
 def global_cross_type(facts: DataFrame) -> DataFrame:
@@ -146,14 +160,24 @@ def three_layers(facts: DataFrame, is_new: Column) -> tuple[DataFrame, DataFrame
     """Run within-document, cross-document and cross-type layers for the new
     documents; returns the marks of all layers and the updated snapshot.
 
-    Each layer reads the marks of the one before, so the (narrow, small) mark
-    tables are checkpointed: no layer is computed twice.
+    The narrow rows that all layers compare are written once; so the facts are derived and joined once, however many
+    layers read them. What the first layer leaves of new documents is the best fact per document and key, so
+    the second needs no facts again; the third looks at investments and expansions alone.
     """
-    inner = checkpoint(within_document(facts.filter(is_new)).withColumn("layer", F.lit("within_doc")))
-    after = apply_marks(facts, inner)
-    across = checkpoint(
-        cross_document(after.filter(is_new), after.filter(~is_new)).withColumn("layer", F.lit("cross_doc")))
-    settled = apply_marks(after, across)
-    kinds = checkpoint(cross_type(settled.filter(is_new)).withColumn("layer", F.lit("cross_type")))
+    live = reread(live_facts(facts, is_new=is_new, **_kind_columns()), "live")
+    new = live.filter("is_new")
+    best = reread(new.groupBy("document_id", "k_all").agg(F.count("*").alias("n"), F.min(_rank_struct()).alias("b")), "best")
+    # written apart: known to be small, it is sent to the facts and they stay where they are
+    repeated = reread(best.filter("n > 1").select("document_id", "k_all", F.col("b.fact_id").alias("canonical_id")), "repeated")
+    inner = _noted(new.join(repeated, ["document_id", "k_all"]).filter("fact_id <> canonical_id").select("fact_id", "canonical_id"),
+                   "重复: 与 ", " 重复（同文档）")
+    inner = reread(inner.withColumn("layer", F.lit("within_doc")), "marks")
+    score = F.nullif(-F.col("b.s"), F.lit(-_INF))
+    left = best.select("k_all", "b.fact_id", "b.created_at", score.alias("confidence_score"))
+    across = reread(cross_marks(left, live.filter("NOT is_new")).withColumn("layer", F.lit("cross_doc")), "marks")
+    marked = inner.select("fact_id").unionByName(across.select("fact_id"))
+    settled = new.filter("kind IS NOT NULL").join(marked, "fact_id", "left_anti")
+    kinds = reread(kind_marks(settled, ["document_id", "k_subject", "k_place"]).withColumn("layer", F.lit("cross_type")), "marks")
     marks = inner.unionByName(across).unionByName(kinds)
-    return marks, apply_marks(settled, kinds)
+    # no fact is marked twice: a marked fact is inactive in the layers that follow
+    return marks, apply_marks(facts, marks)

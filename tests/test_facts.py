@@ -150,3 +150,23 @@ def test_ingest_does_not_depend_on_batches(spark, tmp_path):
         ("e2", 0.9, "甲"), ("e30", 0.5, "戊"), ("e5", 0.6, "乙"), ("e6", 0.8, "新乙集团"), ("e8", 0.3, "新乙集团")]
     gone = {r["request_id"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "out11" / "rejected")).collect()}
     assert gone == {"r9": "no JSON found", "r7": C.DOC_TOO_SHORT}
+
+
+def test_layers_derive_the_facts_once(spark):
+    rows = [("a", 1, "EXPANSION", "s", "p", 1.0, 0.9), ("b", 1, "EXPANSION", "s", "p", 1.0, 0.8), ("c", 2, "EXPANSION", "s", "p", 1.0, 0.95),
+            ("d", 1, "INVESTMENT", "s", "q", None, 0.5), ("e", 1, "EXPANSION", "s", "r", None, None), ("f", 1, "EXPANSION", "s", "r", None, None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def is_new(document_id):
+        seen.add(1)
+        return document_id == 1
+
+    facts = spark.createDataFrame(rows, "fact_id string, document_id long, fact_type string, subject_text string, predicate string, value_num double, confidence_score double") \
+        .withColumns({"created_at": F.lit(0), "review_status": F.lit("自动通过"), "review_note": F.lit(None).cast("string"), **{
+            c: F.lit(None).cast("string") for c in ("object_text", "qualifier_json", "time_expr", "location_text")}})
+    marks, snapshot = dedup.three_layers(facts, is_new("document_id"))
+    assert seen.value == len(rows)
+    assert {(r.fact_id, r.canonical_id, r.layer) for r in marks.collect()} == {
+        ("b", "a", "within_doc"), ("f", "e", "within_doc"), ("a", "c", "cross_doc"), ("d", "e", "cross_type")}
+    assert {r.fact_id for r in snapshot.filter("review_status = '重复'").collect()} == {"a", "b", "d", "f"}
