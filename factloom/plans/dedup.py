@@ -6,6 +6,7 @@ from factloom.functions import keys as K
 from factloom.operators import dedup
 from factloom.plans.registry import query
 from factloom.plans.snippets import ACTIVE, BEST, FACT_KEY, KEYS, discriminator, strip, subject_key
+from factloom.session import reread
 
 
 @query("D1_subject_key", f"""
@@ -38,10 +39,10 @@ def d4(t):
 _NEW = "document_id IN (SELECT document_id FROM t_doc WHERE status = '待处理')"
 
 
-def _split(t):
-    """Facts of pending documents are new, the others are the stock."""
-    pending = t.t_doc.filter("status = '待处理'").select("document_id")
-    return t.t_fact.join(pending, "document_id", "left_semi"), t.t_fact.join(pending, "document_id", "left_anti")
+def _with_origin(t, rows):
+    """Rows with ``is_new``: facts of pending documents are new, the others are the stock."""
+    pending = t.t_doc.filter("status = '待处理'").select("document_id", F.lit(True).alias("_p"))
+    return rows.join(pending, "document_id", "left").withColumn("is_new", F.coalesce("_p", F.lit(False))).drop("_p")
 
 
 @query("D5_cross_document", f"""
@@ -58,7 +59,9 @@ SELECT fact_id, old_id AS canonical_id, '重复: 与 ' || old_id || ' 重复（
 UNION ALL
 SELECT old_id, fact_id, '重复: 与 ' || fact_id || ' 重复（跨文档，分数更低）' FROM beat""")
 def d5(t):
-    return dedup.cross_document(*_split(t))
+    # narrowed before the join and written, as both sides read them
+    live = reread(_with_origin(t, dedup.live_facts(t.t_fact)), "live")
+    return dedup.cross_marks(live.filter("is_new"), live.filter("NOT is_new"))
 
 
 def _cross_type_sql(place: str) -> str:
@@ -144,9 +147,7 @@ l3 AS (SELECT fact_id FROM k2 i WHERE fact_type = 'INVESTMENT' AND value_num IS
 SELECT 'within_doc' AS layer, count(*) AS n FROM l1 UNION ALL SELECT 'cross_doc', count(*) FROM l2
 UNION ALL SELECT 'cross_type', count(*) FROM l3""")
 def d11(t):
-    pending = t.t_doc.filter("status = '待处理'").select("document_id", F.lit(True).alias("_p"))
-    facts = t.t_fact.join(pending, "document_id", "left").withColumn("is_new", F.coalesce("_p", F.lit(False)))
-    marks, _ = dedup.three_layers(facts, F.col("is_new"))
+    marks, _ = dedup.three_layers(_with_origin(t, t.t_fact), F.col("is_new"))
     layers = t.spark.createDataFrame([("within_doc",), ("cross_doc",), ("cross_type",)], "layer string")
     return layers.join(marks.groupBy("layer").agg(F.count("*").alias("n")), "layer", "left") \
         .select("layer", F.coalesce("n", F.lit(0)).alias("n"))
