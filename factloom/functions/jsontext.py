@@ -15,6 +15,8 @@ from factloom.functions.keys import strip
 THINKING = r"(?s)<think(?:ing)?>.*?</think(?:ing)?>"
 _FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
 _CLOSER = {"{": "}", "[": "]"}
+_BRACKETS = {"{": re.compile(r"[{}]"), "[": re.compile(r"[\[\]]")}
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\Z)|\\.|[{}\[\],]', re.S)
 
 
 def _load(text: str):
@@ -30,10 +32,10 @@ def _balanced(text: str, opener: str) -> str | None:
     if start < 0:
         return None
     depth = 0
-    for m in re.finditer(re.escape(opener) + "|" + re.escape(_CLOSER[opener]), text[start:]):
+    for m in _BRACKETS[opener].finditer(text, start):
         depth += 1 if m.group() == opener else -1
         if depth == 0:
-            return text[start:start + m.end()]
+            return text[start:m.end()]
     return None
 
 
@@ -45,7 +47,7 @@ def _close_truncated(text: str):
     body = text[opening.start():]
     pending: list[str] = []
     comma = 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|\Z)|\\.|[{}\[\],]', body, re.S):
+    for m in _TOKEN.finditer(body):
         token = m.group()
         if token == ",":
             comma = m.start()
@@ -105,5 +107,6 @@ def with_answer_json(answers: DataFrame, content: str = "content") -> DataFrame:
     bare = strip(F.when(text.contains("<think"), F.regexp_replace(text, THINKING, "")).otherwise(text))
     tried = answers.withColumn("_bare", bare).withColumn(
         "_ok", F.col("_bare").rlike(r"^[\[{]") & F.try_parse_json("_bare").isNotNull())
-    sent = tried.withColumn("_found", _recover_udf(F.when(F.col("_ok"), None).otherwise(F.col("_bare"))))
+    # text without any bracket holds no JSON but a fenced scalar
+    sent = tried.withColumn("_found", _recover_udf(F.when(~F.col("_ok") & F.col("_bare").rlike(r"[\[{]|```"), F.col("_bare"))))
     return sent.withColumn("json", F.when(F.col("_ok"), F.col("_bare")).otherwise(F.col("_found"))).drop("_bare", "_ok", "_found")

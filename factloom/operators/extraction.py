@@ -104,12 +104,12 @@ def _typed_items(answers: DataFrame) -> DataFrame:
     grouped = F.map_entries(F.from_json("json", "map<string,string>"))
     bare = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("json").alias("value")))
     groups = F.when(F.col("json").startswith("{"), grouped).otherwise(bare)
+    # generated columns, outer: no filter is derived from them or pushed below them, so each text is parsed once
+    items = F.try_parse_json("g.value").try_cast("array<variant>")
     return (
-        # outer, so that no filter is derived that would parse the texts again
         answers.select("request_id", "document_id", F.posexplode_outer(groups).alias("p1", "g"))
         .filter(F.col("g.value").startswith("["))
-        .select("request_id", "document_id", "p1", "g.key", F.posexplode_outer(F.from_json("g.value", "array<string>")).alias("p2", "item"))
-        .filter(F.col("item").rlike(r"^[\[{]"))
+        .select("request_id", "document_id", "p1", "g.key", F.posexplode_outer(items).alias("p2", "item"))
     )
 
 
@@ -122,13 +122,15 @@ def shape_records(answers: DataFrame) -> DataFrame:
     Both forms become one array of 13 values first. Lists shorter than 13 are
     dropped; the group name overrides an object's type.
     """
-    is_list = F.col("item").startswith("[")
-    named = F.array(*[F.try_variant_get("v", f"$.{name}", "variant") for name in RECORD_FIELDS])
+    named = F.array(*[F.try_variant_get("item", f"$.{name}", "variant") for name in RECORD_FIELDS])
+    listed = F.col("item").try_cast("array<variant>")
+    is_list = F.col("listed").isNotNull()
+    fields = F.when(is_list, F.when(F.size("listed") >= len(RECORD_FIELDS), F.col("listed"))).when(
+        F.schema_of_variant("item").startswith("OBJECT"), named)
     items = (
         _typed_items(answers)
-        .filter(~is_list | (F.size(F.from_json("item", "array<string>")) >= len(RECORD_FIELDS)))
-        .withColumn("v", F.try_parse_json("item"))
-        .withColumn("f", F.when(is_list, F.col("v").try_cast("array<variant>")).otherwise(named))
+        .withColumn("listed", F.explode_outer(F.array(listed)))
+        .withColumn("f", F.explode_outer(F.array(fields))).filter("f is not null")
     )
     at = {name: F.col("f")[i] for i, name in enumerate(RECORD_FIELDS)}
     text = lambda name: at[name].try_cast("string")
