@@ -152,3 +152,14 @@ def test_merge_suggestions_rules(spark):
     pairs = {frozenset(p) for p in got}
     assert frozenset("12") not in pairs and frozenset("45") not in pairs
     assert frozenset("67") in pairs
+
+
+def test_copies_of_a_name_make_one_suggestion_each(spark):
+    rows = [(f"a{i:02}", "佐敦涂料", "企业") for i in range(30)] + [(f"b{i:02}", "佐敦涂料公司", "品牌") for i in range(30)] + [("c", "海虹老人", "企业")]
+    names = spark.createDataFrame(rows, "entity_id string, canonical_name string, entity_type string")
+    every = M.merge_suggestions(names, limit=None).collect()
+    few = M.merge_suggestions(names, limit=None, expand=False).collect()
+    assert len(every) == 60 * 59 // 2 and len(few) == 29 + 29 + 1
+    assert {tuple(r) for r in few} <= {tuple(r) for r in every}
+    between = lambda out: {(r.primary_name, r.secondary_name, r.score) for r in out if r.primary_name != r.secondary_name}
+    assert between(few) == between(every) and len(between(few)) == 1
