@@ -12,6 +12,7 @@ from factloom.functions import similarity as S
 from factloom.operators import dedup, merging, profiles, quality, reports
 from factloom.plans import sources
 from factloom.sources import documents as D
+from factloom.sources import sinks
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FACT = ("fact_id string, document_id long, evidence_id string, fact_type string, subject_text string, predicate string, object_text string, value_num double, "
@@ -103,3 +104,11 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code, REPO], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_export_can_be_compressed(spark, tmp_path):
+    rows = facts(spark, [{"fact_id": "a", "object_text": 'x "y"\n, z'}, {"fact_id": "b"}])
+    sinks.write_csv(rows, str(tmp_path / "out"), "gzip")
+    assert list((tmp_path / "out").glob("*.csv.gz")) and not list((tmp_path / "out").glob("*.csv"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "out"))
+    assert sorted((r[0], r.object_text) for r in back.collect()) == [("a", 'x "y"\n, z'), ("b", None)]
