@@ -9,7 +9,7 @@ from factloom.functions.similarity import _lcs
 from factloom.operators import merging as M
 from factloom.operators.common import contained_in
 from factloom.operators.components import connected_components
-from factloom.operators.simjoin import containment_pairs, lcs_pairs, ratio_pairs
+from factloom.operators.simjoin import containment_pairs, lcs_pairs, lcs_pairs_apart, lcs_stars, ratio_pairs
 
 
 def _names(seed=7, n=160):
@@ -144,6 +144,49 @@ def test_clusters_respect_places_and_match_brute_force(spark):
     assert all(r["place_warning"] == (r["pivot"] == "佐敦涂料") for r in out)
 
 
+@pytest.mark.parametrize("seed", [2, 13])
+def test_clusters_of_odd_names_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    places = ["", "", "（青岛）", "(上海)", "（香港）"]
+    texts = sorted({n + rng.choice(places) for n in _names(seed, 120)} | {f"Supplier#{i:09d}{p}" for i in range(40) for p in ("（青岛）", "（上海）")}
+                   | {"青岛", "（青岛）青岛", "a", "ab", "x" * 70, "x" * 60 + "y" * 20, "集 团", "集团"})
+    items = spark.createDataFrame([(t, i % 7, None, None, "subject_text") for i, t in enumerate(texts)],
+                                  "text string, fact_count bigint, entity_id string, entity_type string, source string")
+    rows = [tuple(r) for r in items.select("text", M.cluster_key(items.text), M.cluster_place(items.text)).collect()]
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, ka, pa) in enumerate(rows):
+        for b, kb, pb in rows[i + 1:]:
+            long, short = max(len(ka), len(kb)), min(len(ka), len(kb))
+            held = short / long * 0.45 + 0.5 if ka in kb or kb in ka else 0
+            if not (pa and pb and pa != pb) and (ka == kb or max(held, _lcs(ka, kb) / long) >= 0.68):
+                root[find(b)] = find(a)
+    want = {}
+    for t in texts:
+        want.setdefault(find(t), set()).add(t)
+    got = {}
+    for r in M.cluster_names(items).collect():
+        got.setdefault(r["pivot"], set()).add(r["text"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    assert len(got) > 10
+
+
+def test_alike_names_are_not_paired_with_each_other(spark):
+    names = [(i, f"supplier#{i:09d}", None) for i in range(600)] + [(1000, "supplier#x", None), (1001, "supplier#xy", None)]
+    nodes = spark.createDataFrame(names, "id long, t string, place string")
+    stars = lcs_stars(nodes, 0.68)
+    assert stars.count() < 30 * len(names)
+    assert all(_lcs(dict((i, t) for i, t, _ in names)[r.a], dict((i, t) for i, t, _ in names)[r.b]) >= 12 or r.a >= 1000 for r in stars.limit(200).collect())
+    apart = nodes.withColumn("c", (nodes.id >= 1000).cast("long"))
+    assert lcs_pairs_apart(apart, 0.68).count() == 0
+    assert [tuple(r) for r in lcs_pairs_apart(nodes.filter("id >= 999 or id < 1").withColumn("c", nodes.id), 0.68).collect()] == [(1000, 1001)]
+
+
 def test_merge_suggestions_rules(spark):
     rows = [("1", "佐敦涂料（青岛）有限公司", "企业"), ("2", "佐敦涂料（上海）有限公司", "企业"), ("3", "佐敦涂料", "企业"),
             ("4", "中国上榜品牌", "集团"), ("5", "美国上榜品牌", "集团"), ("6", "国际油漆股份公司", "企业"), ("7", "国际油漆股份有限公司", "企业")]
