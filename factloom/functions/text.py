@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,16 @@ PARAGRAPH_BREAK = r"(?U)\n\s*\n"
 SENTENCE_END = r"(?<=[。！？；;!?])"
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column that Spark computes once a row: what is built on it, filters too, reads it and never repeats it."""
+    return F.explode_outer(F.array(value))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tables_to_text(text: Column) -> Column:
     """Replace each simple table by ``a | b`` lines; rows without any text vanish."""
 
@@ -57,10 +69,12 @@ def tables_to_text(text: Column) -> Column:
         rows = F.transform(F.regexp_extract_all(inner, F.lit(ROW), F.lit(1)), row_text)
         return F.array_join(F.array_compact(rows), "\n")
 
-    outside = F.split(text, TABLE)
-    inside = F.transform(F.regexp_extract_all(text, F.lit(TABLE), F.lit(1)), table_text)
-    woven = F.flatten(F.zip_with(outside, inside, lambda o, i: F.array(o, F.coalesce(i, F.lit("")))))
-    return F.when(text.rlike(r"(?i)<table"), F.array_join(woven, "")).otherwise(text)
+    def woven(text: Column) -> Column:
+        outside = F.split(text, TABLE)
+        inside = F.transform(F.regexp_extract_all(text, F.lit(TABLE), F.lit(1)), table_text)
+        return F.flatten(F.zip_with(outside, inside, lambda o, i: F.array(o, F.coalesce(i, F.lit("")))))
+
+    return let(text, lambda t: F.when(t.rlike(r"(?i)<table"), F.array_join(woven(t), "")).otherwise(t))
 
 
 def strip_html(text: Column) -> Column:
@@ -99,19 +113,17 @@ def clean(text: Column, rules: CleanRules = CleanRules()) -> Column:
 
 
 def cjk_chars(text: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]", ""))).cast("bigint")
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]+", ""))).cast("bigint")
 
 
 def effective_chars(text: Column) -> Column:
     """CJK characters plus one per five other visible characters."""
-    other = F.length(F.regexp_replace(text, f"[{CJK}{WHITE_SPACE}]", ""))
+    other = F.length(F.regexp_replace(text, f"[{CJK}{WHITE_SPACE}]+", ""))
     return cjk_chars(text) + F.floor(other / 5).cast("bigint")
 
 
 def running_sums(lengths: Column) -> Column:
     """Sum of the elements before each one (array<bigint>), in two levels so that long arrays stay cheap."""
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / step).cast("int") - 1), lambda b: F.slice(lengths, b * step + 1, step))
     none = F.array().cast("array<bigint>")
 
     def sums(values: Column, start: Column) -> Column:
@@ -119,24 +131,37 @@ def running_sums(lengths: Column) -> Column:
         return F.aggregate(values, first, lambda acc, x: F.struct(
             F.concat(acc["a"], F.array(acc["s"])).alias("a"), (acc["s"] + x).alias("s")), lambda acc: acc["a"])
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
-    filled = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), sums(totals, F.lit(0)).alias("o")), lambda z: sums(z["b"], z["o"])))
-    return F.when(F.size(lengths) > 0, filled).otherwise(none)
+    def cut(values: Column, step: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / step).cast("int") - 1), lambda b: F.slice(values, b * step + 1, step))
+
+    def filled(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), sums(totals, F.lit(0)).alias("o")), lambda z: sums(z["b"], z["o"])))
+
+    def of(values: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+        return F.when(F.size(values) > 0, let(let(step, lambda n: cut(values, n)), filled)).otherwise(none)
+
+    return let(lengths, of)
 
 
 def paragraphs(text: Column) -> Column:
     """Array of (body, char_start, char_end, size) for each non-blank paragraph."""
-    parts = F.split(text, PARAGRAPH_BREAK)
-    gaps = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH_BREAK), F.lit(0)), lambda g: F.length(g))
-    sized = F.zip_with(parts, gaps, lambda p, g: F.struct(
-        p.alias("part"), F.length(p).alias("n"), F.coalesce(g, F.lit(0)).alias("gap")))
-    placed = F.transform(running_sums(F.transform(sized, lambda x: x["n"] + x["gap"])), lambda s: s.cast("int"))
-    rows = F.zip_with(sized, placed, lambda x, s: F.struct(
-        strip(x["part"]).alias("body"), s.alias("char_start"), (s + x["n"]).alias("char_end")))
-    full = F.filter(rows, lambda r: r["body"] != "")
-    return F.transform(full, lambda r: F.struct(
-        r["body"].alias("body"), r["char_start"].alias("char_start"), r["char_end"].alias("char_end"),
-        effective_chars(r["body"]).cast("int").alias("size")))
+    def sized(text: Column) -> Column:
+        gaps = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH_BREAK), F.lit(0)), lambda g: F.length(g))
+        return F.zip_with(F.split(text, PARAGRAPH_BREAK), gaps, lambda p, g: F.struct(
+            p.alias("part"), F.length(p).alias("n"), F.coalesce(g, F.lit(0)).alias("gap")))
+
+    def placed(parts: Column) -> Column:
+        starts = F.transform(running_sums(F.transform(parts, lambda x: x["n"] + x["gap"])), lambda s: s.cast("int"))
+        rows = F.zip_with(parts, starts, lambda x, s: F.struct(
+            strip(x["part"]).alias("body"), s.alias("char_start"), (s + x["n"]).alias("char_end")))
+        full = F.filter(rows, lambda r: r["body"] != "")
+        return F.transform(full, lambda r: F.struct(
+            r["body"].alias("body"), r["char_start"].alias("char_start"), r["char_end"].alias("char_end"),
+            effective_chars(r["body"]).cast("int").alias("size")))
+
+    return let(let(text, sized), placed)
 
 
 def sentences(text: Column) -> Column:

@@ -12,7 +12,7 @@ from factloom.functions import text as T
 def clean_documents(docs: DataFrame, rules: C.CleanRules = C.CleanRules(),
                     min_chars: int = C.MIN_CLEAN_CHARS) -> DataFrame:
     """Add cleaned text, its length, and the status of documents that stop here."""
-    return docs.withColumn("clean_text", T.clean(F.col("raw_text"), rules)).withColumns({
+    return docs.withColumn("clean_text", T.once(T.clean(F.col("raw_text"), rules))).withColumns({
         "clean_chars": F.length("clean_text").cast("bigint"),
         "stop_status": T.gate(F.col("raw_text"), F.col("clean_text"), min_chars),
         "stop_reason": F.when(

@@ -7,12 +7,14 @@ import sys
 
 from pyspark.sql import functions as F
 
+from factloom import config as C
 from factloom.functions import keys
 from factloom.functions import similarity as S
-from factloom.operators import dedup, merging, profiles, quality, reports
+from factloom.operators import dedup, merging, profiles, quality, reports, textprep
 from factloom.plans import sources
 from factloom.sources import documents as D
 from factloom.sources import sinks
+from factloom.streaming import ingest
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FACT = ("fact_id string, document_id long, evidence_id string, fact_type string, subject_text string, predicate string, object_text string, value_num double, "
@@ -112,3 +114,22 @@ def test_export_can_be_compressed(spark, tmp_path):
     assert list((tmp_path / "out").glob("*.csv.gz")) and not list((tmp_path / "out").glob("*.csv"))
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "out"))
     assert sorted((r[0], r.object_text) for r in back.collect()) == [("a", 'x "y"\n, z'), ("b", None)]
+
+
+def test_an_article_of_many_answers_is_cleaned_once(spark):
+    long, short = "<p>" + "正文" * 60 + "</p>", "<p>短</p>"
+    given = [("a", long), ("b", short), ("c", long), ("d", None), ("e", " "), ("f", short), ("g", "<p> </p>")]
+    answers = spark.createDataFrame([(r, 1, "[]", text) for r, text in given], ingest.ANSWERS)
+    passed, stopped = ingest.gate_articles(answers)
+    assert sorted(r.request_id for r in passed.collect()) == ["a", "c", "d"]
+    assert {r.request_id: r.reason for r in stopped.collect()} == {"b": C.DOC_TOO_SHORT, "e": C.DOC_EMPTY, "f": C.DOC_TOO_SHORT, "g": C.DOC_EMPTY_CLEAN}
+    for df in (passed, stopped):  # no answer's own row is cleaned
+        assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_cleaned_once(spark):
+    docs = spark.createDataFrame([(1, "<p>" + "正文" * 60 + "</p>"), (2, "短"), (3, None), (4, "")], "document_id long, raw_text string")
+    chunks = textprep.whole_text_chunks(textprep.clean_documents(docs))
+    assert [(r.document_id, r.chunk_text, r.char_count) for r in chunks.collect()] == [(1, "正文" * 60, 120)]
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("(?i)</p>") == 1
+    assert {r.document_id: r.stop_status for r in textprep.clean_documents(docs).collect()} == {1: None, 2: C.DOC_TOO_SHORT, 3: C.DOC_EMPTY, 4: C.DOC_EMPTY}
