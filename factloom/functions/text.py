@@ -113,13 +113,16 @@ def clean(text: Column, rules: CleanRules = CleanRules()) -> Column:
 
 
 def cjk_chars(text: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]+", ""))).cast("bigint")
+    found = F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]+", ""))
+    # a text of single-byte characters holds none
+    return F.when(F.octet_length(text) == F.length(text), F.lit(0)).otherwise(found).cast("bigint")
 
 
 def effective_chars(text: Column) -> Column:
     """CJK characters plus one per five other visible characters."""
-    other = F.length(F.regexp_replace(text, f"[{CJK}{WHITE_SPACE}]+", ""))
-    return cjk_chars(text) + F.floor(other / 5).cast("bigint")
+    visible = F.length(F.translate(text, WHITE_SPACE, ""))
+    # cjk + floor((visible - cjk) / 5), with the search for CJK characters written once
+    return F.floor((visible + cjk_chars(text) * 4) / 5).cast("bigint")
 
 
 def running_sums(lengths: Column) -> Column:

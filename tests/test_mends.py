@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom import config as C
 from factloom.functions import keys
 from factloom.functions import similarity as S
+from factloom.functions import text as T
 from factloom.operators import dedup, merging, profiles, quality, reports, textprep
 from factloom.plans import sources
 from factloom.sources import documents as D
@@ -133,3 +134,15 @@ def test_documents_are_cleaned_once(spark):
     assert [(r.document_id, r.chunk_text, r.char_count) for r in chunks.collect()] == [(1, "正文" * 60, 120)]
     assert chunks._jdf.queryExecution().optimizedPlan().toString().count("(?i)</p>") == 1
     assert {r.document_id: r.stop_status for r in textprep.clean_documents(docs).collect()} == {1: None, 2: C.DOC_TOO_SHORT, 3: C.DOC_EMPTY, 4: C.DOC_EMPTY}
+
+
+def test_sizes_and_paragraphs_read_a_text_once(spark):
+    texts = ["", None, "abc def\u00a0gh\n\n ij", "佐敦 涂料\u3000abcde㐀", "é" * 11, "a\u2028b" * 7 + "𠀀", "一\n \n二\n\n\n\n三 ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    han = lambda t: sum("\u4e00" <= c <= "\u9fff" or "\u3400" <= c <= "\u4dbf" for c in t)
+    want = {i: None if t is None else han(t) + sum(not c.isspace() and not han(c) for c in t) // 5 for i, t in enumerate(texts)}
+    assert {r.i: r.n for r in rows.select("i", T.effective_chars(F.col("text")).alias("n")).collect()} == want
+    parts = rows.select("i", T.paragraphs(F.col("text")).alias("p"))
+    assert [(p.body, p.char_start, p.char_end) for p in parts.filter("i = 6").first().p] == [("一", 0, 1), ("二", 4, 5), ("三 ab", 9, 13)]
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
