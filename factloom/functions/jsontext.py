@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from factloom.functions.keys import strip
+from factloom.functions.text import once
 
 THINKING = r"(?s)<think(?:ing)?>.*?</think(?:ing)?>"
 _FENCE = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
@@ -101,11 +102,11 @@ def with_answer_json(answers: DataFrame, content: str = "content") -> DataFrame:
     """Add ``json``: the JSON text of each answer, NULL if none can be found.
 
     Thinking is dropped first. Only text Spark cannot parse goes to Python. Each step
-    is a column of its own, so no text is parsed twice.
+    is a column of its own, so no text is parsed twice, and the bare text a generated one, so no filter pushed below repeats it.
     """
     text = F.col(content)
     bare = strip(F.when(text.contains("<think"), F.regexp_replace(text, THINKING, "")).otherwise(text))
-    tried = answers.withColumn("_bare", bare).withColumn(
+    tried = answers.withColumn("_bare", once(bare)).withColumn(
         "_ok", F.col("_bare").rlike(r"^[\[{]") & F.try_parse_json("_bare").isNotNull())
     # text without any bracket holds no JSON but a fenced scalar
     sent = tried.withColumn("_found", _recover_udf(F.when(~F.col("_ok") & F.col("_bare").rlike(r"[\[{]|```"), F.col("_bare"))))

@@ -9,6 +9,7 @@ from factloom import config as C
 from factloom.functions import keys as K
 from factloom.functions.jsontext import with_answer_json
 from factloom.functions.predicates import extra_qualifiers, matches_root
+from factloom.functions.text import once
 from factloom.operators.common import number_in_group, top_per_key
 
 # --- fixed values: positions of a list-form record ------------------------
@@ -197,7 +198,7 @@ def ingest_evidence(answers: DataFrame, existing: DataFrame) -> DataFrame:
     """New evidence spans of discovery answers (request_id, document_id, chunk_id, json)."""
     body = F.from_json("json", "has_fact boolean, candidates array<struct<evidence_text:string,fact_type:string,priority:string>>")
     rows = (
-        answers.withColumn("_b", body).filter(F.col("_b.has_fact"))
+        answers.withColumn("_b", once(body)).filter(F.col("_b.has_fact"))
         .select("request_id", "document_id", "chunk_id", F.posexplode_outer("_b.candidates").alias("ord", "c"))
         .select("request_id", "document_id", "chunk_id", "ord", "c.evidence_text", "c.fact_type",
                 F.coalesce("c.priority", F.lit("medium")).alias("priority"))

@@ -11,7 +11,7 @@ from factloom import config as C
 from factloom.functions import keys
 from factloom.functions import similarity as S
 from factloom.functions import text as T
-from factloom.operators import dedup, merging, profiles, quality, reports, textprep
+from factloom.operators import dedup, extraction, merging, profiles, quality, reports, textprep
 from factloom.plans import sources
 from factloom.sources import documents as D
 from factloom.sources import sinks
@@ -146,3 +146,14 @@ def test_sizes_and_paragraphs_read_a_text_once(spark):
     assert [(p.body, p.char_start, p.char_end) for p in parts.filter("i = 6").first().p] == [("一", 0, 1), ("二", 4, 5), ("三 ab", 9, 13)]
     plan = parts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+
+
+def test_evidence_answers_are_read_once(spark):
+    body = json.dumps({"has_fact": True, "candidates": [{"evidence_text": "x", "fact_type": "CAPACITY"}, {"evidence_text": "", "fact_type": "CAPACITY"}]})
+    given = [("a", body), ("b", f"<think>no</think>{body}"), ("c", '{"has_fact": false, "candidates": [{"evidence_text": "y", "fact_type": "CAPACITY"}]}'), ("d", None), ("e", "none")]
+    rows = spark.createDataFrame([(r, ord(r), "C", text) for r, text in given], "request_id string, document_id long, chunk_id string, content string")
+    none = spark.createDataFrame([], "document_id long, fact_type string, evidence_text string")
+    found = extraction.ingest_evidence(extraction.parse_answers(rows), none)
+    assert sorted((r.document_id, r.evidence_text, r.priority) for r in found.collect()) == [(97, "x", "medium"), (98, "x", "medium")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("from_json(") == 1 and plan.count("<think(?:ing)?>") == 1
