@@ -155,34 +155,45 @@ def shape_records(answers: DataFrame) -> DataFrame:
         F.coalesce(text("evidence_text"), F.lit("")).alias("evidence_text"))
 
 
-def _reject(df: DataFrame, rules: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
+def _judged(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
+    """Add ``reject_reason``: the first rule that holds, else NULL. Rules see the trimmed subject as ``_subject``.
+
+    The reason is a generated column, so no filter on it states all rules again.
+    """
     reason = F.coalesce(*[F.when(cond, F.lit(why)) for cond, why in rules])
-    judged = df.withColumn("reject_reason", reason)
+    return df.withColumn("_subject", K.strip(F.col("subject_text"))).withColumn("reject_reason", once(reason)).drop("_subject")
+
+
+def _reject(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
             judged.filter(F.col("reject_reason").isNotNull()))
 
 
 def _common_rules() -> list[tuple[Column, str]]:
-    blank = lambda c: F.col(c).isNull() | (K.strip(F.col(c)) == "")
     return [
         (F.col("predicate").isNull() | (F.col("predicate") == ""), "no predicate"),
-        (blank("subject_text"), "no subject"),
+        (F.col("_subject").isNull() | (F.col("_subject") == ""), "no subject"),
         (F.col("fact_type").isNull() | ~F.col("fact_type").isin(*C.FACT_TYPES), "unknown type"),
     ]
 
 
 def validate_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid records, rejected ones with the first reason) of whole-article answers."""
-    return _reject(records, _common_rules())
+    return _reject(_judged(records, _common_rules()))
 
 
-def validate_evidence_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-evidence answers: metric words are no subjects either."""
+def judged_evidence_records(records: DataFrame) -> DataFrame:
+    """Per-evidence answers with their ``reject_reason``, NULL where valid: metric words are no subjects either."""
     rules = _common_rules()
-    subject = K.strip(F.col("subject_text"))
+    subject = F.col("_subject")
     metric = subject.rlike("(?:" + "|".join(SUBJECT_METRIC_SUFFIXES) + r")\z")
     rules[2:2] = [(metric, "metric as subject"), (subject.isin(*SUBJECT_METRIC_NAMES), "statistic as subject")]
-    return _reject(records, rules)
+    return _judged(records, rules)
+
+
+def validate_evidence_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid records, rejected ones with the first reason) of per-evidence answers."""
+    return _reject(judged_evidence_records(records))
 
 
 def monitor_vocabulary(facts: DataFrame) -> DataFrame:

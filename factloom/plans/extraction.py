@@ -113,9 +113,7 @@ def e4(t):
         .when(F.col("review_status") == C.REJECTED, F.concat("subject_text", F.lit("产量")))
         .when(F.col("review_status") == C.UNCERTAIN, "市场规模").otherwise(F.col("subject_text")),
         "fact_type": F.when(F.col("fact_type") == "EXPANSION", "OTHER").otherwise(F.col("fact_type"))})
-    good, bad = X.validate_evidence_records(spoiled)
-    return good.select("fact_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(
-        bad.select("fact_id", "reject_reason"))
+    return X.judged_evidence_records(spoiled).select("fact_id", "reject_reason")
 
 
 @query("E5_full_text_requests", """

@@ -157,3 +157,16 @@ def test_evidence_answers_are_read_once(spark):
     assert sorted((r.document_id, r.evidence_text, r.priority) for r in found.collect()) == [(97, "x", "medium"), (98, "x", "medium")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") == 1 and plan.count("from_json(") == 1 and plan.count("<think(?:ing)?>") == 1
+
+
+def test_evidence_records_are_judged_once(spark):
+    given = [("p", "s"), ("", "s"), ("p", " 　"), ("p", None), ("p", "某产量 "), ("p", " 市场规模"), (None, None)]
+    rows = spark.createDataFrame([(i, p, s, "CAPACITY") for i, (p, s) in enumerate(given)] + [(7, "p", "s", "OTHER"), (8, "p", "s", None)],
+                                 "i int, predicate string, subject_text string, fact_type string")
+    good, bad = extraction.validate_evidence_records(rows)
+    assert [r.i for r in good.collect()] == [0] and good.columns == rows.columns
+    assert {r.i: r.reject_reason for r in bad.collect()} == {
+        1: "no predicate", 2: "no subject", 3: "no subject", 4: "metric as subject", 5: "statistic as subject", 6: "no predicate", 7: "unknown type", 8: "unknown type"}
+    for df in (good, bad):  # the filter reads the reason
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE(") == 1 and plan.count("trim(") == 1
