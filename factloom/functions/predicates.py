@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import keys as K
 from factloom.functions.keys import strip
+from factloom.functions.text import once
 
 _U = "(?Ud)"
 # --- fixed values: patterns, in the order they are applied ----------------
@@ -105,6 +106,8 @@ def normalize_predicates(facts: DataFrame, location: str = "location_text") -> D
     df = _cut_prefix(df, _Prefix(FACILITY, "_q_report_scope"))
     df = _cut_prefix(df, _Prefix(PHASE, "_q_phase"))
 
+    # a generated column starts a function of its own: a longer one is not compiled by the JVM
+    df = df.withColumn("_p", once(F.col("_p")))
     df = df.withColumns({"_m": _group(RANKING, 2), "_verb": F.concat(_group(RANKING, 1), _group(RANKING, 3))})
     ranked = F.col("_m") != ""
     df = df.withColumns({
@@ -127,6 +130,7 @@ def normalize_predicates(facts: DataFrame, location: str = "location_text") -> D
         "time_expr": _fill(df, "time_expr", F.col("_m"), dated),
         "_p": F.when(dated, F.substring(F.col("_p"), F.length("_m") + 1, F.length("_p"))).otherwise(F.col("_p"))})
 
+    df = df.withColumn("_p", once(F.col("_p")))
     df = df.withColumns({
         "_m": _group(PROJECT, 1),
         "_verb": F.coalesce(F.nullif(_group(PROJECT, 2), F.lit("")), F.lit("建设"))})
@@ -151,11 +155,11 @@ def normalize_predicates(facts: DataFrame, location: str = "location_text") -> D
         "_p": F.when(split, F.lit(CAPACITY_VERB)).otherwise(F.col("_p"))})
 
     df = df.withColumns({f"_set_{t}": ~F.col(f"_q_{t}").eqNullSafe(F.col(f"_old_{t}")) for t in TARGETS})
-    fired = F.array_compact(F.array(*[F.when(F.col(f"_set_{t}"), F.lit(t)) for t in TARGETS]))
+    fired = F.array_except(F.array(*[F.when(F.col(f"_set_{t}"), F.lit(t)) for t in TARGETS]), F.array(F.lit(None).cast("string")))
     added = F.array_compact(F.array(*[F.when(F.col(f"_set_{t}"), F.struct(F.lit(t).alias("key"), F.col(f"_q_{t}").cast("variant").alias("value"))) for t in TARGETS]))
     kept = F.map_filter(K.members(F.col("qualifier_json")), lambda k, _: ~F.array_contains("_fired", k))
-    df = df.withColumns({"_fired": fired, "_added": F.map_from_entries(added)})
-    edited = F.when(F.size("_fired") > 0, F.to_json(F.map_concat(kept, "_added"))).otherwise(F.col("qualifier_json"))
+    df = df.withColumn("_fired", fired)
+    edited = F.when(F.size("_fired") > 0, F.to_json(F.map_concat(kept, F.map_from_entries(added)))).otherwise(F.col("qualifier_json"))
     return df.withColumns({"predicate": F.col("_p"), "qualifier_json": edited}).select(*facts.columns)
 
 

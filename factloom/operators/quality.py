@@ -285,7 +285,8 @@ def lint(facts: DataFrame) -> DataFrame:
         ((F.col("fact_type") == "FINANCIAL_METRIC") & has_number & _blank("currency") & money, "缺少 currency"),
         ((F.col("fact_type") == "COMPETITIVE_RANKING") & ~context, "缺少上下文限定词"),
         (has_number & _blank("value_text"), "缺少 value_text")]
-    return facts.withColumn("issues", F.array_compact(F.array(*[F.when(c, name) for c, name in checks])))
+    # array_compact takes a lambda, and what stands in one row with a lambda is interpreted
+    return facts.withColumn("issues", F.array_except(F.array(*[F.when(c, name) for c, name in checks]), F.array(F.lit(None).cast("string"))))
 
 
 def lint_before_after(facts: DataFrame) -> DataFrame:

@@ -2,17 +2,19 @@
 
 import json
 import os
+import re
 import subprocess
 import sys
 
 from pyspark.sql import functions as F
 
 from factloom import config as C
-from factloom.functions import keys
+from factloom.functions import keys, predicates
 from factloom.functions import similarity as S
 from factloom.functions import text as T
 from factloom.operators import dedup, extraction, merging, profiles, quality, reports, textprep
 from factloom.plans import sources
+from factloom.plans.tables import Tables
 from factloom.sources import documents as D
 from factloom.sources import sinks
 from factloom.streaming import ingest
@@ -170,3 +172,21 @@ def test_evidence_records_are_judged_once(spark):
     for df in (good, bad):  # the filter reads the reason
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RLIKE(") == 1 and plan.count("trim(") == 1
+
+
+def compiled(df):
+    """Whether the JVM compiles all generated methods of ``df``: those of over 8000 bytes stay interpreted."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) <= 8000
+
+
+def test_rewriting_and_linting_are_compiled(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans show no code before they run
+    try:
+        rows = Tables(spark, "/root/testdata/sf0.001").t_fact
+        assert compiled(predicates.normalize_predicates(rows).select("fact_id", "predicate", "time_expr", "qualifier_json"))
+        assert compiled(quality.lint_before_after(rows).select("fact_id", "outcome"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "filter(" not in quality.lint(rows)._jdf.queryExecution().optimizedPlan().toString()  # no lambda beside the patterns
