@@ -1,5 +1,6 @@
 """Cases that earlier rounds got wrong."""
 
+import hashlib
 import json
 import os
 import re
@@ -12,7 +13,7 @@ from factloom import config as C
 from factloom.functions import keys, predicates
 from factloom.functions import similarity as S
 from factloom.functions import text as T
-from factloom.operators import dedup, extraction, merging, profiles, quality, reports, textprep
+from factloom.operators import common, dedup, extraction, merging, profiles, quality, reports, textprep
 from factloom.plans import sources
 from factloom.plans.tables import Tables
 from factloom.sources import documents as D
@@ -190,3 +191,23 @@ def test_rewriting_and_linting_are_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert "filter(" not in quality.lint(rows)._jdf.queryExecution().optimizedPlan().toString()  # no lambda beside the patterns
+
+
+def test_large_groups_are_numbered_like_small_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(g, f"f{i}") for g, n in ((1, 40), (2, 3), (None, 12), (3, 1)) for i in range(n)], "g int, id string")
+    want = {(g, i): n for g in (1, 2, None, 3) for n, i in enumerate(sorted(
+        (r.id for r in rows.collect() if r.g == g), key=lambda i: (hashlib.md5(i.encode()).hexdigest()[:3], i)), 1)}
+    for limit in (100, 10, 0):
+        monkeypatch.setattr(common, "LARGE", limit)
+        numbered = common.number_in_group(rows, ["g"], "id")
+        assert numbered.columns == ["g", "id", "rn"] and {(r.g, r.id): r.rn for r in numbered.collect()} == want
+
+
+def test_completion_requests_move_facts_once(spark):
+    rows = [{"fact_id": f"f{i}", "document_id": i % 2, "fact_type": "CAPACITY"} for i in range(7)]
+    given = facts(spark, rows).withColumns({"evidence_text": F.lit("e"), "location_text": F.lit("here")})
+    articles = spark.createDataFrame([(0, "a"), (1, "b")], "document_id long, article_text string")
+    sent = extraction.completion_requests(given, articles, per_request=2)
+    assert sorted((r.document_id, r.part, r.n_facts) for r in sent.collect()) == [(0, 0, 2), (0, 1, 2), (1, 0, 2), (1, 1, 1)]
+    plan = sent._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(") <= 2
