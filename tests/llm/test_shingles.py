@@ -73,3 +73,19 @@ def test_odd_rows(odd_docs, no_docs):
     rows = kept.collect()
     assert sum(r.text == "one" for r in rows) == 1 and sum(not (r.text or "").strip() for r in rows) == 1
     assert shingles.first_of_each(no_docs).count() == 0
+
+
+def test_prefixes_hold_the_rarest_members(spark):
+    """Prefixes go by rising frequency over all sets: a line of all texts is in none, and of two lines the rarer one comes first."""
+    rng, line = random.Random(5), "this line is a part of all the texts there are"
+    texts = [f"{line} {' '.join(f'w{rng.randint(0, 999_999)}' for _ in range(100))}" for _ in range(40)]
+    marked = shingles._marked(shingles._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), 5)
+    common = shingles._common(marked, 5, 80)
+    shared = set(shingles.shingles(line).view("int64").tolist())
+    found = {t for r in shingles._prefixes(marked, 5, 80, common, 3).collect() for t in r.tokens}
+    assert found and not found & shared
+    often, seldom = "six words that are used often", "six words that are seldom used"
+    both = spark.createDataFrame([(i, f"{often} x{i}") for i in range(9)] + [(10 + i, f"{seldom} y{i}") for i in range(5)], "doc_id long, text string")
+    order = shingles._common(shingles._marked(shingles._texts(both), 5), 5, 80).tolist()
+    frequent, rarer = (set(shingles.shingles(t).tolist()) & set(order) for t in (often, seldom))
+    assert frequent and rarer and max(map(order.index, rarer)) < min(map(order.index, frequent))
