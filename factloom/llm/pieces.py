@@ -17,6 +17,7 @@ The vocabulary is read on the driver and broadcast (its size does not depend on
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -30,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from factloom.llm.workers import kept
+
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of text handled at once, and words and piece pairs remembered by a worker.
 SLICE, KEPT_WORDS, KEPT_PAIRS = 1_000_000, 600_000, 1_000_000
+#: Bytes and words of a lean worker, which shares an executor's memory with what earlier stages have left.
+LEAN_SLICE, LEAN_WORDS = 250_000, 60_000
 #: What a unigram model charges for an unknown character below its lowest score.
 UNKNOWN_PENALTY = 10.0
 # --- fixed values: kinds of model ---
@@ -84,7 +89,9 @@ class Vocabulary:
     raw: list[bytes]
     merges: bool
     pairs: dict[int, bool] = field(default_factory=dict)
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    words: dict[str, bytes] = field(default_factory=dict)
+    again: set[str] = field(default_factory=set)
+    room: int | None = None
 
     def __post_init__(self) -> None:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -205,10 +212,14 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Encode words not yet known, depth first over their trie."""
-        new = sorted(words - self.words.keys())
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-            new = sorted(words)
+        new = words - self.words.keys()
+        self.again |= words - new
+        room = KEPT_WORDS if self.room is None else self.room
+        if len(self.words) + len(new) > room:  # words that never came again make room
+            held = self.again if len(self.again) <= room // 2 else words - new
+            self.words = {w: self.words[w] for w in held}
+            self.again = set()
+        new = sorted(new)
         nodes, last, starts, totals, before = [0], [-1], [0], [0.0], ""
         for word in new:
             shared = 0
@@ -229,13 +240,13 @@ class Vocabulary:
                 else:
                     ids += [self.byte_ids[b] for b in reversed(word[starts[end]:end].encode())] if self.byte_ids else [self.unknown]
                 end = starts[end]
-            self.words[word] = tuple(reversed(ids))
+            self.words[word] = array("i", reversed(ids)).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of normalised texts."""
         split = [WORDS.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        return [np.fromiter(chain.from_iterable(map(self.words.__getitem__, w)), np.int32) for w in split]
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)), np.int32) for w in split]
 
     def decode(self, ids: np.ndarray, lead: bool) -> str:
         """Text of piece ids; ``lead``: the first space was added when encoding."""
@@ -243,10 +254,10 @@ class Vocabulary:
         return text[1:] if lead and text[:1] == " " else text
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch, so many at once that their texts have about ``SLICE`` bytes."""
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, so many at once that their texts have about ``size`` bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // SLICE
+    part = np.cumsum(sizes, dtype=np.int64) // size
     cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(sizes)]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
@@ -255,25 +266,26 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 class _Worker:
     """What a Python worker keeps between batches: the normaliser and the vocabulary."""
 
-    model: bytes | None = None
+    def __init__(self, model: bytes) -> None:
+        self.normalizer = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.vocabulary = Vocabulary.of(model)
+        self.lead = self.normalizer.normalize("a").startswith(MARK)
 
     @classmethod
-    def get(cls, model: bytes) -> type[_Worker]:
-        if cls.model != model:
-            cls.normalizer = sentencepiece.SentencePieceProcessor(model_proto=model)
-            cls.vocabulary = Vocabulary.of(model)
-            cls.lead = cls.normalizer.normalize("a").startswith(MARK)
-            cls.model = model
-        return cls
+    def get(cls, model: bytes, room: int | None = None) -> _Worker:
+        worker = kept(("pieces", model), lambda: cls(model))
+        worker.vocabulary.room = room
+        return worker
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), lean: bool = False) -> DataFrame:
     """Add ``ids`` (array<int>), ``n_ids`` and ``round_trip`` to the kept columns.
 
     ``round_trip`` tells whether decoding the ids gives the normalised text back. A null
     text has null ids, n_ids 0 and round_trip null; an empty text has no ids. Characters
     outside the vocabulary become bytes, or the unknown piece in a model without bytes.
     Rows are independent of each other: repeated rows repeat their result, an empty table gives no rows.
+    ``lean`` has workers remember fewer words: the same result in less memory and more time.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
     given = docs.select(*keep, F.col(text).cast("string").alias("_text"))
@@ -281,9 +293,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _Worker.get(model.value)
+        worker = _Worker.get(model.value, LEAN_WORDS if lean else None)
         vocabulary, lead = worker.vocabulary, worker.lead
-        for part in chain.from_iterable(map(_slices, batches)):
+        for part in chain.from_iterable(_slices(batch, LEAN_SLICE if lean else SLICE) for batch in batches):
             texts = part.column("_text").to_pylist()
             normal = [worker.normalizer.normalize(t) if t else "" for t in texts]
             ids = vocabulary.encode(normal)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.workers import forget
+
 GOOD, ABSTAIN, BAD = 1, 0, -1
 #: Documents the scorer is trained on (those of smallest id hash), slots of the hashed weights, epochs.
 SAMPLE, SLOTS, EPOCHS = 4000, 1 << 15, 6
@@ -138,6 +140,7 @@ def train(slots: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray
 
 def _voted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of vote patterns of a batch."""
+    forget()
     for frame in frames:
         table = np.array([votes(t) if isinstance(t, str) else [ABSTAIN] * len(LABELLERS) for t in frame["text"]], np.int64).reshape(-1, len(LABELLERS))
         code = (table + 1) @ (3 ** np.arange(len(LABELLERS)))
