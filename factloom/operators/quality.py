@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom import config as C
 from factloom.functions import keys as K
 from factloom.functions.predicates import normalize_predicates
+from factloom.functions.text import once
 from factloom.operators.common import approved, contained_in, fold_ascii, label, role_union
 from factloom.operators.reports import cost, count_by, like
 
@@ -303,17 +304,22 @@ def clean_qualifiers(facts: DataFrame) -> DataFrame:
     Values keep their JSON types and nested objects are not looked into. Text that
     isn't an object, or has none of the keys, is left as it is.
     """
-    text = F.col("qualifier_json")
-    given = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    new_name = F.create_map(*[F.lit(x) for kv in QUALIFIER_RENAMES.items() for x in kv])
     removed = F.array(*[F.lit(k) for k in QUALIFIER_REMOVALS])
-    target = lambda k: F.coalesce(F.try_element_at(new_name, k), k)
+    keys = F.map_keys("_members")
+
+    def target(key: Column) -> Column:
+        new = key
+        for old, name in QUALIFIER_RENAMES.items():
+            new = F.when(key == old, F.lit(name)).otherwise(new)
+        return new
+
     entries = F.filter(F.map_entries("_members"), lambda e: ~F.array_contains(removed, e["key"]) & (
-        (target(e["key"]) == e["key"]) | ~F.array_contains(F.map_keys("_members"), target(e["key"]))))
+        ~e["key"].isin(*QUALIFIER_RENAMES) | ~F.array_contains(keys, target(e["key"]))))
     renamed = F.map_from_entries(F.transform(entries, lambda e: F.struct(target(e["key"]).alias("key"), e["value"].alias("value"))))
-    touched = F.arrays_overlap(given, F.array(*[F.lit(k) for k in (*QUALIFIER_RENAMES, *QUALIFIER_REMOVALS)]))
-    return facts.withColumn("_members", K.members(text)).withColumn(
-        "qualifier_json", F.when(touched & (F.size("_members") > 0), F.to_json(renamed)).otherwise(text)).select(*facts.columns)
+    touched = F.arrays_overlap(keys, F.array(*[F.lit(k) for k in (*QUALIFIER_RENAMES, *QUALIFIER_REMOVALS)]))
+    # generated columns: the text is parsed once a row, and what is built on the result doesn't repeat it
+    parsed = facts.withColumn("qualifier_json", once(F.col("qualifier_json"))).withColumn("_members", once(K.members(F.col("qualifier_json"))))
+    return parsed.withColumn("qualifier_json", once(F.when(touched, F.to_json(renamed)).otherwise(F.col("qualifier_json")))).select(*facts.columns)
 
 
 def fill_currency(facts: DataFrame) -> DataFrame:

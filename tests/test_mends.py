@@ -211,3 +211,26 @@ def test_completion_requests_move_facts_once(spark):
     assert sorted((r.document_id, r.part, r.n_facts) for r in sent.collect()) == [(0, 0, 2), (0, 1, 2), (1, 0, 2), (1, 1, 1)]
     plan = sent._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(") <= 2
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_review_answers_are_parsed_once(spark):
+    from factloom.operators import review
+
+    answers = spark.createDataFrame([("r", '[{"id":"a","verdict":"PASS","score":0.5}]'), ("s", '{"fact_id":"","id":""}')], "request_id string, json string")
+    rows = review.verdicts(answers)
+    plan = _optimized(rows)
+    assert plan.count("from_json(StructField") + plan.count("JsonToStructsEvaluator(Map(), StructType") + plan.count("from_json(StructType") <= 1
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("from_json" in line or "JsonToStructs" in line)]
+    assert [(r.fact_id, r.verdict, r.score) for r in rows.collect()] == [("a", "PASS", 0.5)]
+
+
+def test_clean_qualifiers_parses_once(spark):
+    rows = spark.createDataFrame([(1, '{"product":"x","product_type":"y","n":1.50}'), (2, '{"change_percentage_points":3}')], "i int, qualifier_json string")
+    cleaned = quality.clean_qualifiers(rows)
+    assert "jsonObjectKeys" not in _optimized(cleaned) and "json_object_keys" not in _optimized(cleaned)
+    got = {r.i: json.loads(r.qualifier_json) for r in cleaned.filter(F.length("qualifier_json") > 0).collect()}
+    assert got == {1: {"product_type": "y", "n": 1.5}, 2: {"change_pct": 3}}
