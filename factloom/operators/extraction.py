@@ -246,15 +246,19 @@ def merge_completion(stage1: DataFrame, supplements: DataFrame) -> DataFrame:
     return base.unionByName(full.select(*columns)).unionByName(added.select(*columns))
 
 
-def dedup_records(records: DataFrame) -> DataFrame:
-    """Repeats inside one document's answer: the most confident wins, then the first."""
+def record_key() -> dict[str, Column]:
+    """What records of one document share that repeat each other."""
     disc = K.discriminator(F.col("fact_type"), K.qualifiers(F.col("qualifier_json")), F.col("predicate"), F.col("object_text"))
     text = lambda c: F.lower(K.strip(F.coalesce(F.col(c), F.lit(""))))
-    keyed = records.withColumns({
-        "_t": text("fact_type"), "_s": text("subject_text"), "_d": disc,
-        "_v": F.nullif("value_num", F.lit(0.0)), "_w": text("time_expr")})
-    order = [F.desc(F.coalesce("confidence_score", F.lit(0.0))), F.col("ord")]
-    return top_per_key(keyed, ["document_id", "_t", "_s", "_d", "_v", "_w"], order).drop("_t", "_s", "_d", "_v", "_w")
+    return {"document_id": F.col("document_id"), "_t": text("fact_type"), "_s": text("subject_text"), "_d": disc, "_v": F.nullif("value_num", F.lit(0.0)), "_w": text("time_expr")}
+
+
+def dedup_records(records: DataFrame, *then: Column) -> DataFrame:
+    """Repeats inside one document's answer: the most confident wins, then the first, then what comes first by ``then``."""
+    key = record_key()
+    own = [n for n in key if n.startswith("_")]
+    order = [F.desc(F.coalesce("confidence_score", F.lit(0.0))), F.col("ord"), *then]
+    return top_per_key(records.withColumns({n: key[n] for n in own}), list(key), order).drop(*own)
 
 
 def assemble_facts(records: DataFrame, existing_evidence: DataFrame, model: Column,

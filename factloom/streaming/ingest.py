@@ -1,12 +1,12 @@
 """Incremental ingest of model answers with Structured Streaming.
 
-Each micro-batch is one chain: the articles of its answers are cleaned and gated, the answers parsed, validated, normalised and
-de-duplicated against what was kept so far. All of it is written under the batch id and published by one marker; a replayed
-batch overwrites its own folders, so every answer counts once.
+Each micro-batch is one chain: the articles of its answers are cleaned and gated, the answers parsed, validated and normalised. All of
+it is written under the batch id and published by one marker; a replayed batch overwrites its own folders, so every answer counts once.
 
-Kept facts are found through a key index in buckets of key hashes: a batch reads the buckets its keys fall in, and the index is
-compacted to one row per key now and then. After a run, ``link_stream`` discovers and links the distinct names of all published facts. Names,
-links and overlaps between fact types depend on the set of facts alone, so how answers were cut into batches does not show.
+A fact is written once, with digests of its keys, and never again: which facts repeat others is decided where they are read, from one
+narrow row per key. These rows are compacted now and then, and a read adds the batches since. So neither a batch nor a read sends whole facts
+across the network or writes them anew. After a run, ``link_stream`` discovers and links the distinct names of all published facts. Names,
+links and duplicates depend on the set of facts alone, so how answers were cut into batches does not show.
 """
 
 from __future__ import annotations
@@ -20,19 +20,20 @@ from factloom.functions import keys as K
 from factloom.functions import text as T
 from factloom.functions.predicates import normalize_predicates
 from factloom.operators import dedup, extraction, linking
-from factloom.operators.common import null_safe, scattered
-from factloom.session import checkpoint
+from factloom.operators.common import scattered
+from factloom.session import checkpoint, reread
 
 #: ``article`` is the document's text; where it is given, its answers count only if the cleaned text passes the gate.
 ANSWERS = "request_id string, document_id bigint, content string, article string"
-INDEX = ("k_type string, k_subject string, k_disc string, k_value double, k_time string, fact_id string, "
-         "confidence_score double, batch_id bigint, bucket int")
+#: The fact to keep of a key; ``fact_id`` as bytes, which sort as its digits do.
+BEST = "k_all binary, best struct<s: double, fact_id: binary, batch_id: bigint, row: bigint>"
 LINKS, ENTITIES, ALIASES = "kind string, text string, entity_id string", "entity_id string, canonical_name string, normalized_name string, entity_type string", "alias_id string, entity_id string, alias_name string"
-BUCKETS = 64
 FACT_COLUMNS = (
     "fact_id", "request_id", "document_id", "evidence_text", "fact_type", "subject_text", "predicate", "object_text",
     "value_num", "value_text", "unit", "currency", "time_expr", "location_text", "qualifier_json", "confidence_score",
     "review_status", "review_note")
+#: What is stored beside a fact: its place in its batch and in its answer, and digests of its keys.
+STORED = (*FACT_COLUMNS, "row", "ord", "k_record", "k_all")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -58,72 +59,36 @@ def _stored(spark: SparkSession, path: str, name: str, schema: str, done: DataFr
     return table.join(done, "batch_id", "left_semi")
 
 
-def _write(df: DataFrame, path: str, name: str, batch_id: int, *partitions: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/{name}/batch_id={batch_id}")
+def _write(df: DataFrame, path: str, name: str, batch_id: int) -> None:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/batch_id={batch_id}")
 
 
-def _latest(spark: SparkSession, path: str, name: str, before: int | None = None) -> int | None:
-    """The last batch that a finished job over all batches so far took in, of those before ``before`` if given."""
+def _latest(spark: SparkSession, path: str, name: str) -> int | None:
+    """The last batch that a finished job over all batches so far took in."""
     if not _exists(spark, f"{path}/{name}_done"):
         return None
-    done = spark.read.schema("n bigint, batch_id bigint").parquet(f"{path}/{name}_done")
-    return (done if before is None else done.filter(F.col("batch_id") < before)).agg(F.max("batch_id")).first()[0]
+    return spark.read.schema("n bigint, batch_id bigint").parquet(f"{path}/{name}_done").agg(F.max("batch_id")).first()[0]
 
 
 def _mark(spark: SparkSession, path: str, name: str, batch_id: int) -> None:
     _write(spark.range(1).select(F.col("id").alias("n")), path, name, batch_id)
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(*K.KEY_COLUMNS), F.lit(BUCKETS)).cast("int")
-
-
-def known_keys(spark: SparkSession, path: str, before: int, buckets: list[int]) -> DataFrame:
-    """Index rows of the given buckets as they were before a batch: the last compaction, and the batches after it."""
-    done, base = _published(spark, path).filter(F.col("batch_id") < before), _latest(spark, path, "compacted", before)
-    if base is None:
-        return _stored(spark, path, "index", INDEX, done).filter(F.col("bucket").isin(*buckets)).drop("batch_id")
-    whole = spark.read.schema(INDEX).option("basePath", f"{path}/compacted").parquet(f"{path}/compacted/batch_id={base}")
-    later = _stored(spark, path, "index", INDEX, done.filter(F.col("batch_id") > base))
-    return whole.unionByName(later).filter(F.col("bucket").isin(*buckets)).drop("batch_id")
-
-
 def settle_answers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, answers set aside) of one batch of parsed answers."""
+    """(records, answers set aside) of one batch of parsed answers. Records without evidence are among them, as they may repeat others."""
     valid, _ = extraction.validate_records(extraction.shape_records(parsed))
-    once = extraction.dedup_records(normalize_predicates(valid))
-    facts = once.filter(F.col("evidence_text") != "").withColumns({
+    records = normalize_predicates(valid).withColumns({
         "fact_id": F.sha2(F.concat_ws("|", "request_id", F.col("ord").cast("string")), 256),
-        "review_status": F.lit(C.PENDING), "review_note": F.lit(None).cast("string")})
-    return facts, extraction.unparsed(parsed)
+        "review_status": F.lit(C.PENDING), "review_note": F.lit(None).cast("string"), "row": F.monotonically_increasing_id(),
+        "k_record": F.xxhash64(*extraction.record_key().values()), "k_all": K.fact_fingerprint()})
+    return records.select(*STORED), extraction.unparsed(parsed)
 
 
-def _rank() -> Column:
-    """Least for the fact of a key to keep."""
-    return F.struct((-F.coalesce("confidence_score", F.lit(0.0))).alias("s"), "fact_id")
-
-
-def settle_batch(facts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """De-duplicate a batch within itself and against the index. Of equally confident facts the one with the smaller id stays, whichever came first.
-
-    Returns (marks on the batch's facts, marks on stored facts, index rows to add). The narrow tables behind them are computed once.
-    """
-    keys = list(K.KEY_COLUMNS)
-    keyed = facts.select("fact_id", "confidence_score", *keys, F.lit(0).alias("created_at"))
-    inner = checkpoint(dedup.duplicates_by_key(keyed, keys))
-    best = keyed.join(inner.select("fact_id"), "fact_id", "left_anti")
-    # the batch's keys are the small side: only matching index rows are aggregated
-    wanted = best.select(*keys)
-    known = index.join(wanted, null_safe(index, wanted, keys), "left_semi").groupBy(*keys).agg(
-        F.min(_rank()).alias("_old"))
-    met = checkpoint(best.join(known, null_safe(best, known, keys), "left").select(
-        *[best[k] for k in keys], best["fact_id"], best["confidence_score"], "_old"))
-    beaten = F.col("_old").isNotNull() & (F.col("_old") < _rank())
-    lost = met.filter(beaten).select("fact_id", F.col("_old.fact_id").alias("canonical_id"))
-    replaced = met.filter(F.col("_old").isNotNull() & ~beaten).select(
-        F.col("_old.fact_id").alias("fact_id"), F.col("fact_id").alias("canonical_id"))
-    added = met.filter(~beaten | F.col("_old").isNull()).select(*keys, "fact_id", "confidence_score", _bucket().alias("bucket"))
-    return inner.unionByName(lost), replaced, added
+def repeated_records(records: DataFrame) -> DataFrame:
+    """Rows (row) that repeat a record of the same document's answers. Only records whose key's hash occurs again are compared."""
+    again = reread(records.groupBy("k_record").agg(F.count("*").alias("n")).filter("n > 1").select("k_record"), "again")
+    suspects = records.join(again, "k_record", "left_semi")
+    return suspects.select("row").join(extraction.dedup_records(suspects, F.col("fact_id")).select("row"), "row", "left_anti")
 
 
 def gate_articles(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +98,8 @@ def gate_articles(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     texts = answers.select("article").filter(F.col("article").isNotNull()).distinct().withColumn("clean", T.once(T.clean(F.col("article"))))
     judged = texts.select(F.sha2("article", 256).alias("_article"), T.gate(F.col("article"), F.col("clean"), C.MIN_CLEAN_CHARS).alias("reason"))
-    stops = checkpoint(judged.filter(F.col("reason").isNotNull()))
+    # written: known to be small, it is sent to the answers and they stay where they are
+    stops = reread(judged.filter(F.col("reason").isNotNull()), "stops")
     marked = answers.withColumn("_article", scattered(F.sha2("article", 256), F.col("request_id"))).drop("article")
     return marked.join(stops, "_article", "left_anti").drop("_article"), marked.join(stops, "_article").drop("_article")
 
@@ -141,21 +107,26 @@ def gate_articles(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 def process_batch(answers: DataFrame, batch_id: int, path: str) -> None:
     spark, gone = answers.sparkSession, ["request_id", "document_id", "reason"]
     passed, stopped = gate_articles(answers)
-    # a few files may hold all answers: deal them over the tasks before any is parsed; parsed once, read twice
-    _write(extraction.parse_answers(passed.repartition(spark.sparkContext.defaultParallelism, "request_id")), path, "parsed", batch_id)
-    facts, rejected = settle_answers(spark.read.parquet(f"{path}/parsed/batch_id={batch_id}"))
-    _write(dedup.with_fact_key(facts), path, "staged", batch_id)
+    cores = spark.sparkContext.defaultParallelism
+    if answers.rdd.getNumPartitions() * 2 < cores:  # a few files hold all answers: deal them over the tasks before any is parsed
+        passed = passed.repartition(cores, "request_id")
+    _write(extraction.parse_answers(passed), path, "parsed", batch_id)  # parsed once, read twice
+    records, rejected = settle_answers(spark.read.parquet(f"{path}/parsed/batch_id={batch_id}"))
+    _write(records, path, "facts", batch_id)
     _write(rejected.select(*gone).unionByName(stopped.select(*gone)), path, "rejected", batch_id)
-    staged = spark.read.parquet(f"{path}/staged/batch_id={batch_id}")
-
-    touched = sorted(r[0] for r in staged.select(_bucket().alias("bucket")).distinct().collect())
-    marks, replaced, added = settle_batch(staged, known_keys(spark, path, batch_id, touched))
-    noted = marks.withColumn("review_note", F.concat(F.lit("重复: 与 "), "canonical_id", F.lit(" 重复")))
-    _write(dedup.apply_marks(staged, noted).select(*FACT_COLUMNS), path, "facts", batch_id)
-    _write(replaced, path, "replaced", batch_id)
-    _write(added.repartition("bucket"), path, "index", batch_id, "bucket")
+    _write(repeated_records(spark.read.parquet(f"{path}/facts/batch_id={batch_id}")), path, "repeated", batch_id)
     # the marker comes last: readers see all of a batch or nothing of it
     _mark(spark, path, "published", batch_id)
+    _forget_parsed(spark, path, batch_id)
+
+
+def _forget_parsed(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the parsed answers of earlier batches: their facts are published, and only the last batch may come again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/parsed")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):
+        if int(found.getPath().getName().split("=")[1]) < before:
+            files.delete(found.getPath(), True)
 
 
 def start_ingest(spark: SparkSession, source: str, path: str, files_per_batch: int = 1000, checkpoint: str | None = None) -> StreamingQuery:
@@ -168,7 +139,23 @@ def start_ingest(spark: SparkSession, source: str, path: str, files_per_batch: i
 
 
 def _settled(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/facts").join(_published(spark, path), "batch_id", "left_semi")
+    """Facts of all published batches with the batch's id, without records that repeat one of their own answers."""
+    done = _published(spark, path)
+    facts = spark.read.parquet(f"{path}/facts").join(done, "batch_id", "left_semi").filter(F.col("evidence_text") != "")
+    return facts.join(_stored(spark, path, "repeated", "row bigint, batch_id bigint", done), ["batch_id", "row"], "left_anti")
+
+
+def best_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(k_all, best): the fact to keep of each key, of the last compaction and the batches after it.
+
+    Of equally confident facts the one with the smaller id stays, whichever came first.
+    """
+    rank = F.struct((-F.coalesce("confidence_score", F.lit(0.0))).alias("s"), F.unhex("fact_id").alias("fact_id"), F.col("batch_id").cast("bigint").alias("batch_id"), "row")
+    upto, facts = _latest(spark, path, "compacted"), _settled(spark, path)
+    rows = (facts if upto is None else facts.filter(F.col("batch_id") > upto)).select("k_all", rank.alias("best"))
+    if upto is not None:
+        rows = spark.read.schema(BEST).parquet(f"{path}/compacted/batch_id={upto}").unionByName(rows)
+    return rows.groupBy("k_all").agg(F.min("best").alias("best"))
 
 
 def link_stream(spark: SparkSession, path: str, entities: DataFrame, aliases: DataFrame) -> None:
@@ -199,12 +186,15 @@ def stream_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def current_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts as of now with the entities their texts link to: those a later batch replaced, and restated investments, are duplicates."""
-    done = _published(spark, path)
-    replaced = spark.read.parquet(f"{path}/replaced").join(done, "batch_id", "left_semi").groupBy("fact_id").agg(F.max("canonical_id").alias("canonical_id"))
-    noted = replaced.withColumn("review_note", F.concat(F.lit("重复: 与 "), "canonical_id", F.lit(" 重复（跨文档，分数更低）")))
-    facts = dedup.apply_marks(_settled(spark, path), noted)
-    facts = dedup.apply_marks(facts, dedup.cross_type(facts.withColumn("created_at", F.lit(0))))
+    """Facts as of now with the entities their texts link to: those that repeat a better one, and restated investments, are duplicates."""
+    best = best_facts(spark, path).select("k_all", F.col("best.batch_id").alias("_batch"), F.col("best.row").alias("_row"), F.lower(F.hex("best.fact_id")).alias("_best"))
+    met, own = _settled(spark, path).join(best, "k_all"), (F.col("_batch") == F.col("batch_id")) & (F.col("_row") == F.col("row"))
+    note = F.concat(F.lit("重复: 与 "), "_best", F.when(F.col("_batch") > F.col("batch_id"), " 重复（跨文档，分数更低）").otherwise(" 重复"))
+    facts = met.withColumns({
+        "review_status": F.when(own, F.col("review_status")).otherwise(C.DUPLICATE),
+        "review_note": F.when(own, F.col("review_note")).otherwise(note)}).select(*FACT_COLUMNS, "batch_id")
+    # written, as few facts are marked
+    facts = dedup.apply_marks(facts, reread(dedup.cross_type(facts.withColumn("created_at", F.lit(0))), "restated"))
     links = stream_table(spark, path, "links")
     for role, kind in (("subject", "name"), ("object", "name"), ("location", "place")):
         side = links.filter(F.col("kind") == kind).select(F.col("text").alias("_t"), F.col("entity_id").alias(f"{role}_entity_id"))
@@ -213,12 +203,9 @@ def current_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_index(spark: SparkSession, path: str) -> None:
-    """Rewrite the index of all published batches with one row per key, for occasional maintenance; later batches read it in their place."""
-    keys = list(K.KEY_COLUMNS)
+    """Write the best fact per key of all published batches, for occasional maintenance; later reads start from it."""
     upto = _published(spark, path).agg(F.max("batch_id")).first()[0]
     if upto is None or _latest(spark, path, "compacted") == upto:
         return
-    rows = known_keys(spark, path, upto + 1, list(range(BUCKETS)))
-    best = rows.groupBy(*keys, "bucket").agg(F.min_by(F.struct("fact_id", "confidence_score"), _rank()).alias("b"))
-    _write(best.select(*keys, "b.fact_id", "b.confidence_score", "bucket").repartition("bucket"), path, "compacted", upto, "bucket")
+    _write(best_facts(spark, path), path, "compacted", upto)
     _mark(spark, path, "compacted_done", upto)

@@ -131,6 +131,21 @@ def test_an_article_of_many_answers_is_cleaned_once(spark):
         assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_facts_are_written_once_and_a_repeated_answer_counts_once(spark, tmp_path):
+    body = lambda *subjects: json.dumps({"CAPACITY": [{"subject": s, "predicate": "产能为", "value_num": 1, "confidence": 0.5, "evidence_text": e} for s, e in subjects]}, ensure_ascii=False)
+    first, second = body(("甲", "x"), ("甲 ", "y"), ("乙", "")), body(("丙", "z"))
+    out = str(tmp_path)
+    for batch, given in enumerate(([("a", 1, first, None), ("a", 1, first, None)], [("a", 1, first, None), ("b", 2, second, None)])):
+        ingest.process_batch(spark.createDataFrame(given, ingest.ANSWERS), batch, out)
+    for _ in range(2):  # as read from the batches, and from the compaction
+        live = ingest.current_facts(spark, out).filter(F.col("review_status") != C.DUPLICATE)
+        assert sorted((r.request_id, r.subject_text) for r in live.select("request_id", "subject_text").collect()) == [("a", "甲"), ("b", "丙")]
+        ingest.compact_index(spark, out)
+    # no fact is stored twice for its marks, and what was parsed goes when the next batch is published
+    assert spark.read.parquet(f"{out}/facts").count() == 10 and not (tmp_path / "staged").exists()
+    assert [p.name for p in (tmp_path / "parsed").iterdir() if p.is_dir()] == ["batch_id=1"]
+
+
 def test_documents_are_cleaned_once(spark):
     docs = spark.createDataFrame([(1, "<p>" + "正文" * 60 + "</p>"), (2, "短"), (3, None), (4, "")], "document_id long, raw_text string")
     chunks = textprep.whole_text_chunks(textprep.clean_documents(docs))
