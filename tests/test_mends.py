@@ -3,17 +3,21 @@
 import hashlib
 import json
 import os
+import random
 import re
 import subprocess
 import sys
+from collections import Counter
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factloom import config as C
 from factloom.functions import keys, predicates
 from factloom.functions import similarity as S
 from factloom.functions import text as T
-from factloom.operators import common, dedup, extraction, merging, profiles, quality, reports, textprep
+from factloom.operators import common, dedup, extraction, merging, profiles, quality, reports, simjoin, textprep
 from factloom.plans import sources
 from factloom.plans.tables import Tables
 from factloom.sources import documents as D
@@ -249,3 +253,25 @@ def test_clean_qualifiers_parses_once(spark):
     assert "jsonObjectKeys" not in _optimized(cleaned) and "json_object_keys" not in _optimized(cleaned)
     got = {r.i: json.loads(r.qualifier_json) for r in cleaned.filter(F.length("qualifier_json") > 0).collect()}
     assert got == {1: {"product_type": "y", "n": 1.5}, 2: {"change_pct": 3}}
+
+
+def test_ratios_of_many_pairs_are_difflib_s():
+    rng = random.Random(5)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    pairs = [(text(s, n), text(s, n)) for s, n in (("ab", 9), ("ab#01", 30), ("中é𝒳a", 25), ("ab", 260)) for _ in range(300)] + [("", "a"), ("x" * 199, "x" * 199)]
+    a, b = (pd.Series(side) for side in zip(*[p for p in pairs if any(p)]))
+    assert S.ratios(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+    shared = [2 * (Counter(x) & Counter(y)).total() / (len(x) + len(y)) for x, y in zip(a, b)]
+    assert S.shared_share.func(a, b).tolist() == shared
+
+
+def test_similar_names_meet_once_without_a_shuffle_of_pairs(spark):
+    names = [f"Supplier#{i:09d}" for i in range(0, 90, 3)] + ["甲乙丙丁集团", "甲乙丙丁集团有限公司", "甲乙丙"]
+    pairs = simjoin.ratio_pairs(spark.createDataFrame([(n, n) for n in names], "id string, name string"), 0.82)
+    got = sorted((r.a, r.b) for r in pairs.collect())
+    share = lambda x, y: 2 * (Counter(x) & Counter(y)).total() / (len(x) + len(y))
+    assert got == sorted((min(x, y), max(x, y)) for i, x in enumerate(names) for y in names[i + 1:] if share(x, y) >= 0.82)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    found = merging.merge_suggestions(spark.createDataFrame([(n, n, "企业") for n in names], "entity_id string, canonical_name string, entity_type string"), limit=None, expand=False)
+    rows = [(r.primary_name, r.secondary_name) for r in found.collect()]
+    assert len(rows) == len({frozenset(r) for r in rows}) and ("甲乙丙", "甲乙丙丁集团") in rows
