@@ -275,3 +275,15 @@ def test_similar_names_meet_once_without_a_shuffle_of_pairs(spark):
     found = merging.merge_suggestions(spark.createDataFrame([(n, n, "企业") for n in names], "entity_id string, canonical_name string, entity_type string"), limit=None, expand=False)
     rows = [(r.primary_name, r.secondary_name) for r in found.collect()]
     assert len(rows) == len({frozenset(r) for r in rows}) and ("甲乙丙", "甲乙丙丁集团") in rows
+
+
+def test_export_finds_titles_whatever_document_the_evidence_is_of(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", 2, "x"), ("d", 9, "y"), ("e", None, None), ("f", 2, "gone"), ("g", None, "y"), ("h", 2, "z")], "fact_id string, document_id long, evidence_id string")
+    documents = spark.createDataFrame([(1, "T1", "S1"), (2, "T2", None)], "document_id long, title string, source_name string")
+    evidence = spark.createDataFrame([("x", 1, "ex"), ("y", 9, "ey"), ("z", None, "ez"), ("w", 1, "ew")], "evidence_id string, document_id long, evidence_text string")
+    given = rows.join(documents.withColumnsRenamed({"title": "document_title", "source_name": "document_source"}), "document_id", "left") \
+        .join(evidence.select("evidence_id", "evidence_text"), "evidence_id", "left")
+    columns = ["fact_id", "document_id", "evidence_id", "document_title", "document_source", "evidence_text"]
+    got = sinks.with_origin(rows, documents, evidence).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, given.select(*columns).collect()))
+    assert [r.document_title for r in got.orderBy("fact_id").collect()] == ["T1", "T1", "T2", None, None, "T2", None, "T2"]
