@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.workers import forget
+from factloom.llm.workers import lean
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 #: Documents the scorer is trained on (those of smallest id hash), slots of the hashed weights, epochs.
@@ -138,9 +138,9 @@ def train(slots: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray
     return weights
 
 
+@lean
 def _voted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of vote patterns of a batch."""
-    forget()
     for frame in frames:
         table = np.array([votes(t) if isinstance(t, str) else [ABSTAIN] * len(LABELLERS) for t in frame["text"]], np.int64).reshape(-1, len(LABELLERS))
         code = (table + 1) @ (3 ** np.arange(len(LABELLERS)))
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, pd.DataFrame
     good, chance, share = estimate(patterns, counts)
     label = dict(zip(counted["pattern"], good))
 
+    @lean
     def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             code = (np.array([votes(t) for t in frame["text"]], np.int64).reshape(-1, len(LABELLERS)) + 1) @ (3 ** np.arange(len(LABELLERS)))

@@ -6,7 +6,12 @@ another's drops it, and stages that keep nothing of their own drop it when they
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 
 _state: dict = {}
 
@@ -22,3 +27,24 @@ def kept(key: Hashable, make: Callable[[], object]):
 def forget() -> None:
     """Drop what a task of an earlier stage has left."""
     _state.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker counts with all that its allocators hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that keeps nothing: what earlier stages left goes when it starts, what it used itself when it ends."""
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        forget()
+        yield from run(batches)
+        give_back()
+
+    return task
